@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -61,7 +61,7 @@ def _collection(text: str | None, path: list[str]) -> list[dict[str, str | None]
     ]
 
 
-@pandas_udf("array<map<string,string>>")
+@pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
 def exact_records(documents: pd.Series, paths: pd.Series) -> pd.Series:
     """Records of the list at each document's path (an array of steps as text).
 
@@ -95,7 +95,7 @@ def score_field(record: Column, name: Column | str) -> Column:
 def fixed_text(value: Column, digits: int) -> Column:
     """``%.Nf`` text rounded on the exact binary value."""
 
-    @pandas_udf("string")
+    @pandas_udf(T.StringType())
     def spell(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if pd.isna(v) else f"{v:.{digits}f}")
 

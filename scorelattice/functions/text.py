@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 # Accepted spellings and closed lists.
@@ -78,7 +78,7 @@ def fold_header(text: Column) -> Column:
     return F.trim(F.regexp_replace(visible, r"\s+", " "))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _escape_invisible(texts: pd.Series) -> pd.Series:
     short = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\\": "\\\\"}
 

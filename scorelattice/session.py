@@ -38,6 +38,7 @@ def local_session(cpus: int | str = "*", **extra: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("scorelattice")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
     )
