@@ -15,14 +15,14 @@ def is_path(path: Column) -> Column:
 
 def resolve_error(document: Column, path: Column) -> Column:
     """``EVIDENCE_LOCATOR_INVALID``, ``EVIDENCE_NOT_FOUND`` or null."""
-    found = F.get_json_object(document, path)
+    found = F.call_function("get_json_object", document, path)
     return F.when(~is_path(path), "EVIDENCE_LOCATOR_INVALID").when(
         found.isNull(), "EVIDENCE_NOT_FOUND"
     )
 
 
 def resolve(document: Column, path: Column) -> Column:
-    return F.when(is_path(path), F.get_json_object(document, path))
+    return F.when(is_path(path), F.call_function("get_json_object", document, path))
 
 
 def steps(path: Column) -> Column:
