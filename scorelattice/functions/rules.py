@@ -1,9 +1,9 @@
 """Ordered rule lists as columns.
 
-A rule list is a sequence of ``(condition, code)`` pairs.  ``first_failure``
-keeps the code of the first condition that holds; ``all_failures`` keeps every
-one.  A null condition counts as not holding, so rules can look at columns
-that come from outer joins.
+A rule is a ``(condition, code)`` pair, or a column that already is a code or
+null.  ``first_failure`` keeps the code of the first rule that holds;
+``all_failures`` keeps every one.  A null condition counts as not holding, so
+rules can look at columns that come from outer joins.
 """
 
 from __future__ import annotations
@@ -12,23 +12,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-Rule = tuple[Column, str | Column]
+Rule = tuple[Column, "str | Column"] | Column
 
 
-def _code(code: str | Column) -> Column:
-    return F.lit(code) if isinstance(code, str) else code
+def _code(rule: Rule) -> Column:
+    if isinstance(rule, Column):
+        return rule
+    condition, code = rule
+    return F.when(condition, F.lit(code) if isinstance(code, str) else code)
 
 
 def first_failure(rules: Sequence[Rule]) -> Column:
-    return F.coalesce(*[F.when(cond, _code(code)) for cond, code in rules])
+    return F.coalesce(*[_code(rule) for rule in rules])
 
 
 def all_failures(rules: Sequence[Rule]) -> Column:
     """Sorted array of the distinct codes whose condition holds."""
-    hits = F.array(*[F.when(cond, _code(code)) for cond, code in rules])
+    hits = F.array(*[_code(rule) for rule in rules])
     return F.array_sort(F.array_distinct(F.array_compact(hits)))
 
-
-def severity_of(rules: Sequence[Rule]) -> Column:
-    """Position of the first failing rule (0-based), or null."""
-    return F.coalesce(*[F.when(cond, F.lit(i)) for i, (cond, _) in enumerate(rules)])

@@ -35,6 +35,7 @@ PROJECTED_FIELDS = (
     "requires_auth", "supports_history", "update_cadence", "parser_name", "parser_version",
     "parser_config", "status", "notes",
 )
+QUARANTINE_CODES = ("MODEL_AMBIGUOUS", "MODEL_UNRESOLVED")
 CLAIM_DIMENSIONS = (
     "benchmark_raw", "metric_raw", "split_raw", "setting_raw", "evaluation_version_raw",
 )
@@ -201,9 +202,11 @@ def admit_claims(claims: DataFrame, dimensions: Sequence[str] = CLAIM_DIMENSIONS
     dims = []
     for name in dimensions:
         rule = F.col(f"d_{name}")
-        err = dimension_error(F.col(name), rule["mode"], rule["constant"], F.col(f"e_{name}"), rule["allowed"])
-        dims.append((err.isNotNull(), err))
-    rejects = [
+        dims.append(
+            dimension_error(F.col(name), rule["mode"], rule["constant"], F.col(f"e_{name}"), rule["allowed"])
+        )
+    reason = first_failure(
+        [
         (F.col("source_reason").isNotNull(), "SRC_NOT_ADMITTED"),
         (~F.col("decision_id").eqNullSafe(F.col("admitting_decision_id")), "CLAIM_SOURCE_DECISION_MISMATCH"),
         (F.col("claim_source_id") != F.col("source_id"), "CLAIM_SOURCE_MISMATCH"),
@@ -228,31 +231,21 @@ def admit_claims(claims: DataFrame, dimensions: Sequence[str] = CLAIM_DIMENSIONS
             "EVIDENCE_VALUE_MISMATCH",
         ),
         *dims,
-        (numeric_error.isNotNull(), numeric_error),
+        numeric_error,
         (~F.col("score_unit").eqNullSafe(F.col("policy_unit")), "SCORE_UNIT_UNDECLARED"),
         (F.col("score_numeric") != number, "SCORE_NUMERIC_MISMATCH"),
-    ]
-    quarantines = [
         (F.col("model_status") == "ambiguous", "MODEL_AMBIGUOUS"),
         (F.col("model_status") != "matched", "MODEL_UNRESOLVED"),
-    ]
-    mapping = (~F.col("model_entity_id").eqNullSafe(F.col("model_match")), "MODEL_MAPPING_MISMATCH")
-    checked = (
-        claims.withColumn("_reject", first_failure(rejects))
-        .withColumn("_hold", first_failure(quarantines))
-        .withColumn("_late", first_failure([mapping]))
+        (~F.col("model_entity_id").eqNullSafe(F.col("model_match")), "MODEL_MAPPING_MISMATCH"),
+        ]
     )
-    return (
-        checked.withColumn("reason", F.coalesce("_reject", "_hold", "_late"))
-        .withColumn(
-            "disposition",
-            F.when(F.col("_reject").isNotNull(), "reject")
-            .when(F.col("_hold").isNotNull(), "quarantine")
-            .when(F.col("_late").isNotNull(), "reject")
-            .otherwise("admit"),
-        )
-        .withColumn("admitted_numeric", F.when(F.col("_reject").isNull(), number))
-        .drop("_reject", "_hold", "_late")
+    # One column holds the outcome of the whole chain; the rest reads that column.
+    held = F.col("reason").isin(*QUARANTINE_CODES)
+    identity_only = F.col("reason").isin(*QUARANTINE_CODES, "MODEL_MAPPING_MISMATCH")
+    return claims.withColumn("reason", reason).select(
+        "*",
+        F.when(F.col("reason").isNull(), "admit").when(held, "quarantine").otherwise("reject").alias("disposition"),
+        F.when(F.col("reason").isNull() | identity_only, number).alias("admitted_numeric"),
     )
 
 

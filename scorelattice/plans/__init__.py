@@ -1,4 +1,4 @@
 """Registered queries, by family."""
 
-from . import extraction, governance, identity, leaderboard, scalars  # noqa: F401
+from . import admission, changes, extraction, governance, identity, leaderboard, scalars  # noqa: F401
 from .registry import CHECK_SQL, QUERIES  # noqa: F401
