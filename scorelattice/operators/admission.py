@@ -250,7 +250,11 @@ def admit_claims(claims: DataFrame, dimensions: Sequence[str] = CLAIM_DIMENSIONS
 
 
 def capture_status(admitted: DataFrame, validations: DataFrame) -> DataFrame:
-    """Status after admission: review is due on quarantine or a doubtful validation."""
+    """Status after admission: review is due on quarantine or a doubtful validation.
+
+    ``admitted`` should be stored admission results; a filter straight on the
+    admission chain makes Spark derive constraints from the whole chain.
+    """
     per_claim = validations.groupBy("claim_id").agg(
         F.bool_or(F.col("outcome") == "fail").alias("any_fail"),
         F.bool_or(F.col("outcome") == "pass").alias("any_pass"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import admission as A, lineage as L, ranking as R
 from ..operators.ordering import sequential_position
+from ..session import staged
 from . import domain as D
 from .registry import query
 
@@ -231,7 +232,10 @@ def captured(spark, folder):
             F.when(F.col("toxic") == 1, "fail").otherwise("uncertain"),
         )).alias("outcome"),
     )
-    admitted = admitted_claims(spark, folder).withColumn("claim_id", F.col("l_orderkey"))
+    # Admission results are a table of their own: stored, then read by what follows.
+    admitted = staged(
+        admitted_claims(spark, folder).select(F.col("l_orderkey").alias("claim_id"), "disposition")
+    )
     return A.capture_status(admitted, checks)
 
 

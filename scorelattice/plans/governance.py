@@ -254,7 +254,9 @@ def judged_claims(spark, folder):
         validations, reviews, leaves, pubs, L.effective_leaves(pubs), identities,
         D.models(spark, folder), D.table(spark, folder, "orders").select(F.col("o_orderpriority").alias("benchmark_id")),
     )
-    return E.eligibility(context)
+    # Verdicts are stored before anything filters on them, so that the rule chain
+    # is planned and evaluated once.
+    return staged(E.eligibility(context).select("claim_id", "source_id", "snapshot_id", *E.CELL, "reason"))
 
 
 _JUDGED = f"""{_DECISIONS}, {_WALK}, {_CLAIMS}, {_IDENT}, {_PUBS},
@@ -280,7 +282,7 @@ def claim_eligibility(spark, folder):
 
 @query(f"WITH RECURSIVE {_JUDGED} SELECT claim_id, model_id, benchmark_id, metric, split, setting, evaluation_version, k AS claims_in_cell FROM elig WHERE k > 1")
 def display_conflicts(spark, folder):
-    eligible = staged(judged_claims(spark, folder).where("reason is null"))
+    eligible = judged_claims(spark, folder).where("reason is null")
     return E.cell_conflicts(eligible).select("claim_id", *E.CELL, "claims_in_cell")
 
 
@@ -290,7 +292,7 @@ def display_conflicts(spark, folder):
     SELECT disposition, omission_reason, count(*) AS n FROM disp GROUP BY ALL"""
 )
 def claim_dispositions(spark, folder):
-    disposed = E.dispositions(staged(judged_claims(spark, folder).select("claim_id", *E.CELL, "reason")))
+    disposed = E.dispositions(judged_claims(spark, folder))
     return disposed.groupBy("disposition", "omission_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -301,7 +303,7 @@ def claim_dispositions(spark, folder):
 )
 def feed_projection(spark, folder):
     """Counts of the conflict-free preview, and what the strict feed would hold."""
-    eligible = staged(judged_claims(spark, folder).where("reason is null"))
+    eligible = judged_claims(spark, folder).where("reason is null")
     strict = E.feed_scores(eligible).agg(F.count(F.lit(1)).alias("n")).scalar()
     return E.feed_counts(E.without_conflicts(eligible)).withColumn("strict_count", strict)
 
@@ -320,7 +322,7 @@ def feed_projection(spark, folder):
     UNION ALL SELECT 'CLAIM_SELECTED_AND_EXCLUDED', 0"""
 )
 def feed_validation(spark, folder):
-    judged = staged(judged_claims(spark, folder))
+    judged = judged_claims(spark, folder)
     scores = E.without_conflicts(judged.where("reason is null"))
     b = D.table(spark, folder, "orders").select(F.col("o_orderpriority").alias("benchmark_id")).distinct()
     manifest = D.table(spark, folder, "customer").select(

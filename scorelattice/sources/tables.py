@@ -88,10 +88,11 @@ def csv_cells(
     header_ok = F.struct(*[F.col(f"p.{n}") for n in names]) == F.struct(
         *[F.lit(c).alias(n) for c, n in zip(columns, names)]
     )
-    checked = rows.where(
-        (F.col("line_no") > 0) | F.assert_true(F.coalesce(header_ok, F.lit(False)), "unexpected CSV header").isNotNull()
-    )
-    return checked.where("line_no > 0").select(
+    wrong = rows.where((F.col("line_no") == 0) & ~F.coalesce(header_ok, F.lit(False))).agg(
+        F.count(F.lit(1)).alias("n")
+    ).scalar()
+    refuse = F.raise_error("unexpected CSV header").cast("boolean")
+    return rows.where("line_no > 0").where(F.when(wrong == 0, True).otherwise(refuse)).select(
         "file_path",
         (F.col("line_no") - 1).alias("row_index"),
         *[F.col(f"p.{n}").alias(c) for n, c in zip(names, columns)],
