@@ -1,4 +1,4 @@
 """Registered queries, by family."""
 
-from . import admission, changes, extraction, governance, identity, leaderboard, operations, scalars  # noqa: F401
+from . import admission, audits, changes, extraction, governance, identity, leaderboard, operations, scalars, streams  # noqa: F401
 from .registry import CHECK_SQL, QUERIES  # noqa: F401
