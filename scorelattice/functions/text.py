@@ -102,7 +102,7 @@ def visible_text(text: Column) -> Column:
     handed to Python.
     """
     needs_python = text.rlike(r"[\p{Cc}\p{Cf}]")
-    plain = F.regexp_replace(text, r"\\", r"\\\\\\\\")
+    plain = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     escaped = _escape_invisible(F.when(needs_python, text))
     return F.concat(F.lit("text:"), F.when(needs_python, escaped).otherwise(plain))
 
@@ -150,5 +150,6 @@ def cursor_fields(token: Column) -> Column:
     padded = F.rpad(body, (F.ceil(F.length(body) / 4) * 4).cast("int"), F.lit("="))
     raw = F.try_to_binary(padded, F.lit("base64")).cast("string")
     parsed = F.from_json(raw, "created_at string, id string")
-    again = visible_cursor(parsed["created_at"], parsed["id"])
+    # Spelled with defaults, as a bare rebuilt struct would fold back to a null one.
+    again = visible_cursor(*[F.coalesce(parsed[f], F.lit("")) for f in ("created_at", "id")])
     return F.when(again == token, parsed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scores import half_up, percent, presentation_value, raw_only
@@ -30,11 +32,18 @@ def category_list(benchmarks: DataFrame) -> DataFrame:
     return benchmarks.select("category").distinct()
 
 
-def category_radar(scores: DataFrame, benchmarks: DataFrame) -> DataFrame:
-    """Mean presentation value per model and category, null where none counts.
+def category_radar(
+    models: DataFrame, scores: DataFrame, benchmarks: DataFrame, categories: Sequence[str]
+) -> DataFrame:
+    """Mean presentation value of every model in every category, null where none counts."""
+    axes = models.select(
+        "model_id", F.explode(F.array(*[F.lit(c) for c in categories])).alias("category")
+    )
+    return axes.join(category_means(scores, benchmarks), ["model_id", "category"], "left")
+
 
-    Rows exist for every category in which the model has any score.
-    """
+def category_means(scores: DataFrame, benchmarks: DataFrame) -> DataFrame:
+    """Mean presentation value per (model, category) that has any score."""
     return (
         normalised(scores, benchmarks)
         .groupBy("model_id", "category")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scores import half_up
 from ..session import staged
-from .categories import benchmark_field_average, category_radar, normalised
+from .categories import benchmark_field_average, category_means, normalised
 from .ordering import sequential_position
 
 
@@ -19,7 +19,7 @@ def _slots(chosen: Sequence[str]) -> DataFrame:
 def category_pivot(scores: DataFrame, benchmarks: DataFrame, chosen: Sequence[str]) -> DataFrame:
     """One row per category, one ``sN`` column per chosen model."""
     slots = [f"s{i}" for i in range(len(chosen))]
-    radar = category_radar(scores.where(F.col("model_id").isin(*chosen)), benchmarks)
+    radar = category_means(scores.where(F.col("model_id").isin(*chosen)), benchmarks)
     cells = radar.select(
         "category",
         _slots(chosen)[F.col("model_id")].alias("slot"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.scores import half_up
 from ..session import configure
 
-# Display categories, in display order.
+# The display categories, three brand numbers each.
 CATEGORIES = (
     "knowledge", "reasoning", "math", "coding", "agentic",
     "instruction", "chat", "vision", "embedding", "other",

@@ -187,13 +187,15 @@ def normalized_scores(spark, folder):
 
 @query(
     D.with_ctes(
-        "unit_cells",
-        f"""SELECT model_id, category, floor({D.exact_mean_sql('unit')} * 1e6 + 0.5) / 1e6 AS radar_value
-    FROM unit_cells GROUP BY model_id, category""",
+        "models unit_cells",
+        f"""SELECT m.model_id, k.category, floor(v * 1e6 + 0.5) / 1e6 AS radar_value FROM models m CROSS JOIN (SELECT unnest({list(D.CATEGORIES)}) AS category) k
+    LEFT JOIN (SELECT model_id, category, {D.exact_mean_sql('unit')} AS v FROM unit_cells GROUP BY model_id, category) r ON r.model_id = m.model_id AND r.category = k.category""",
     )
 )
 def category_radar(spark, folder):
-    radar = C.category_radar(D.cells(spark, folder), D.benchmarks(spark, folder))
+    radar = C.category_radar(
+        D.models(spark, folder), D.cells(spark, folder), D.benchmarks(spark, folder), D.CATEGORIES
+    )
     return radar.withColumn("radar_value", S.half_up(F.col("radar_value"), 6))
 
 
