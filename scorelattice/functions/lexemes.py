@@ -10,8 +10,9 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 
 class _Number(str):
@@ -38,7 +39,7 @@ def _tagged(value) -> str | None:
     return "o:" + json.dumps(value, ensure_ascii=False)
 
 
-def _collection(text: str | None, path: list[str]) -> list[dict[str, str | None] | None] | None:
+def _collection(text: str | None, path: list[str]) -> list[list[tuple[str, str | None]] | None] | None:
     try:
         node = json.loads(
             text, parse_int=_Number, parse_float=_Number,
@@ -56,26 +57,36 @@ def _collection(text: str | None, path: list[str]) -> list[dict[str, str | None]
     if not isinstance(node, list):
         return None
     return [
-        {k: _tagged(v) for k, v in row.items()} if isinstance(row, dict) else None
+        [(k, _tagged(v)) for k, v in row.items()] if isinstance(row, dict) else None
         for row in node
     ]
 
 
-@pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
-def exact_records(documents: pd.Series, paths: pd.Series) -> pd.Series:
+_RECORDS = pa.list_(pa.map_(pa.string(), pa.string()))
+
+
+@arrow_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+def _decode(documents: pa.Array, paths: pa.Array) -> pa.Array:
+    found = [
+        None if p is None else _collection(d, p)
+        for d, p in zip(documents.to_pylist(), paths.to_pylist())
+    ]
+    return pa.array(found, type=_RECORDS)
+
+
+# Spark copies deterministic expressions into filters it derives, and so would
+# decode every document twice.
+_decode = _decode.asNondeterministic()
+
+
+def exact_records(document: Column | str, path: Column) -> Column:
     """Records of the list at each document's path (an array of steps as text).
 
     Null for a document that is malformed, repeats a key, or has no such list;
     list entries that are no objects come out as null maps so that positions
     keep their meaning.
     """
-    return pd.Series(
-        [
-            None if p is None else _collection(d, list(p))
-            for d, p in zip(documents, paths)
-        ],
-        dtype=object,
-    )
+    return _decode(document, path)
 
 
 def text_field(record: Column, name: Column | str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import jsonpath
 from ..functions.lexemes import exact_records, fixed_text, score_field, text_field
 from ..functions.text import loose_number, strict_number_error
+from ..session import dimension_join
 
 # Name starts of run metrics that describe the run, not its quality.
 METADATA_METRIC_PREFIXES = (
@@ -29,7 +30,7 @@ def json_claims(snapshots: DataFrame, config: DataFrame) -> DataFrame:
     ``config`` has one row per source: ``collection_path`` and the field names
     ``model_field``, ``score_field``, ``metric_field``, ``rank_field``.
     """
-    listed = snapshots.join(config, "source_id").select(
+    listed = dimension_join(snapshots, config, "source_id").select(
         "source_id",
         "snapshot_id",
         "collection_path",

@@ -147,7 +147,7 @@ _ADMITTED = f"""adm AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l
 
 def admitted_claims(spark, folder):
     """Line items as claims with their evidence, policy and matches alongside."""
-    li = D.table(spark, folder, "lineitem")
+    li = D.spread_table(spark, folder, "lineitem")
     part = D.table(spark, folder, "part").select("p_partkey", "p_size", "p_type", "p_brand")
     supp = D.table(spark, folder, "supplier").select("s_suppkey", "s_acctbal")
     rows = li.join(part, F.col("l_partkey") == F.col("p_partkey")).join(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scores import half_up
-from ..session import configure
+from ..session import configure, spread
 
 # The display categories, three brand numbers each.
 CATEGORIES = (
@@ -24,6 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for row-by-row heavy work, shared out if it is stored in few parts."""
+    return spread(table(spark, folder, name))
+
+
 def models(spark: SparkSession, folder: str) -> DataFrame:
     nation = table(spark, folder, "nation")
     return table(spark, folder, "supplier").join(

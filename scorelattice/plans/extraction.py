@@ -29,7 +29,7 @@ _LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 def _json_snapshots(spark, folder):
     """One JSON artifact per line item: three records, one of them without a score."""
-    li = D.table(spark, folder, "lineitem")
+    li = D.spread_table(spark, folder, "lineitem")
     model = F.concat(F.lit('"supplier '), "l_suppkey", F.lit('"'))
     content = F.concat(
         F.lit('{"results":[{"model":'), model, F.lit(',"score":'), _money("l_discount", 4),
@@ -74,7 +74,7 @@ def json_records(spark, folder):
     CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS score_raw FROM orders"""
 )
 def fallback_fields(spark, folder):
-    orders = D.table(spark, folder, "orders")
+    orders = D.spread_table(spark, folder, "orders")
     status = F.col("o_orderstatus")
     entry = F.to_json(
         F.struct(
@@ -102,7 +102,7 @@ def fallback_fields(spark, folder):
 )
 def category_scoped_claims(spark, folder):
     """Returned items and finished lines both name a board ``R``; both at once is ambiguous."""
-    li = D.table(spark, folder, "lineitem")
+    li = D.spread_table(spark, folder, "lineitem")
 
     def board(name, entry, score):
         return F.struct(
@@ -130,7 +130,7 @@ def category_scoped_claims(spark, folder):
     FROM lineitem, (SELECT unnest(['exact_match', 'f1']) AS m)"""
 )
 def run_metrics(spark, folder):
-    li = D.table(spark, folder, "lineitem")
+    li = D.spread_table(spark, folder, "lineitem")
     flat = F.array(
         *[
             F.struct(F.lit(n).alias("name"), v.alias("value"))
@@ -197,7 +197,7 @@ def csv_claims(spark, folder):
 )
 def html_tables(spark, folder):
     """Order pages whose score table has an untidy header, short and blank rows."""
-    orders = D.table(spark, folder, "orders")
+    orders = D.spread_table(spark, folder, "orders")
     status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).otherwise("")
 
     def row(model, score):
@@ -230,7 +230,7 @@ def html_tables(spark, folder):
       SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS body FROM pages) GROUP BY page_id"""
 )
 def page_scripts(spark, folder):
-    scripts = H.page_scripts(D.table(spark, folder, "pages"), "page_id", "html")
+    scripts = H.page_scripts(D.spread_table(spark, folder, "pages"), "page_id", "html")
     return scripts.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("scripts"), F.sum(F.length("content")).alias("script_chars")
     )
@@ -244,7 +244,7 @@ def page_scripts(spark, folder):
 )
 def inline_scripts(spark, folder):
     """Score records embedded in a named script, by order priority usable or not."""
-    orders = D.table(spark, folder, "orders")
+    orders = D.spread_table(spark, folder, "orders")
     priority = F.col("o_orderpriority")
     body = F.concat(F.lit('{"rows":[{"score":'), _money("o_totalprice", 4), F.lit("}]}"))
     good = F.concat(F.lit('<script id="data" type="application/json">'), body, F.lit("</script>"))
@@ -274,7 +274,7 @@ _METRICS = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l
     + " UNPIVOT (score_raw FOR metric_raw IN (quantity, price, discount, tax))"
 )
 def unpivot_claims(spark, folder):
-    li = D.table(spark, folder, "lineitem")
+    li = D.spread_table(spark, folder, "lineitem")
     wide = li.select(
         _line_id().alias("snapshot_id"), F.col("l_suppkey").alias("model_raw"),
         *[_money(c).alias(c) for c in _METRICS.values()],
@@ -300,6 +300,19 @@ def parquet_cells(spark, folder):
     )
 
 
+@query(
+    """SELECT 'orders.parquet' AS file_name, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, CAST(o_custkey AS VARCHAR) AS model_raw,
+    CAST(o_orderkey AS VARCHAR) AS score_raw, o_orderstatus AS split_raw, o_orderpriority AS benchmark_raw FROM orders"""
+)
+def parquet_order_cells(spark, folder):
+    """Order rows, stored in key order, as text cells with their position."""
+    configure(spark)
+    fields = {"model_raw": "o_custkey", "score_raw": "o_orderkey", "split_raw": "o_orderstatus", "benchmark_raw": "o_orderpriority"}
+    cells = T.parquet_cells(spark, f"{folder}/orders.parquet", list(fields.values()))
+    claims = X.renamed_claims(cells, fields, ["file_path", "row_index"])
+    return claims.select(F.element_at(F.split("file_path", "/"), -1).alias("file_name"), "row_index", *fields)
+
+
 @query("SELECT 'lineitem.parquet' AS file_name, count(*) AS n_rows FROM lineitem")
 def parquet_row_counts(spark, folder):
     configure(spark)
@@ -309,7 +322,7 @@ def parquet_row_counts(spark, folder):
 
 def _order_claims(spark, folder):
     """Three facts per line; the order is the snapshot, (part, fact) the identity."""
-    wide = D.table(spark, folder, "lineitem").select(
+    wide = D.spread_table(spark, folder, "lineitem").select(
         "l_orderkey", F.concat(F.lit("part "), "l_partkey").alias("model_raw"),
         _money("l_quantity").alias("quantity"),
         F.when(F.col("l_discount") < 0.1, _money("l_discount")).otherwise("n/a").alias("discount"),
@@ -369,7 +382,7 @@ def reread_validation(spark, folder):
     """Claims taken from the line items, checked against the artifacts' records."""
     snapshots = _json_snapshots(spark, folder)
     records = X.json_claims(snapshots, _config(spark)).dropDuplicates(["snapshot_id", "record_path"])
-    li = D.table(spark, folder, "lineitem")
+    li = D.spread_table(spark, folder, "lineitem")
     model = F.concat(F.lit("supplier "), "l_suppkey").alias("model_raw")
     first = li.select(
         _line_id().alias("snapshot_id"), F.lit("$.results[0]").alias("record_path"), model,
@@ -408,7 +421,7 @@ def contains_value(spark, folder):
         ((CASE WHEN l_discount > 0 THEN l_discount ELSE 0 END) + l_tax) / ((l_discount > 0)::INT + (l_tax > 0)::INT) AS b FROM lineitem)"""
 )
 def mean_of_means(spark, folder):
-    li = D.table(spark, folder, "lineitem")
+    li = D.spread_table(spark, folder, "lineitem")
     wide = li.select(
         "l_orderkey", "l_linenumber", "l_partkey",
         F.col("l_quantity").cast("string").alias("quantity"),
@@ -444,7 +457,7 @@ def windowed_mean_fallback(spark, folder):
 )
 def prefix_map_mean(spark, folder):
     """JSON lines of results by domain; lines of error events are cut short."""
-    ev = D.table(spark, folder, "events")
+    ev = D.spread_table(spark, folder, "events")
     line = F.concat(
         F.lit('{"model":"user '), "user_id", F.lit('","results":{"'), "event_type", F.lit('":{"pass_1":'),
         F.col("value").cast("string"), F.lit(',"fail":1,"pass_note":"none"},"props":{"pass_k":'),

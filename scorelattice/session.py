@@ -12,7 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -81,3 +81,28 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/scorelattice-stage/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Share out a scan with fewer parts than the cluster has slots.
+
+    For expression- or Python-heavy work over few, large row groups.  An input
+    that already has a part per slot is left alone, so large tables are never
+    shuffled for this.  Only for plain scans: counting parts plans the frame.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+
+
+DIMENSION_ROWS = 100_000
+
+
+def dimension_join(facts: DataFrame, dimension: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join a registry-like table: broadcast if it is counted as small, else shuffled.
+
+    The count looks at no more than the limit, so it is cheap either way.
+    Without it, a side that Spark cannot size (one made from local rows) makes
+    it shuffle, or even broadcast, the facts.
+    """
+    small = dimension.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS
+    return facts.join(F.broadcast(dimension) if small else dimension, on, how)
