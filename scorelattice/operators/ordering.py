@@ -17,19 +17,22 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 MAX_CUTS = 1024
 ROWS_PER_BUCKET = 1_000_000
+# Stand-in group of positions over a whole table.
+_WHOLE = "_all"
 
 
 def _bucketed(keyed: DataFrame, groups: Sequence[str], rows_per_bucket: int) -> DataFrame:
     """Add ``_b``, the number of cut points of the row's group below its ``_k``."""
     total = keyed.agg(F.count(F.lit(1)).alias("n")).scalar()
     stride = F.greatest(F.lit(rows_per_bucket), F.floor(total / MAX_CUTS))
-    cuts = (
-        keyed.where(F.pmod(F.xxhash64("_k"), stride) == 0)
-        .groupBy(*groups)
-        .agg(F.array_sort(F.collect_set("_k")).alias("_cuts"))
-    )
+    picked = keyed.where(F.pmod(F.xxhash64("_k"), stride) == 0)
+    listed = F.array_sort(F.collect_set("_k")).alias("_cuts")
     # At most about MAX_CUTS keys exist in total, whatever the input size.
-    joined = keyed.join(F.broadcast(cuts), list(groups), "left")
+    if list(groups) == [_WHOLE]:
+        joined = keyed.withColumn("_cuts", picked.agg(listed).scalar())
+    else:
+        cuts = picked.groupBy(*groups).agg(listed)
+        joined = keyed.join(F.broadcast(cuts), list(groups), "left")
     below = F.size(F.filter("_cuts", lambda c: c < F.col("_k")))
     return joined.withColumn(
         "_b", F.when(F.col("_cuts").isNull(), 0).otherwise(below)
@@ -57,9 +60,9 @@ def sequential_position(
     ``keys`` must tell rows apart; negate numbers for descending order.  Nulls
     come first.
     """
-    own = list(groups) or ["_all"]
+    own = list(groups) or [_WHOLE]
     key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    base = df if groups else df.withColumn("_all", F.lit(1))
+    base = df if groups else df.withColumn(_WHOLE, F.lit(1))
     placed = _bucketed(base.withColumn("_k", key), own, rows_per_bucket)
     numbered = placed.join(_offsets(placed, own, F.lit(1)), [*own, "_b"])
     local = W.partitionBy(*own, "_b").orderBy("_k")
@@ -80,9 +83,9 @@ def competition_position(
     Equal keys are counted before anything is ordered, so a value that a third
     of the rows share is one row in the ordering step.
     """
-    own = list(groups) or ["_all"]
+    own = list(groups) or [_WHOLE]
     key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    base = df if groups else df.withColumn("_all", F.lit(1))
+    base = df if groups else df.withColumn(_WHOLE, F.lit(1))
     keyed = base.withColumn("_k", key)
     values = keyed.groupBy(*own, "_k").agg(F.count(F.lit(1)).alias("_c"))
     placed = _bucketed(values, own, rows_per_bucket)

@@ -19,12 +19,21 @@ def _money(name, scale=2):
 
 
 def _line_id():
-    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """A line's identity: every field its artifact is made from.
+
+    Order and line number repeat in this data, and rows equal in all of these
+    fields give one and the same artifact.
+    """
+    return F.concat_ws(
+        "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _money("l_extendedprice"),
+        _money("l_discount"), _money("l_tax"), "l_returnflag", "l_linestatus",
+    )
 
 
-# A line's identity: order and line number repeat in this data, so the part and
-# the price complete it where single rows must be told apart.
-_LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+_LINE_ID = (
+    "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_extendedprice AS DECIMAL(18,2)), "
+    "CAST(l_discount AS DECIMAL(18,2)), CAST(l_tax AS DECIMAL(18,2)), l_returnflag, l_linestatus)"
+)
 
 
 def _json_snapshots(spark, folder):
@@ -268,7 +277,7 @@ _METRICS = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l
 
 
 @query(
-    f"SELECT {_LINE_ID} AS snapshot_id, l_suppkey AS model_raw, metric_raw, score_raw FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,"
+    f"SELECT snapshot_id, l_suppkey AS model_raw, metric_raw, score_raw FROM (SELECT {_LINE_ID} AS snapshot_id, l_suppkey,"
     + "CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR) AS quantity, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS price,"
     + "CAST(CAST(l_discount AS DECIMAL(18,2)) AS VARCHAR) AS discount, CAST(CAST(l_tax AS DECIMAL(18,2)) AS VARCHAR) AS tax FROM lineitem)"
     + " UNPIVOT (score_raw FOR metric_raw IN (quantity, price, discount, tax))"
@@ -373,7 +382,7 @@ def rank_permutation(spark, folder):
 
 
 @query(
-    f"""WITH {_JSON_CLAIMS_SQL}, k AS (SELECT {_LINE_ID} AS snapshot_id, l_tax, count(*) AS c FROM lineitem GROUP BY ALL)
+    f"""WITH {_JSON_CLAIMS_SQL}
     SELECT outcome, count(*) AS n FROM (
       SELECT CASE WHEN l_returnflag = 'R' THEN 'uncertain' WHEN l_tax = 0.08 THEN 'fail' ELSE 'pass' END AS outcome FROM lineitem
       UNION ALL SELECT CASE WHEN l_returnflag = 'R' THEN 'uncertain' ELSE 'pass' END FROM lineitem) GROUP BY outcome"""

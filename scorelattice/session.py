@@ -33,6 +33,13 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings that results and skew handling rely on."""
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        # Streaming state keeps one store per shuffle partition; the cluster
+        # default of 200 would be 200 stores on a handful of threads.
+        slots = context.defaultParallelism
+        if int(spark.conf.get("spark.sql.shuffle.partitions")) > 2 * slots:
+            spark.conf.set("spark.sql.shuffle.partitions", str(slots))
     return spark
 
 
