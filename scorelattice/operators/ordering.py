@@ -77,12 +77,18 @@ def competition_position(
     keys: Sequence[Column],
     position: str,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    known_rows: int | None = None,
 ) -> DataFrame:
     """Rank with shared places (1, 1, 3) by ``keys`` ascending; keys not null.
 
     Equal keys are counted before anything is ordered, so a value that a third
-    of the rows share is one row in the ordering step.
+    of the rows share is one row in the ordering step.  A caller that has
+    counted its rows passes ``known_rows``: up to one bucket's worth of them is
+    ranked in a plain window.
     """
+    if known_rows is not None and known_rows <= rows_per_bucket:
+        plain = W.partitionBy(*groups).orderBy(*keys)
+        return df.withColumn(position, F.rank().over(plain).cast("long"))
     own = list(groups) or [_WHOLE]
     key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
     base = df if groups else df.withColumn(_WHOLE, F.lit(1))

@@ -87,7 +87,8 @@ def coverage_ranking(
     # Models below the threshold go to the end of one shared ordering, so they
     # take no place from the ranked ones and their position is blanked after.
     late = F.when(F.col("unranked_reason").isNull(), 0).otherwise(1)
-    placed = competition_position(rows, [], [late, F.col("rank_sum"), -F.col("firsts")], "_place")
+    keys = [late, F.col("rank_sum"), -F.col("firsts")]
+    placed = competition_position(rows, [], keys, "_place", known_rows=rows.count())
     has_total = F.col("total") > 0
     return placed.select(
         *models.columns,

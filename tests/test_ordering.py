@@ -36,6 +36,8 @@ def test_competition_position(spark, rows_per_bucket):
     got = competition_position(df, ["g"], [-F.col("v")], "p", rows_per_bucket)
     want = {x[2]: 1 + sum(y[0] == x[0] and y[1] > x[1] for y in items) for x in items}
     assert {r.i: r.p for r in got.collect()} == want
+    known = competition_position(df, ["g"], [-F.col("v")], "p", rows_per_bucket, known_rows=len(items))
+    assert {r.i: r.p for r in known.collect()} == want
 
 
 def test_whole_table_position(spark):
