@@ -68,8 +68,9 @@ keys AS (SELECT 1 AS tier, alias_text AS key, entity_id FROM live UNION ALL SELE
   UNION ALL SELECT 6, regexp_replace(lower(display_name), '[^a-z0-9]+', '', 'g'), entity_id FROM ents),
 idx AS (SELECT tier, key, count(DISTINCT entity_id) AS n, min(entity_id) AS e FROM keys GROUP BY tier, key),
 raws AS (SELECT DISTINCT raw FROM ment),
-hits AS (SELECT raw, tier, n, e FROM raws JOIN idx ON key = CASE WHEN tier IN (1, 4) THEN raw WHEN tier IN (2, 5) THEN lower(raw)
-   ELSE regexp_replace(lower(raw), '[^a-z0-9]+', '', 'g') END),
+rawkeys AS (SELECT raw, tier, CASE WHEN tier IN (1, 4) THEN raw WHEN tier IN (2, 5) THEN lower(raw)
+   ELSE regexp_replace(lower(raw), '[^a-z0-9]+', '', 'g') END AS key FROM raws, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS tier)),
+hits AS (SELECT raw, tier, n, e FROM rawkeys JOIN idx USING (tier, key)),
 best AS (SELECT raw, min(tier) AS tier, arg_min(n, tier) AS n, arg_min(e, tier) AS e FROM hits GROUP BY raw),
 res AS (SELECT o_orderkey, m.raw, CAST(tier AS INTEGER) AS tier, CASE WHEN tier IS NULL THEN 'unmatched' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status,
    CASE WHEN n = 1 THEN e END AS entity_id FROM ment m LEFT JOIN best b ON b.raw = m.raw)
