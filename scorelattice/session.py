@@ -9,8 +9,10 @@ join is made from a measured size and never from a hint.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -33,6 +35,7 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings that results and skew handling rely on."""
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     context = spark.sparkContext
     if context.master.startswith("local"):
         # Streaming state keeps one store per shuffle partition; the cluster
@@ -43,6 +46,30 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, wherever the driver was started from.
+
+    Functions that run in Python workers are pickled by name.  The driver serves
+    the archive to the executors itself, once per application.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="scorelattice-code-"), "scorelattice_code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("scorelattice", os.path.relpath(full, home)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def local_session(cpus: int | str = "*", **extra: str) -> SparkSession:
     """A session for tests and benches on one machine."""
     builder = (
