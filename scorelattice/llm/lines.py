@@ -73,8 +73,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     ``body`` is a hash of the text: rows that repeat an id keep their own lines.
     """
     keys = staged(line_keys(docs, min_chars))
+    # Stored, so that the join reads two plain tables: its hot keys can be split, or the small side broadcast.
+    repeated = staged(repeated_keys(keys, min_docs, salts))
     lost = (
-        keys.join(repeated_keys(keys, min_docs, salts), ["h1", "h2"])
+        keys.join(repeated, ["h1", "h2"])
         .where(F.col("doc") < F.col("last"))
         .select("doc", "body", "pos")
     )

@@ -43,8 +43,10 @@ SEED = 42
 MAX_BITS = 2
 BLOCK_BITS = 16
 BLOCKS = 64 // BLOCK_BITS
+#: Pairs of blocks on which two near fingerprints may agree.
+PAIRS = tuple(combinations(range(BLOCKS), 2))
 #: Reference fingerprints of the distance table.
-REFERENCES = tuple(Random(8).getrandbits(64) for _ in range(12))
+REFERENCES = tuple(map(Random(8).getrandbits, [64] * 12))
 #: Rows of a bucket up to which its pairs are formed.
 DENSE = 64
 #: Shingles whose bits are added up at a time.
@@ -94,25 +96,12 @@ def _mask(block: int) -> int:
 
 
 def distance_table(prints: DataFrame) -> DataFrame:
-    """(print, near): for each block the distances to every reference, as an array of arrays."""
-    blocks = [
-        F.array(
-            *[
-                F.bit_count(F.col("print").bitwiseXOR(F.lit(_signed(r))).bitwiseAND(F.lit(_signed(_mask(b)))))
-                for r in REFERENCES
-            ]
-        )
-        for b in range(BLOCKS)
+    """(print, far, near0..near3): distances to every reference, whole and for each block."""
+    mixed = [F.col("print").bitwiseXOR(F.lit(_signed(r))) for r in REFERENCES]
+    near = [
+        F.array(*[F.bit_count(m.bitwiseAND(F.lit(_signed(_mask(b))))) for m in mixed]).alias(f"near{b}") for b in range(BLOCKS)
     ]
-    return prints.select("print", F.array(*blocks).alias("near"))
-
-
-def _coordinates(near: str) -> Column:
-    """Distances of the whole fingerprint: the blocks' shares added up."""
-    table = F.col(near)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(len(REFERENCES) - 1)), lambda i: sum((table[b][i] for b in range(1, BLOCKS)), table[0][i])
-    )
+    return prints.select("print", F.array(*[F.bit_count(m) for m in mixed]).alias("far"), *near)
 
 
 def links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
@@ -120,16 +109,11 @@ def links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
 
     All pairs of sparse buckets; of dense ones, links that join the same rows.
     """
-    table = distance_table(prints.select("print").distinct())
+    table = staged(distance_table(prints.select("print").distinct()))
     choices = [
-        F.struct(F.lit(p).alias("choice"), F.xxhash64(F.col("near")[i], F.col("near")[j]).alias("key"))
-        for p, (i, j) in enumerate(combinations(range(BLOCKS), 2))
+        F.struct(F.lit(p).alias("choice"), F.xxhash64(f"near{i}", f"near{j}").alias("key")) for p, (i, j) in enumerate(PAIRS)
     ]
-    keyed = staged(
-        table.select("print", _coordinates("near").alias("far"), F.explode(F.array(*choices)).alias("k")).select(
-            "print", "far", "k.choice", "k.key"
-        )
-    )
+    keyed = table.select("print", "far", F.explode(F.array(*choices)).alias("k")).select("print", "far", "k.choice", "k.key")
     sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = staged(keyed.join(sizes, ["choice", "key"]))
     sparse = crowded.where(F.col("n") <= dense).drop("n")
@@ -147,14 +131,14 @@ def links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
 
 def _dense_links(crowded: DataFrame) -> DataFrame:
     """Links of buckets too full for pairs: agree on all bits but two chosen ones."""
-    parts = []
-    for p, (i, j) in enumerate(combinations(range(BLOCKS), 2)):
-        free = [b for b in range(64) if b // BLOCK_BITS not in (i, j)]
-        masks = [_signed(~((1 << x) | (1 << y)) & (2**64 - 1)) for x, y in combinations(free, 2)]
-        parts.append(F.when(F.col("choice") == p, F.array(*[F.lit(m) for m in masks])))
-    masked = crowded.select("print", F.explode(F.coalesce(*parts)).alias("mask")).select(
-        "print", "mask", F.col("print").bitwiseAND(F.col("mask")).alias("rest")
-    )
+    masks = [
+        (p, _signed(~((1 << x) | (1 << y)) & (2**64 - 1)))
+        for p, chosen in enumerate(PAIRS)
+        for x, y in combinations([b for b in range(64) if b // BLOCK_BITS not in chosen], 2)
+    ]
+    # 6 x 496 rows, whatever the data.
+    small = F.broadcast(crowded.sparkSession.createDataFrame(masks, "choice int, mask long"))
+    masked = crowded.select("choice", "print").join(small, "choice").select("print", "mask", F.col("print").bitwiseAND(F.col("mask")).alias("rest"))
     least = masked.groupBy("mask", "rest").agg(F.min("print").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return masked.join(least, ["mask", "rest"]).where(F.col("print") > F.col("b")).select(F.col("print").alias("a"), "b")
 
