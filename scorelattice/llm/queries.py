@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, lines, quality, simhash
+from . import bpe, decontam, lines, pii, quality, simhash, toxicity
 from .common import remainder, table
 
 QUERIES: dict = {}
@@ -16,6 +16,12 @@ def query(fn):
     return fn
 
 
+@query
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.find_spans(docs, pii.fit(docs))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"))
@@ -33,12 +39,26 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op6_toxic_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    lexicon = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.scored(docs, lexicon).select(
+        "doc_id",
+        (remainder("doc_id", toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"),
+        "weight",
+        "n_words",
+    )
+
+
 @query
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     judged = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return judged.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
 
 
