@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, lines, pii, quality, simhash, toxicity
+from . import bpe, chunks, decontam, licenses, lines, neighbours, pii, quality, simhash, toxicity
+from ..session import staged
 from .common import remainder, table
 
 QUERIES: dict = {}
@@ -16,6 +17,15 @@ def query(fn):
     return fn
 
 
+@query
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts as files: each source is a tree of directories of twenty files."""
+    docs = table(spark, folder, "documents")
+    number = F.col("doc_id")
+    path = F.concat_ws("/", "source", F.floor(number / 400).cast("string"), F.floor(number / 20).cast("string"), F.concat(number.cast("string"), F.lit(".txt")))
+    return licenses.inherited(staged(licenses.scan(docs, path)))
+
+
 @query
 def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -39,6 +49,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.repeated_passages(table(spark, folder, "documents"))
+
+
 @query
 def op6_toxic_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -68,6 +83,11 @@ def op8_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     return linked.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
 
 
+@query
+def op9_posting_list_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 @query
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     marked = lines.mark_lines(table(spark, folder, "documents").select("doc_id", "text"))
