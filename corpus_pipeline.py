@@ -44,7 +44,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
     prepared(spark)
-    return bpe.encode_digests(docs)
+    return bpe.encode_digests(docs, stored=True)
 
 
 STAGES = [

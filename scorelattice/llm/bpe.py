@@ -1,18 +1,25 @@
 """Byte-level BPE over a global shuffle of distinct words (operator 3).
 
 1. Texts are cut into pre-tokens.  A task collects them block by block: the
-   distinct pre-tokens of the block with a number each, and the sequence of
-   numbers of its documents (the positions, pre-aggregated).
-2. The blocks' words meet by value: all rows of a word, one per block, land in
-   one task, which merges each distinct word once.
+   distinct pre-tokens of the block, numbered by frequency, and the numbers in
+   the order of its documents (the positions, pre-aggregated).
+2. The blocks' words meet by value: those of a block that hash to one bucket
+   travel in one packed row, all rows of a bucket land in one task, and each
+   distinct word is merged once.
 3. The ids go back to their block, where the sequences are reassembled by
    position; decoding looks each id up in the table of token bytes.
 
-A word that every document holds costs one row per block, so no key is hot.
+A word that every document holds costs one entry per block, so no key is hot.
 A block holds about ``BLOCK_TOKENS`` pre-tokens, or one document if that is
 larger.  The rank file (a vocabulary, fixed in size) is read by the driver and
 broadcast.
 
+Texts are cut twice, once for the words and once for the sequences, so that
+sequences, the larger part, cross the network once.  Blocks are named by a
+digest of their documents: should the second reading meet rows in another order
+than the first, a block lacks its words and the job fails instead of giving
+wrong ids.  Input that is not a stored table is therefore stored first.
+
 Defined results: null text is the empty text (no tokens); null ids and repeated
 rows are carried along; an empty table gives an empty result; further columns
 are ignored.
@@ -23,15 +30,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import staged
 from .common import whole_text
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -39,12 +48,12 @@ RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 4_000_000
 #: Pre-tokens in one row of sequences, or one document's.
 CHUNK_TOKENS = 500_000
-#: Rows of a batch that is handed back to Spark.
-ROWS = 1 << 16
+#: Buckets of words: so many, or so many for each shuffle partition if that is more.
+BUCKETS, BUCKETS_PER_PARTITION = 1024, 8
 #: Words up to this length are merged by scanning, longer ones with a heap.
 SHORT = 64
 NEVER = 1 << 62
-_ROWS = "block long, place int, data binary"
+_ROWS = "block long, bucket int, data binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -115,83 +124,127 @@ def _pack(ids: list, lengths: list[int], numbers: np.ndarray) -> bytes:
     nulls = np.array([x is None for x in ids], np.uint8)
     own = np.array([0 if x is None else x for x in ids], "<i8")
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    raw = b"".join([own.tobytes(), np.array(lengths, "<i8").tobytes(), nulls.tobytes(), planes.tobytes()])
-    head = np.array([len(ids), len(numbers), len(raw)], "<i8").tobytes()
-    return head + pa.compress(raw, codec="zstd", asbytes=True)
+    return _squeeze([own, np.array(lengths, "<i8"), nulls, planes])
 
 
 def _unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    docs, tokens, size = (int(x) for x in np.frombuffer(data, "<i8", 3))
-    raw = pa.decompress(data[24:], size, codec="zstd", asbytes=True)
-    own, lengths = np.frombuffer(raw, "<i8", docs), np.frombuffer(raw, "<i8", docs, 8 * docs)
-    nulls = np.frombuffer(raw, np.uint8, docs, 16 * docs)
-    planes = np.frombuffer(raw, np.uint8, 4 * tokens, 17 * docs).reshape(4, tokens)
-    numbers = np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    own, lengths, nulls, planes = _unsqueeze(data, ("<i8", "<i8", np.uint8, np.uint8))
+    numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1)
     return [None if gone else int(x) for x, gone in zip(own, nulls)], lengths, numbers
 
 
-def _rows(block: int, places, data: list[bytes]) -> pa.RecordBatch:
+def _squeeze(parts: list) -> bytes:
+    """Arrays or bytes as one compressed value, their sizes in front."""
+    raw = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
+    head = np.array([len(raw), *map(len, raw)], "<i8").tobytes()
+    return head + pa.compress(b"".join(raw), codec="zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes, kinds: tuple) -> list:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    sizes = np.frombuffer(data, "<i8", n, 8)
+    raw = pa.decompress(data[8 * (n + 1) :], int(sizes.sum()), codec="zstd", asbytes=True)
+    ends = np.cumsum(sizes)
+    parts = [raw[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist())]
+    return [p if kind is bytes else np.frombuffer(p, kind) for p, kind in zip(parts, kinds)]
+
+
+def _rows(block: int, buckets: list[int], data: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(data), block, np.int64)), pa.array(places, pa.int32()), pa.array(data, pa.binary())],
-        names=["block", "place", "data"],
+        [pa.array([block] * len(data), pa.int64()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())],
+        names=["block", "bucket", "data"],
     )
 
 
-def _flush(block: int, words: dict[str, int], ids: list, numbers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    every = np.concatenate(numbers) if numbers else np.empty(0, np.uint32)
-    order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    chunk, at, size, start = 0, 0, 0, 0
-    for k, one in enumerate(numbers):
-        size += len(one)
-        if size >= CHUNK_TOKENS or k == len(numbers) - 1:
-            part = _pack(ids[at : k + 1], [len(x) for x in numbers[at : k + 1]], rank[every[start : start + size]])
-            chunk += 1
-            yield _rows(block, [-chunk], [part])
-            at, start, size = k + 1, start + size, 0
-    listed = list(words)
-    for i in range(0, len(order), ROWS):
-        picked = order[i : i + ROWS].tolist()
-        yield _rows(block, np.arange(i, i + len(picked), dtype=np.int32), [listed[w].encode() for w in picked])
-
-
-def _cutter(pattern: str, block_tokens: int):
+class _Block:
+    """Documents cut so far: their words, and each document's sequence of word numbers."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, int] = {}
+        self.ids: list = []
+        self.numbers: list[np.ndarray] = []
+        self.held = 0
+        self.digest = xxhash.xxh64()
+
+    def add(self, own, text: str, tokens: list[str]) -> None:
+        number, words = self.words.setdefault, self.words
+        self.ids.append(own)
+        self.numbers.append(np.fromiter((number(t, len(words)) for t in tokens), np.uint32, len(tokens)))
+        self.held += len(tokens)
+        self.digest.update(f"{own}:{len(text)}:".encode())
+        self.digest.update(text.encode())
+
+    def ranked(self) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """Name, all numbers, words by falling frequency, and each word's place in that order."""
+        every = np.concatenate(self.numbers)
+        order = np.argsort(-np.bincount(every, minlength=len(self.words)), kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        return self.digest.intdigest() - 2**63, every, order, place
+
+    def sequences(self, _) -> Iterator[pa.RecordBatch]:
+        name, every, _, place = self.ranked()
+        at, size, start, chunk = 0, 0, 0, 0
+        for k, one in enumerate(self.numbers):
+            size += len(one)
+            if size >= CHUNK_TOKENS or k == len(self.numbers) - 1:
+                lengths = [len(x) for x in self.numbers[at : k + 1]]
+                chunk -= 1
+                yield _rows(name, [chunk], [_pack(self.ids[at : k + 1], lengths, place[every[start : start + size]])])
+                at, start, size = k + 1, start + size, 0
+
+    def vocabulary(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        name, _, order, _ = self.ranked()
+        listed = [w.encode() for w in self.words]
+        listed = [listed[i] for i in order.tolist()]
+        home = np.fromiter((zlib.crc32(w) % buckets for w in listed), np.int64, len(listed))
+        sizes = np.fromiter(map(len, listed), np.uint32, len(listed))
+        by_bucket = np.argsort(home, kind="stable")
+        edges = np.flatnonzero(np.diff(home[by_bucket], prepend=-1))
+        out, where = [], []
+        for places in np.split(by_bucket, edges[1:]) if len(edges) else ():
+            gaps = np.diff(places, prepend=0).astype("<u4")
+            out.append(_squeeze([gaps, sizes[places].astype("<u4"), b"".join([listed[i] for i in places.tolist()])]))
+            where.append(int(home[places[0]]))
+        yield _rows(name, where, out)
+
+
+def _cutter(pattern: str, block_tokens: int, flush, buckets: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        block, words, ids, numbers, held = TaskContext.get().partitionId() << 32, {}, [], [], 0
+        find, block = regex.compile(pattern).findall, _Block()
         for batch in batches:
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = find(text)
-                number = words.setdefault
-                ids.append(own)
-                numbers.append(np.fromiter((number(t, len(words)) for t in tokens), np.uint32, len(tokens)))
-                held += len(tokens)
-                if held >= block_tokens:
-                    yield from _flush(block, words, ids, numbers)
-                    block, words, ids, numbers, held = block + 1, {}, [], [], 0
-        if ids:
-            yield from _flush(block, words, ids, numbers)
+                block.add(own, text, find(text))
+                if block.held >= block_tokens:
+                    yield from flush(block, buckets)
+                    block = _Block()
+        if block.ids:
+            yield from flush(block, buckets)
 
     return cut
 
 
 def _encoder(ranks):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
         table = ranks.value
-        kind = _id_type(table)
+        kind, now, known = _id_type(table), None, {}
         for batch in batches:
-            places, data = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             out = []
-            for place, word in zip(places, data):
-                if place >= 0:
+            for bucket, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if bucket != now:  # rows come by bucket, so no word of the last one comes again
+                    now, known = bucket, {}
+                gaps, sizes, blob = _unsqueeze(data, ("<u4", "<u4", bytes))
+                at, ids, counts = 0, [], []
+                for size in sizes.tolist():
+                    word = blob[at : at + size]
+                    at += size
                     got = known.get(word)
                     if got is None:
-                        got = known[word] = np.array(merge(word, table), kind).tobytes()
-                    word = got
-                out.append(word)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "place", "data"])
+                        got = known[word] = merge(word, table)
+                    ids += got
+                    counts.append(len(got))
+                out.append(_squeeze([gaps, np.array(counts, "<u4"), np.array(ids, kind)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "data"])
 
     return encode
 
@@ -200,28 +253,35 @@ def _id_type(ranks: dict[bytes, int]) -> str:
     return "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
 
 
-class _Block:
-    """The words of one block as they come back, and its sequences."""
+class _Returned:
+    """What came back for a block: packed sequences, and ids of words by place."""
 
     def __init__(self) -> None:
         self.chunks: list[bytes] = []
-        self.ids: list[bytes] = []
-
-
-def _finish_digests(block: _Block, kind: str, token_bytes: list[bytes], token_texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-    texts, decoded, sizes = [], [], []
-    for data in block.ids:
-        ids = np.frombuffer(data, kind).tolist()
-        texts.append(b" ".join([token_texts[t] for t in ids]))
-        decoded.append(b"".join([token_bytes[t] for t in ids]))
-        sizes.append(len(ids))
-    sizes = np.array(sizes, np.int64)
+        self.packed: list[bytes] = []
+
+    def words(self, kind: str) -> list[list[int] | None]:
+        """Ids of each word; blocks that are equal have one name and agree here."""
+        found: dict[int, list[int]] = {}
+        for data in self.packed:
+            gaps, counts, ids = _unsqueeze(data, ("<u4", "<u4", kind))
+            listed, ends = ids.tolist(), np.cumsum(counts).tolist()
+            for place, n, end in zip(np.cumsum(gaps.astype(np.int64)).tolist(), counts.tolist(), ends):
+                found[place] = listed[end - n : end]
+        return [found[i] for i in range(len(found))]
+
+
+def _finish_digests(block: _Returned, kind: str, token_bytes: list[bytes], token_texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    words = block.words(kind)
+    texts = [b" ".join([token_texts[t] for t in ids]) for ids in words]
+    decoded = [b"".join([token_bytes[t] for t in ids]) for ids in words]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     for chunk in block.chunks:
         own, lengths, numbers = _unpack(chunk)
-        ends = np.cumsum(lengths)
-        counts, shown, shown_decoded = [], [], []
-        for end, length in zip(ends.tolist(), lengths.tolist()):
-            part = numbers[end - length : end]
+        counts, shown, shown_decoded, at = [], [], [], 0
+        for length in lengths.tolist():
+            part = numbers[at : at + length]
+            at += length
             places = part.tolist()
             counts.append(int(sizes[part].sum()))
             shown.append(hashlib.sha256(b" ".join([texts[i] for i in places])).hexdigest())
@@ -232,16 +292,17 @@ def _finish_digests(block: _Block, kind: str, token_bytes: list[bytes], token_te
         )
 
 
-def _finish_ids(block: _Block, kind: str, token_bytes, token_texts) -> Iterator[pa.RecordBatch]:
-    words = [np.frombuffer(data, kind).astype(np.int32) for data in block.ids]
+def _finish_ids(block: _Returned, kind: str, token_bytes, token_texts) -> Iterator[pa.RecordBatch]:
+    words = [np.array(ids, np.int32) for ids in block.words(kind)]
     for chunk in block.chunks:
         own, lengths, numbers = _unpack(chunk)
-        ends = np.cumsum(lengths)
-        for k, (end, length) in enumerate(zip(ends.tolist(), lengths.tolist())):
-            places = numbers[end - length : end].tolist()
+        at = 0
+        for name, length in zip(own, lengths.tolist()):
+            places = numbers[at : at + length].tolist()
+            at += length
             ids = np.concatenate([words[i] for i in places]) if places else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([own[k]], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], names=["doc_id", "ids"]
+                [pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], names=["doc_id", "ids"]
             )
 
 
@@ -250,14 +311,14 @@ def _assembler(ranks, finish):
         table = ranks.value
         kind, token_bytes = _id_type(table), _token_table(table)
         token_texts = [b"%d" % i for i in range(len(token_bytes))]
-        now, block = None, _Block()
+        now, block = None, _Returned()
         for batch in batches:
-            for name, place, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for name, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if name != now:
                     if now is not None:
                         yield from finish(block, kind, token_bytes, token_texts)
-                    now, block = name, _Block()
-                (block.ids if place >= 0 else block.chunks).append(data)
+                    now, block = name, _Returned()
+                (block.packed if bucket >= 0 else block.chunks).append(data)
         if now is not None:
             yield from finish(block, kind, token_bytes, token_texts)
 
@@ -272,30 +333,38 @@ def _token_table(ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
-def _encoded(docs: DataFrame, ranks_path: str | None, pattern: str, block_tokens: int, finish, schema: str) -> DataFrame:
+def _encoded(docs: DataFrame, ranks_path: str | None, pattern: str, block_tokens: int, stored: bool, finish, schema: str) -> DataFrame:
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path or public_tokenizers.path(RANKS)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    cut = texts.mapInArrow(_cutter(pattern, block_tokens), _ROWS)
-    met = F.when(F.col("place") >= 0, F.xxhash64("data")).otherwise(F.xxhash64("block", "place"))
-    merged = cut.repartition(met).mapInArrow(_encoder(ranks), _ROWS)
-    home = merged.repartition("block").sortWithinPartitions("block", "place")
+    if not stored:
+        texts = staged(texts)
+    buckets = max(BUCKETS, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = texts.mapInArrow(_cutter(pattern, block_tokens, _Block.vocabulary, buckets), _ROWS)
+    merged = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(ranks), _ROWS)
+    sequences = texts.mapInArrow(_cutter(pattern, block_tokens, _Block.sequences, buckets), _ROWS)
+    home = merged.unionAll(sequences).repartition("block").sortWithinPartitions("block")
     return home.mapInArrow(_assembler(ranks, finish), schema)
 
 
 def encode_digests(
-    docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, block_tokens: int = BLOCK_TOKENS
+    docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN,
+    block_tokens: int = BLOCK_TOKENS, stored: bool = False,
 ) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, decoded again, and digested."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, decoded again, and digested.
+
+    ``stored``: ``docs`` is read from files as it is, so that reading it again gives the same rows in the same order.
+    """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _encoded(docs, ranks_path, pattern, block_tokens, _finish_digests, schema)
+    return _encoded(docs, ranks_path, pattern, block_tokens, stored, _finish_digests, schema)
 
 
 def encode(
-    docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, block_tokens: int = BLOCK_TOKENS
+    docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN,
+    block_tokens: int = BLOCK_TOKENS, stored: bool = False,
 ) -> DataFrame:
     """(doc_id, ids): the ids of every text."""
-    return _encoded(docs, ranks_path, pattern, block_tokens, _finish_ids, "doc_id long, ids array<int>")
+    return _encoded(docs, ranks_path, pattern, block_tokens, stored, _finish_ids, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:

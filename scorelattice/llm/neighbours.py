@@ -40,10 +40,10 @@ SAMPLE, MOST_LISTS = 16_384, 4_096
 LIST_SIZE = 128
 #: Lists a boundary vector is posted to, and how much farther than the nearest they may be.
 COPIES, COPY_RATIO = 3, 1.08
-#: Lists that a query searches at most, and how much farther than the nearest they may be.
-PROBES, PROBE_RATIO = 64, 1.6
+#: Lists that a query searches at least and at most, and how much farther than the nearest those in between may be.
+LEAST_PROBES, PROBES, PROBE_RATIO = 32, 96, 1.6
 #: Neighbours of a centroid in the graph, and candidates kept during the walk.
-DEGREE, BEAM = 24, 160
+DEGREE, BEAM = 24, 192
 #: Rows of a list, and its queries, that meet in one group.
 BLOCK = 4_096
 ROUNDS, PRICE = 12, 0.05
@@ -163,7 +163,9 @@ def _prober(centres, probes: int, ratio: float, beam: int):
             lists, rows = [], []
             for k, v in enumerate(batch.column(2).to_pylist()):
                 ids, d = graph.nearest(np.array(v, np.float64), max(beam, probes))
-                ids = ids[:probes][d[:probes] <= ratio * d[0] + 1e-12]
+                near = d[:probes] <= ratio * d[0]
+                near[:LEAST_PROBES] = True  # a vector may be the centroid of its own list
+                ids = ids[:probes][near]
                 lists += ids.tolist()
                 rows += [k] * len(ids)
             taken = pa.array(rows, pa.int64())

@@ -34,7 +34,7 @@ def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.encode_digests(table(spark, folder, "documents"))
+    return bpe.encode_digests(table(spark, folder, "documents"), stored=True)
 
 
 @query
