@@ -60,7 +60,7 @@ def labelled_sample(
     """(text, label) of at most ``bound`` labelled rows, the same ones in every run.
 
     Only label rows are ordered, by a hash of their id; their texts are joined
-    afterwards.  Rows that ``learnable`` refuses are never looked at.  Labels
+    afterwards, with at most ``bound`` ids broadcast.  Rows that ``learnable`` refuses are never looked at.  Labels
     that are null, or not 0 or 1, and ids with two labels teach nothing.
     """
     known = (
@@ -72,4 +72,4 @@ def labelled_sample(
     )
     picked = known.orderBy(F.xxhash64("id"), "id").limit(bound)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
-    return texts.join(picked, "id").select("id", "text", "label")
+    return texts.join(F.broadcast(picked), "id").select("id", "text", "label")

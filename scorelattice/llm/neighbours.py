@@ -176,6 +176,19 @@ def _prober(centres, probes: int, ratio: float, beam: int):
     return probe
 
 
+def _closest(d: np.ndarray, ids: list, keep: int) -> list[tuple[float, int]]:
+    """The ``keep`` nearest ids with their distances; an id of several vectors counts once."""
+    wide = min(4 * keep, len(d))
+    while True:
+        last = np.partition(d, wide - 1)[wide - 1]
+        found: dict[int, float] = {}
+        for score, x in sorted((d[i], x) for i in np.flatnonzero(d <= last).tolist() for x in ids[i]):
+            found.setdefault(x, score)
+        if len(found) >= keep or wide == len(d):
+            return [(score, x) for x, score in found.items()][:keep]
+        wide = len(d)
+
+
 def _searcher(keep: int):
     def search(key: tuple, postings: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"h1": [], "h2": [], "vec_id": [], "score": []}
@@ -183,10 +196,7 @@ def _searcher(keep: int):
             v = np.array(postings["v"].tolist(), np.float64)
             ids = postings["ids"].tolist()
             for h1, h2, q in zip(queries["h1"], queries["h2"], queries["v"]):
-                d = np.sqrt(((v - np.asarray(q, np.float64)) ** 2).sum(1))
-                n = min(keep, len(d))
-                last = np.partition(d, n - 1)[n - 1]
-                found = sorted((d[i], x) for i in np.flatnonzero(d <= last).tolist() for x in ids[i])[:keep]
+                found = _closest(np.sqrt(((v - np.asarray(q, np.float64)) ** 2).sum(1)), ids, keep)
                 out["h1"] += [h1] * len(found)
                 out["h2"] += [h2] * len(found)
                 out["vec_id"] += [int(x) for _, x in found]

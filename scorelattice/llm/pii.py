@@ -322,7 +322,7 @@ def fit(docs: DataFrame, rows: int = TRAINING_ROWS, most: int = TRAINING_WINDOWS
     """Train on windows of at most ``rows`` documents, picked by a hash of their id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
     picked = texts.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
-    found = texts.join(picked, "id").select("text").mapInArrow(_training_windows, "codes binary, tags binary")
+    found = texts.join(F.broadcast(picked), "id").select("text").mapInArrow(_training_windows, "codes binary, tags binary")
     kept = found.distinct().orderBy(F.xxhash64("codes", "tags"), "codes", "tags").limit(most).collect()
     if not kept:
         return None
