@@ -3,7 +3,8 @@
 A rule is a ``(condition, code)`` pair, or a column that already is a code or
 null.  ``first_failure`` keeps the code of the first rule that holds;
 ``all_failures`` keeps every one.  A null condition counts as not holding, so
-rules can look at columns that come from outer joins.
+rules can look at columns that come from outer joins.  A rule that guards what
+may pass says so with ``refuse``: there a null, an unknown fact, refuses.
 """
 
 from __future__ import annotations
@@ -15,6 +16,11 @@ from pyspark.sql import Column, functions as F
 Rule = tuple[Column, "str | Column"] | Column
 
 
+def refuse(condition: Column, code: str | Column) -> tuple[Column, str | Column]:
+    """A rule that also holds where its condition is unknown."""
+    return F.coalesce(condition, F.lit(True)), code
+
+
 def _code(rule: Rule) -> Column:
     if isinstance(rule, Column):
         return rule

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.jsonpath import matches_template
-from ..functions.rules import all_failures, first_failure
+from ..functions.rules import all_failures, first_failure, refuse
 from ..functions.text import strict_number, strict_number_error
 
 # Source classes and parsers that never feed results, and the
@@ -56,7 +56,10 @@ def source_eligibility(config: str = "parser_config") -> Column:
     """
     url = F.col("source_url")
     conf = F.col(config)
-    path = F.rtrim(F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))), F.lit("/"))
+    # Percent-encoding hides no endpoint; a path that cannot be decoded is refused as malformed.
+    spelled = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    decoded = F.try_url_decode(F.replace(spelled, F.lit("+"), F.lit("%2B")))
+    path = F.rtrim(F.lower(F.coalesce(decoded, F.lit(""))), F.lit("/"))
     host = F.rtrim(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))), F.lit("."))
 
     def setting(name: str) -> Column:
@@ -65,13 +68,14 @@ def source_eligibility(config: str = "parser_config") -> Column:
     governance = [F.map_contains_key(conf, F.lit(f"governance.{k}")) for k in GOVERNANCE]
     return first_failure(
         [
-            (F.col("status") != "active", "SOURCE_NOT_ACTIVE"),
-            (~F.col("officialness_level").isin(*TRUSTED_LEVELS), "OFFICIALNESS_NOT_TRUSTED"),
-            (~F.col("machine_readable"), "NOT_MACHINE_READABLE"),
-            (F.col("source_type").isin(*BLOCKED_SOURCE_TYPES), "SOURCE_TYPE_QUARANTINED"),
-            (F.col("parser_name").isin(*BLOCKED_PARSERS), "PARSER_QUARANTINED"),
+            refuse(F.col("status") != "active", "SOURCE_NOT_ACTIVE"),
+            refuse(~F.col("officialness_level").isin(*TRUSTED_LEVELS), "OFFICIALNESS_NOT_TRUSTED"),
+            refuse(~F.col("machine_readable"), "NOT_MACHINE_READABLE"),
+            refuse(F.col("source_type").isin(*BLOCKED_SOURCE_TYPES), "SOURCE_TYPE_QUARANTINED"),
+            refuse(F.col("parser_name").isin(*BLOCKED_PARSERS), "PARSER_QUARANTINED"),
             (_any_of([setting(m) == "true" for m in DERIVED_MARKERS]), "DERIVED_CONFIGURATION"),
             (setting("mode") == "discovery", "DISCOVERY_METADATA"),
+            (url.isNotNull() & decoded.isNull(), "SOURCE_URL_MALFORMED"),
             (path.endswith("/first-rows"), "PREVIEW_ENDPOINT"),
             (F.concat(host, path).isin(*TERMS_BLOCKED), "TERMS_PROHIBIT_ENDPOINT"),
             (setting("automation_collection_prohibited") == "true", "AUTOMATION_PROHIBITED"),
@@ -109,16 +113,16 @@ def admit_sources(sources: DataFrame, revisions: DataFrame, leaves: DataFrame) -
         [
             (source_eligibility().isNotNull(), "SRC_SOURCE_CLASS_FORBIDDEN"),
             (F.col("r_source_id").isNull(), "SRC_CURRENT_REVISION_MISMATCH"),
-            ((F.col("r_source_id") != F.col("source_id")) | (F.col("r_status") != "active"), "SRC_REVISION_NOT_ACTIVE"),
+            refuse((F.col("r_source_id") != F.col("source_id")) | (F.col("r_status") != "active"), "SRC_REVISION_NOT_ACTIVE"),
             (~F.col("r_benchmark_id").eqNullSafe(F.col("benchmark_id")), "SRC_REVISION_PROJECTION_MISMATCH"),
             (~own.eqNullSafe(F.col("r_fields")), "SRC_REVISION_PROJECTION_MISMATCH"),
             (F.col("chain_error").isNotNull(), F.concat(F.lit("SRC_DECISION_"), F.col("chain_error"))),
             (F.col("leaf_id").isNull(), "SRC_DECISION_MISSING"),
-            (F.col("outcome") != "certified", "SRC_DECISION_NOT_CERTIFIED"),
+            refuse(F.col("outcome") != "certified", "SRC_DECISION_NOT_CERTIFIED"),
             (policy.isNull(), "SRC_POLICY_MISSING"),
             (~F.col("policy.definition_hash").eqNullSafe(F.col("definition_hash")), "SRC_POLICY_INVALID"),
-            (~F.array_contains("policy.approved_urls", F.col("source_url")), "SRC_POLICY_INVALID"),
-            (~F.col("policy.max_bytes").between(1, MAX_FETCH_BYTES), "SRC_POLICY_INVALID"),
+            refuse(~F.array_contains("policy.approved_urls", F.col("source_url")), "SRC_POLICY_INVALID"),
+            refuse(~F.col("policy.max_bytes").between(1, MAX_FETCH_BYTES), "SRC_POLICY_INVALID"),
         ]
     )
     return joined.withColumn("source_reason", reason)
@@ -134,16 +138,16 @@ def fetch_admission() -> Column:
     return first_failure(
         [
             (F.col("source_reason").isNotNull(), "SRC_NOT_ADMITTED"),
-            (F.col("n_bytes") > F.col("max_bytes"), "FETCH_BODY_TOO_LARGE"),
+            refuse(F.col("n_bytes") > F.col("max_bytes"), "FETCH_BODY_TOO_LARGE"),
             (~F.coalesce(F.col("http_status").between(200, 299), F.lit(False)), "FETCH_HTTP_STATUS_INVALID"),
-            (~F.array_contains("approved_final_urls", F.col("final_url")), "FETCH_FINAL_URL_NOT_APPROVED"),
+            refuse(~F.array_contains("approved_final_urls", F.col("final_url")), "FETCH_FINAL_URL_NOT_APPROVED"),
             (
                 (of(meta, "verbatim") != "true") | (of(meta, "artifact_count") != "1"),
                 "FETCH_NON_VERBATIM_OR_MULTI_ARTIFACT",
             ),
             (_any_of([of(meta, m) == "true" for m in FETCH_MARKERS]), "FETCH_FALLBACK_OR_MOCK"),
-            (F.col("content_hash") != F.col("snapshot_hash"), "FETCH_SNAPSHOT_NOT_VERBATIM"),
-            (
+            refuse(F.col("content_hash") != F.col("snapshot_hash"), "FETCH_SNAPSHOT_NOT_VERBATIM"),
+            refuse(
                 ~F.col("snapshot_status").eqNullSafe(F.col("http_status"))
                 | (of(echo, "final_url") != F.col("final_url"))
                 | _any_of([of(echo, m) != of(meta, m) for m in ECHOED_METADATA]),
@@ -209,33 +213,33 @@ def admit_claims(claims: DataFrame, dimensions: Sequence[str] = CLAIM_DIMENSIONS
         [
         (F.col("source_reason").isNotNull(), "SRC_NOT_ADMITTED"),
         (~F.col("decision_id").eqNullSafe(F.col("admitting_decision_id")), "CLAIM_SOURCE_DECISION_MISMATCH"),
-        (F.col("claim_source_id") != F.col("source_id"), "CLAIM_SOURCE_MISMATCH"),
+        refuse(F.col("claim_source_id") != F.col("source_id"), "CLAIM_SOURCE_MISMATCH"),
         (
             (F.trim(F.coalesce("model_raw", blank)) == "")
             | (F.trim(F.coalesce("benchmark_raw", blank)) == "")
             | (F.coalesce("score_raw", blank) == ""),
             "CLAIM_REQUIRED_RAW_FIELD_MISSING",
         ),
-        (F.col("source_benchmark_id").isNull() | (F.col("benchmark_status") != "matched"), "BENCHMARK_UNRESOLVED"),
+        refuse(F.col("source_benchmark_id").isNull() | (F.col("benchmark_status") != "matched"), "BENCHMARK_UNRESOLVED"),
         (
             ~F.col("benchmark_match").eqNullSafe(F.col("source_benchmark_id"))
             | ~F.col("benchmark_id").eqNullSafe(F.col("source_benchmark_id")),
             "BENCHMARK_SOURCE_MISMATCH",
         ),
-        (~F.array_contains("locator_types", F.col("locator.type")), "EVIDENCE_LOCATOR_UNSUPPORTED"),
+        refuse(~F.array_contains("locator_types", F.col("locator.type")), "EVIDENCE_LOCATOR_UNSUPPORTED"),
         (~locator_matches(F.col("locator"), F.col("contract")), "EVIDENCE_LOCATOR_CONTRACT_MISMATCH"),
-        (~F.col("record_found"), "EVIDENCE_NOT_FOUND"),
+        refuse(~F.col("record_found"), "EVIDENCE_NOT_FOUND"),
         (F.col("e_model_raw").isNull() | F.col("e_score_raw").isNull(), "EVIDENCE_VALUE_NOT_VERBATIM"),
-        (
+        refuse(
             (F.col("e_model_raw") != F.col("model_raw")) | (F.col("e_score_raw") != F.col("score_raw")),
             "EVIDENCE_VALUE_MISMATCH",
         ),
         *dims,
         numeric_error,
         (~F.col("score_unit").eqNullSafe(F.col("policy_unit")), "SCORE_UNIT_UNDECLARED"),
-        (F.col("score_numeric") != number, "SCORE_NUMERIC_MISMATCH"),
+        refuse(F.col("score_numeric") != number, "SCORE_NUMERIC_MISMATCH"),
         (F.col("model_status") == "ambiguous", "MODEL_AMBIGUOUS"),
-        (F.col("model_status") != "matched", "MODEL_UNRESOLVED"),
+        refuse(F.col("model_status") != "matched", "MODEL_UNRESOLVED"),
         (~F.col("model_entity_id").eqNullSafe(F.col("model_match")), "MODEL_MAPPING_MISMATCH"),
         ]
     )

@@ -40,15 +40,38 @@ def multiset_digest(
     )
 
 
+def real_text(value: Column) -> Column:
+    """Exact text of a double: sign, binary exponent and 52-bit mantissa.
+
+    Decimal spellings differ between engines; scaling by powers of two is exact
+    in all of them.  NaN, the infinities and negative zero are spelled apart.
+    """
+    size = F.abs(value)
+    near = F.floor(F.log2(size))
+    scaled = size / F.pow(F.lit(2.0), near)
+    # The logarithm may miss by one next to a power of two.
+    exponent = near + F.when(scaled >= 2, 1).when(scaled < 1, -1).otherwise(0)
+    mantissa = F.when(scaled >= 2, scaled / 2).when(scaled < 1, scaled * 2).otherwise(scaled)
+    digits = (mantissa * F.lit(2.0**52)).cast("long").cast("string")
+    sign = F.when(value < 0, "-").otherwise("+")
+    return (
+        F.when(F.isnan(value), "nan")
+        .when(size == float("inf"), F.concat(sign, F.lit("inf")))
+        .when(value == 0, F.when(value.cast("string") == "-0.0", "-0").otherwise("+0"))
+        .when(value.isNotNull(), F.concat(sign, exponent.cast("long").cast("string"), F.lit("p"), digits))
+    )
+
+
 def row_line(df: DataFrame) -> Column:
-    """Canonical typed text of a row of any flat schema."""
+    """Canonical typed text of a row of a schema of plain values and arrays of numbers."""
     cells = {}
     for field in df.schema:
         column, kind = F.col(field.name), field.dataType
         if isinstance(kind, (T.DoubleType, T.FloatType)):
-            # Shortest spellings differ between engines, so doubles go by their
-            # value in millionths; the rounding is part of the digest's definition.
-            cells[field.name] = typed_text("real", F.floor(column * 1e6 + 0.5))
+            cells[field.name] = typed_text("real", real_text(column.cast("double")))
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.DoubleType, T.FloatType)):
+            each = F.transform(column.cast("array<double>"), lambda x: F.coalesce(real_text(x), F.lit("∅")))
+            cells[field.name] = typed_text("reals", F.array_join(each, ";"))
         elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
             cells[field.name] = typed_text("time", F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
         elif isinstance(kind, T.BooleanType):

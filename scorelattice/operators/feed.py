@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.rules import first_failure
+from ..functions.rules import first_failure, refuse
 from ..functions.scores import is_finite
 from ..functions.text import is_sha256
 
@@ -24,14 +24,14 @@ def provenance_reason() -> Column:
             (F.col("decision_id").isNull(), "SOURCE_DECISION_MISSING"),
             (F.col("snapshot_source_id").isNull() | F.col("decision_revision_id").isNull(), "SOURCE_PROVENANCE_MISSING"),
             (F.col("revision_source_id").isNull() | F.col("known_source_id").isNull(), "SOURCE_PROVENANCE_MISSING"),
-            (
+            refuse(
                 (F.col("snapshot_source_id") != F.col("source_id"))
                 | (F.col("revision_source_id") != F.col("source_id"))
                 | (F.col("decision_revision_id") != F.col("snapshot_revision_id")),
                 "SOURCE_PROVENANCE_LINK_MISMATCH",
             ),
             (F.col("source_chain_error").isNotNull(), F.concat(F.lit("SOURCE_DECISION_"), F.col("source_chain_error"))),
-            (
+            refuse(
                 ~F.col("source_leaf_id").eqNullSafe(F.col("decision_id")) | (F.col("decision_outcome") != "certified"),
                 "SOURCE_DECISION_NOT_CERTIFIED",
             ),
@@ -51,26 +51,26 @@ def display_reason() -> Column:
     return first_failure(
         [
             (F.coalesce("validations", F.lit(0)) == 0, "VALIDATION_MISSING"),
-            (F.col("not_passed") > 0, "VALIDATION_NOT_ALL_PASS"),
+            refuse(F.col("not_passed") > 0, "VALIDATION_NOT_ALL_PASS"),
             (F.col("review_error").isNotNull(), "REVIEW_CHAIN_INVALID"),
             (F.col("review_id").isNull(), "REVIEW_DECISION_MISSING"),
-            (F.col("review_outcome") != "validation_reviewed", "REVIEW_NOT_VALIDATION_REVIEWED"),
+            refuse(F.col("review_outcome") != "validation_reviewed", "REVIEW_NOT_VALIDATION_REVIEWED"),
             (F.col("model_id").isNull() | F.col("benchmark_id").isNull(), "DISPLAY_IDENTITY_UNRESOLVED"),
             (F.col("publication_error").isNotNull(), "PUBLICATION_CHAIN_INVALID"),
-            (
+            refuse(
                 F.col("publication_id").isNull()
                 | (F.col("publication_outcome") != "approved")
                 | ~F.col("published_review_id").eqNullSafe(F.col("review_id")),
                 "PUBLICATION_NOT_APPROVED",
             ),
-            (~is_finite(F.col("score_numeric")), "SCORE_NOT_FINITE_NUMERIC"),
+            refuse(~is_finite(F.col("score_numeric")), "SCORE_NOT_FINITE_NUMERIC"),
             (
                 _blank("model_raw") | _blank("benchmark_raw") | _blank("score_raw") | _blank("capture_method"),
                 "RAW_CLAIM_FIELDS_INCOMPLETE",
             ),
             (_blank("locator_type"), "EVIDENCE_LOCATION_INCOMPLETE"),
             (~F.coalesce("locator_ok", F.lit(False)), "EVIDENCE_LOCATION_CONTRACT_MISMATCH"),
-            (~F.col("model_known") | ~F.col("benchmark_known"), "DISPLAY_IDENTITY_MISSING"),
+            refuse(~F.col("model_known") | ~F.col("benchmark_known"), "DISPLAY_IDENTITY_MISSING"),
         ]
     )
 

@@ -16,11 +16,12 @@ from ..session import staged
 
 
 def with_parent(rows: DataFrame, parent: str, row_id: str, columns: Sequence[str]) -> DataFrame:
-    """Rows with their parent's columns as ``p_*`` and ``has_parent``."""
-    parents = rows.select(
-        F.col(row_id).alias("_pid"), F.lit(True).alias("has_parent"),
-        *[F.col(c).alias(f"p_{c}") for c in columns],
-    )
+    """Rows with their parent's columns as ``p_*`` and ``has_parent``; as many rows as before.
+
+    An id that several rows have gives one parent, its least row.
+    """
+    least = rows.groupBy(F.col(row_id).alias("_pid")).agg(F.min(F.struct(*columns)).alias("_p"))
+    parents = least.select("_pid", F.lit(True).alias("has_parent"), *[F.col(f"_p.{c}").alias(f"p_{c}") for c in columns])
     return rows.join(parents, F.col(parent) == F.col("_pid"), "left").drop("_pid").withColumn(
         "has_parent", F.coalesce("has_parent", F.lit(False))
     )
@@ -62,10 +63,11 @@ def chain_depths(rows: DataFrame) -> DataFrame:
     Pointer doubling: each round replaces a row's ancestor by that ancestor's
     own, doubling the distance looked at.  Rows in or below a cycle never
     finish and are left out; rounds end when no further row finishes.  Each
-    round is stored, so a lost executor repeats one round at most.
+    round is stored, so a lost executor repeats one round at most.  Rows that
+    repeat an id are one row, with the least parent they name.
     """
     state = staged(
-        rows.select(
+        rows.groupBy("id").agg(F.min("parent").alias("parent")).select(
             "id",
             F.coalesce("parent", "id").alias("anc"),
             F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("dist"),

@@ -189,13 +189,19 @@ def lane_watermarks(cycles: DataFrame) -> DataFrame:
 # --- event folds -----------------------------------------------------------
 
 def with_prior(events: DataFrame, entity: str, ordinal: str, columns: Sequence[str]) -> DataFrame:
-    """Rows with the columns of the row one ordinal before as ``p_*``."""
-    prior = events.select(
+    """Rows with the columns of the row one ordinal before as ``p_*``; as many rows as before.
+
+    ``repeated`` marks rows that share their ordinal; as a prior, such rows are
+    one row, the least of them.
+    """
+    places = events.groupBy(entity, ordinal).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*columns)).alias("_p"))
+    prior = places.select(
         F.col(entity), (F.col(ordinal) + 1).alias(ordinal), F.lit(True).alias("has_prior"),
-        *[F.col(c).alias(f"p_{c}") for c in columns],
+        *[F.col(f"_p.{c}").alias(f"p_{c}") for c in columns],
     )
-    return events.join(prior, [entity, ordinal], "left").withColumn(
-        "has_prior", F.coalesce("has_prior", F.lit(False))
+    shared = places.where("_n > 1").select(entity, ordinal, F.lit(True).alias("repeated"))
+    return events.join(prior, [entity, ordinal], "left").join(shared, [entity, ordinal], "left").withColumns(
+        {"has_prior": F.coalesce("has_prior", F.lit(False)), "repeated": F.coalesce("repeated", F.lit(False))}
     )
 
 
@@ -217,6 +223,7 @@ def step_issues(events: DataFrame, steps: Mapping[str, tuple], occurrence: str |
         legal_step = F.when(kind == occurrence, F.coalesce(keeps, F.lit(False))).otherwise(legal_step)
     issue = first_failure(
         [
+            (F.col("repeated"), "ORDINAL_REPEATED"),
             ((F.col("ordinal") < 1) | ((F.col("ordinal") > 1) & ~F.col("has_prior")), "ORDINAL_GAP"),
             (~F.col("prior_event_id").eqNullSafe(F.col("p_event_id")), "PRIOR_EVENT_MISMATCH"),
             (~legal_step, "ILLEGAL_TRANSITION"),
@@ -312,7 +319,8 @@ def attempt_issues(attempts: DataFrame) -> DataFrame:
     prior_retry = F.col("p_outcome") == "retryable_failed"
     issue = first_failure(
         [
-            ((F.col("attempt") > 1) & ~F.col("has_prior"), "ATTEMPT_GAP"),
+            (F.col("repeated"), "ATTEMPT_REPEATED"),
+            ((F.col("attempt") < 1) | ((F.col("attempt") > 1) & ~F.col("has_prior")), "ATTEMPT_GAP"),
             (F.col("has_prior") & (F.col("token") <= F.col("p_token")), "TOKEN_NOT_RISING"),
             (F.col("has_prior") & ~F.col("prior_token").eqNullSafe(F.col("p_token")), "PRIOR_TOKEN_MISMATCH"),
             (F.col("has_prior") & ~F.col("p_outcome").isin("retryable_failed", "stale_fenced"), "PRIOR_NOT_RETRYABLE"),
@@ -443,7 +451,8 @@ def notification_issues(attempts: DataFrame) -> DataFrame:
     transient = F.col("outcome") == "failed_transient"
     issue = first_failure(
         [
-            ((F.col("attempt") > 1) & ~F.col("has_prior"), "ATTEMPT_GAP"),
+            (F.col("repeated"), "ATTEMPT_REPEATED"),
+            ((F.col("attempt") < 1) | ((F.col("attempt") > 1) & ~F.col("has_prior")), "ATTEMPT_GAP"),
             ((F.col("ended_at") < F.col("started_at")) | (F.col("started_at") < F.col("p_ended_at")), "TIME_REVERSED"),
             (F.col("has_prior") & ((F.col("p_outcome") != "failed_transient") | F.col("p_retry_at").isNull()), "PRIOR_NOT_RETRYABLE"),
             (F.col("started_at") < F.col("p_retry_at"), "STARTED_BEFORE_RETRY"),
@@ -483,7 +492,8 @@ def lease_issues(leases: DataFrame) -> DataFrame:
     freed = F.coalesce("p_released_at", "p_expires_at")
     issue = first_failure(
         [
-            ((F.col("token") > 1) & ~F.col("has_prior"), "TOKEN_GAP"),
+            (F.col("repeated"), "TOKEN_REPEATED"),
+            ((F.col("token") < 1) | ((F.col("token") > 1) & ~F.col("has_prior")), "TOKEN_GAP"),
             (F.col("acquired_at") < freed, "LEASE_OVERLAP"),
             (~F.col("heartbeat_at").between(F.col("acquired_at"), F.col("expires_at")), "HEARTBEAT_OUTSIDE"),
         ]

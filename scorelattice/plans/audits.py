@@ -16,7 +16,10 @@ from .governance import _DECISIONS, _IDENT, _CLAIMS, _WALK, _identities, capture
 from .operations import multiset_sql
 from .registry import query
 
-_FLAT = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "labels", "documents")
+_FLAT = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "labels", "documents", "events", "pages",
+    "benchmark", "conversations", "embeddings",
+)
 # Column kinds of the digested tables, for the SQL check only.
 _KINDS = {
     "region": {"r_regionkey": "int", "r_name": "text"},
@@ -31,12 +34,29 @@ _KINDS = {
     },
     "labels": {"doc_id": "int", "quality": "int", "toxic": "int"},
     "documents": {"doc_id": "int", "text": "text", "lang": "text", "source": "text", "n_chars": "int"},
+    "events": {"event_id": "int", "ts": "time", "user_id": "int", "event_type": "text", "value": "real", "props": "text"},
+    "pages": {"page_id": "int", "url": "text", "html": "text"},
+    "benchmark": {"item_id": "int", "text": "text"},
+    "conversations": {"conv_id": "int", "turn": "int", "role": "text", "text": "text"},
+    "embeddings": {"vec_id": "int", "embedding": "reals", "label": "int"},
 }
 
 
+def _real_sql(x: str) -> str:
+    size = f"abs({x})"
+    near = f"floor(log2({size}))"
+    scaled = f"({size} / pow(2.0::DOUBLE, {near}))"
+    return f"""CASE WHEN isnan({x}) THEN 'nan' WHEN isinf({x}) THEN CASE WHEN {x} < 0 THEN '-inf' ELSE '+inf' END
+        WHEN {x} = 0 THEN CASE WHEN CAST({x} AS VARCHAR) = '-0.0' THEN '-0' ELSE '+0' END
+        WHEN {x} IS NOT NULL THEN CASE WHEN {x} < 0 THEN '-' ELSE '+' END
+          || CAST(CAST({near} + CASE WHEN {scaled} >= 2 THEN 1 WHEN {scaled} < 1 THEN -1 ELSE 0 END AS BIGINT) AS VARCHAR) || 'p'
+          || CAST(CAST(CASE WHEN {scaled} >= 2 THEN {scaled} / 2 WHEN {scaled} < 1 THEN {scaled} * 2 ELSE {scaled} END * 4503599627370496.0::DOUBLE AS BIGINT) AS VARCHAR) END"""
+
+
 def _cell_sql(name: str, kind: str) -> str:
     value = {
-        "real": f"CAST(CAST(floor({name} * 1e6 + 0.5) AS BIGINT) AS VARCHAR)",
+        "real": _real_sql(f"CAST({name} AS DOUBLE)"),
+        "reals": f"array_to_string([coalesce({_real_sql('CAST(x AS DOUBLE)')}, '∅') for x in {name}], ';')",
         "time": f"strftime({name}, '%Y-%m-%d %H:%M:%S.%f')",
     }.get(kind, f"CAST({name} AS VARCHAR)")
     return f"'{name}=' || coalesce('{kind}:' || {value}, '∅')"
@@ -216,11 +236,10 @@ def issue_union(spark, folder):
 
 
 @query(
-    " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in (*_FLAT, "events", "pages", "conversations"))
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in _FLAT)
 )
 def table_counts(spark, folder):
-    names = (*_FLAT, "events", "pages", "conversations")
-    return A.table_counts({n: D.table(spark, folder, n) for n in names})
+    return A.table_counts(_tables(spark, folder))
 
 
 @query(
