@@ -41,19 +41,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import staged
-from .common import whole_text
+from .common import PACKED, bucket_count, packed_rows, squeeze, unsqueeze, whole_text
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pre-tokens in a block.
 BLOCK_TOKENS = 4_000_000
 #: Pre-tokens in one row of sequences, or one document's.
 CHUNK_TOKENS = 500_000
-#: Buckets of words: so many, or so many for each shuffle partition if that is more.
-BUCKETS, BUCKETS_PER_PARTITION = 1024, 8
 #: Words up to this length are merged by scanning, longer ones with a heap.
 SHORT = 64
 NEVER = 1 << 62
-_ROWS = "block long, bucket int, data binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -124,38 +121,15 @@ def _pack(ids: list, lengths: list[int], numbers: np.ndarray) -> bytes:
     nulls = np.array([x is None for x in ids], np.uint8)
     own = np.array([0 if x is None else x for x in ids], "<i8")
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return _squeeze([own, np.array(lengths, "<i8"), nulls, planes])
+    return squeeze([own, np.array(lengths, "<i8"), nulls, planes])
 
 
 def _unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    own, lengths, nulls, planes = _unsqueeze(data, ("<i8", "<i8", np.uint8, np.uint8))
+    own, lengths, nulls, planes = unsqueeze(data, ("<i8", "<i8", np.uint8, np.uint8))
     numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1)
     return [None if gone else int(x) for x, gone in zip(own, nulls)], lengths, numbers
 
 
-def _squeeze(parts: list) -> bytes:
-    """Arrays or bytes as one compressed value, their sizes in front."""
-    raw = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
-    head = np.array([len(raw), *map(len, raw)], "<i8").tobytes()
-    return head + pa.compress(b"".join(raw), codec="zstd", asbytes=True)
-
-
-def _unsqueeze(data: bytes, kinds: tuple) -> list:
-    n = int(np.frombuffer(data, "<i8", 1)[0])
-    sizes = np.frombuffer(data, "<i8", n, 8)
-    raw = pa.decompress(data[8 * (n + 1) :], int(sizes.sum()), codec="zstd", asbytes=True)
-    ends = np.cumsum(sizes)
-    parts = [raw[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist())]
-    return [p if kind is bytes else np.frombuffer(p, kind) for p, kind in zip(parts, kinds)]
-
-
-def _rows(block: int, buckets: list[int], data: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([block] * len(data), pa.int64()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())],
-        names=["block", "bucket", "data"],
-    )
-
-
 class _Block:
     """Documents cut so far: their words, and each document's sequence of word numbers."""
 
@@ -190,7 +164,7 @@ class _Block:
             if size >= CHUNK_TOKENS or k == len(self.numbers) - 1:
                 lengths = [len(x) for x in self.numbers[at : k + 1]]
                 chunk -= 1
-                yield _rows(name, [chunk], [_pack(self.ids[at : k + 1], lengths, place[every[start : start + size]])])
+                yield packed_rows(name, [chunk], [_pack(self.ids[at : k + 1], lengths, place[every[start : start + size]])])
                 at, start, size = k + 1, start + size, 0
 
     def vocabulary(self, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -204,9 +178,9 @@ class _Block:
         out, where = [], []
         for places in np.split(by_bucket, edges[1:]) if len(edges) else ():
             gaps = np.diff(places, prepend=0).astype("<u4")
-            out.append(_squeeze([gaps, sizes[places].astype("<u4"), b"".join([listed[i] for i in places.tolist()])]))
+            out.append(squeeze([gaps, sizes[places].astype("<u4"), b"".join([listed[i] for i in places.tolist()])]))
             where.append(int(home[places[0]]))
-        yield _rows(name, where, out)
+        yield packed_rows(name, where, out)
 
 
 def _cutter(pattern: str, block_tokens: int, flush, buckets: int):
@@ -233,7 +207,7 @@ def _encoder(ranks):
             for bucket, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if bucket != now:  # rows come by bucket, so no word of the last one comes again
                     now, known = bucket, {}
-                gaps, sizes, blob = _unsqueeze(data, ("<u4", "<u4", bytes))
+                gaps, sizes, blob = unsqueeze(data, ("<u4", "<u4", bytes))
                 at, ids, counts = 0, [], []
                 for size in sizes.tolist():
                     word = blob[at : at + size]
@@ -243,7 +217,7 @@ def _encoder(ranks):
                         got = known[word] = merge(word, table)
                     ids += got
                     counts.append(len(got))
-                out.append(_squeeze([gaps, np.array(counts, "<u4"), np.array(ids, kind)]))
+                out.append(squeeze([gaps, np.array(counts, "<u4"), np.array(ids, kind)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "data"])
 
     return encode
@@ -264,7 +238,7 @@ class _Returned:
         """Ids of each word; blocks that are equal have one name and agree here."""
         found: dict[int, list[int]] = {}
         for data in self.packed:
-            gaps, counts, ids = _unsqueeze(data, ("<u4", "<u4", kind))
+            gaps, counts, ids = unsqueeze(data, ("<u4", "<u4", kind))
             listed, ends = ids.tolist(), np.cumsum(counts).tolist()
             for place, n, end in zip(np.cumsum(gaps.astype(np.int64)).tolist(), counts.tolist(), ends):
                 found[place] = listed[end - n : end]
@@ -339,10 +313,10 @@ def _encoded(docs: DataFrame, ranks_path: str | None, pattern: str, block_tokens
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     if not stored:
         texts = staged(texts)
-    buckets = max(BUCKETS, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = texts.mapInArrow(_cutter(pattern, block_tokens, _Block.vocabulary, buckets), _ROWS)
-    merged = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(ranks), _ROWS)
-    sequences = texts.mapInArrow(_cutter(pattern, block_tokens, _Block.sequences, buckets), _ROWS)
+    buckets = bucket_count(spark)
+    words = texts.mapInArrow(_cutter(pattern, block_tokens, _Block.vocabulary, buckets), PACKED)
+    merged = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(ranks), PACKED)
+    sequences = texts.mapInArrow(_cutter(pattern, block_tokens, _Block.sequences, buckets), PACKED)
     home = merged.unionAll(sequences).repartition("block").sortWithinPartitions("block")
     return home.mapInArrow(_assembler(ranks, finish), schema)
 

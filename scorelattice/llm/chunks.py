@@ -3,13 +3,15 @@
 A gear hash rolls over the bytes of every text; where it falls below a bound a
 chunk ends.  The hash sees the last ``REACH`` bytes only, so an insertion moves
 the cuts next to it and no others.  Chunks are known by digest and length.
-Digests of several documents are found with one aggregation, each document
-counting once per digest; neighbouring chunks that recur form a passage, and
-passages of enough words are reported for every document that holds them.
+Neighbouring chunks that other documents hold too form a passage, and passages of
+enough words are reported for every document that holds them.
 
-Chunks travel as packed rows, one per document, and are only spread out for the
-two shuffles by digest; a digest that a third of all documents hold is added up
-before the shuffle.
+A task takes its documents in blocks.  The distinct digests of a block, each
+with the smallest and largest document that holds it there, travel packed: one
+row for each bucket of digests.  A bucket merges the blocks' entries and sends
+back to each block the numbers of those that two documents hold.  A digest that
+a third of all documents share is one entry per block.  What a chunk covers
+stays with its block, in stored rows, and meets the answers in a second shuffle.
 
 Defined results: null text is the empty text, which has no chunk; null ids are
 one document with no id; rows that repeat an id are one document, so text that
@@ -25,15 +27,18 @@ from random import Random
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import staged
-from .common import NO_ID, fresh, whole_text
+from .common import NO_ID, PACKED, bucket_count, fresh, packed_rows, squeeze, unsqueeze, whole_text
 
 #: Bytes that a cut depends on, bytes per cut on average, and the shortest and longest chunk.
 REACH, EVERY, SHORTEST, LONGEST = 16, 24, 8, 1024
 #: Words that a repeated passage has at least, as far as whole chunks cover it.
 PASSAGE_WORDS = 18
+#: Bytes of text in a block, or one document if that is larger.
+BLOCK_BYTES = 16_000_000
 GEAR = np.array([Random(f"gear {b}").getrandbits(32) for b in range(256)], np.uint32)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -73,78 +78,176 @@ def cuts(data: bytes) -> list[int]:
     return out
 
 
-def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, body, digests, starts, words): starts in code points, then the end of the text; words begun in each chunk."""
-    for batch in batches:
-        doc, body, digests, starts, words = [], [], [], [], []
-        for own, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-            ends = cuts(text)
-            if not ends:
-                continue
-            raw = np.frombuffer(text, np.uint8)
-            points = np.cumsum((raw & 0xC0) != 0x80)  # code points up to and with each byte
-            blank = _BLANK[raw]
-            begun = np.cumsum(~blank & np.concatenate(([True], blank[:-1])))
-            at = np.array(ends) - 1
-            digest, view, begin, found = xxhash.xxh64_intdigest, memoryview(text), 0, []
-            for end in ends:
-                found.append(digest(view[begin:end], end - begin))
-                begin = end
-            doc.append(own)
-            body.append(name)
-            digests.append(np.array(found, np.uint64).view(np.int64))
-            starts.append(np.concatenate(([0], points[at])).astype(np.int32))
-            words.append(np.diff(begun[at], prepend=0).astype(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(doc, pa.int64()), pa.array(body, pa.int64()), pa.array(digests, pa.list_(pa.int64())),
-                pa.array(starts, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32())),
-            ],
-            names=["doc", "body", "digests", "starts", "words"],
+class _Block:
+    """Chunks of some documents."""
+
+    def __init__(self) -> None:
+        self.docs: list[int] = []
+        self.digests: list[np.ndarray] = []
+        self.starts: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, doc: int, text: bytes) -> None:
+        ends = cuts(text)
+        if not ends:
+            return
+        raw = np.frombuffer(text, np.uint8)
+        points = np.cumsum((raw & 0xC0) != 0x80)  # code points up to and with each byte
+        blank = _BLANK[raw]
+        begun = np.cumsum(~blank & np.concatenate(([True], blank[:-1])))
+        at = np.array(ends) - 1
+        digest, view, begin, found = xxhash.xxh64_intdigest, memoryview(text), 0, []
+        for end in ends:
+            found.append(digest(view[begin:end], end - begin))
+            begin = end
+        self.docs.append(doc)
+        self.digests.append(np.array(found, np.uint64))
+        self.starts.append(np.concatenate(([0], points[at])).astype(np.uint32))
+        self.words.append(np.diff(begun[at], prepend=0).astype(np.uint32))
+        self.size += len(text)
+
+    def rows(self, name: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """One row per bucket: numbers, digests, smallest and largest holder.  One row that stays: what chunks cover."""
+        sizes = np.fromiter(map(len, self.digests), np.int64, len(self.digests))
+        docs = np.array(self.docs, np.int64)
+        every, holder = np.concatenate(self.digests), np.repeat(docs, sizes)
+        unique, first, number = np.unique(every, return_index=True, return_inverse=True)
+        order = np.argsort(first, kind="stable")  # numbered as they come, so that numbers hardly jump
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        number = rank[number]
+        least, most = np.full(len(unique), np.iinfo(np.int64).max), np.full(len(unique), np.iinfo(np.int64).min)
+        np.minimum.at(least, number, holder)
+        np.maximum.at(most, number, holder)
+        unique = unique[order]
+        yield packed_rows(
+            name, [-1],
+            [squeeze([docs, sizes, np.concatenate(self.starts), np.concatenate(self.words), np.diff(number, prepend=0)])],
         )
+        home = (unique % np.uint64(buckets)).astype(np.int64)
+        by_bucket = np.argsort(home, kind="stable")
+        edges = np.flatnonzero(np.diff(home[by_bucket], prepend=-1))
+        parts = np.split(by_bucket, edges[1:])
+        data = [squeeze([np.diff(p, prepend=0).astype("<u4"), unique[p], least[p], most[p] - least[p]]) for p in parts]
+        yield packed_rows(name, [int(home[p[0]]) for p in parts], data)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` with text: its chunks, packed."""
-    texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(whole_text()).alias("body"), whole_text().alias("text")
-    )
-    return texts.mapInArrow(_chunker, "doc long, body long, digests array<long>, starts array<int>, words array<int>")
+def _chunker(buckets: int, block_bytes: int):
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, block = TaskContext.get().partitionId() << 32, _Block()
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                block.add(doc, text)
+                if block.size >= block_bytes:
+                    yield from block.rows(name, buckets)
+                    name, block = name + 1, _Block()
+        if block.docs:
+            yield from block.rows(name, buckets)
+
+    return chunk
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket -> for each block the numbers of digests that two documents hold, and their smallest holder."""
+
+    def merged(bucket: int, blocks: list[int], data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [unsqueeze(d, ("<u4", "<u8", "<i8", "<i8")) for d in data]
+        digests, least = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        most = least + np.concatenate([p[3] for p in parts])
+        order = np.argsort(digests, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], digests[order][1:] != digests[order][:-1])))
+        counts = np.diff(np.append(starts, len(order)))
+        low, high = np.minimum.reduceat(least[order], starts), np.maximum.reduceat(most[order], starts)
+        holder, several = np.empty(len(order), np.int64), np.empty(len(order), bool)
+        holder[order], several[order] = np.repeat(low, counts), np.repeat(low < high, counts)
+        at = 0
+        for block, (numbers, *_) in zip(blocks, parts):
+            own = np.flatnonzero(several[at : at + len(numbers)])
+            if len(own):
+                listed = np.cumsum(numbers, dtype=np.int64)[own]
+                yield packed_rows(block, [bucket], [squeeze([np.diff(listed, prepend=0).astype("<u4"), holder[at + own]])])
+            at += len(numbers)
+
+    now, blocks, data = None, [], []
+    for batch in batches:
+        for block, bucket, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if bucket != now:
+                if blocks:
+                    yield from merged(now, blocks, data)
+                now, blocks, data = bucket, [], []
+            blocks.append(block)
+            data.append(part)
+    if blocks:
+        yield from merged(now, blocks, data)
+
+
+def _joiner(least_words: int):
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by block -> passages of its documents."""
+
+        def passages(layout: bytes, answers: list[bytes]) -> pa.RecordBatch:
+            docs, sizes, starts, words, gaps = unsqueeze(layout, ("<i8", "<i8", "<u4", "<u4", "<i8"))
+            number = np.cumsum(gaps)
+            first = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
+            again = np.zeros(len(first), bool)
+            for answer in answers:
+                own, holder = unsqueeze(answer, ("<u4", "<i8"))
+                own = np.cumsum(own, dtype=np.int64)
+                again[own], first[own] = True, holder
+            marked = again[number]
+            doc_of = np.repeat(np.arange(len(docs)), sizes)
+            # A run begins where a marked chunk follows an unmarked one or another document's.
+            fresh_doc = np.concatenate(([True], doc_of[1:] != doc_of[:-1]))
+            begins = np.flatnonzero(marked & (fresh_doc | ~np.concatenate(([False], marked[:-1]))))
+            last_doc = np.concatenate((fresh_doc[1:], [True]))
+            ends = np.flatnonzero(marked & (last_doc | ~np.concatenate((marked[1:], [False]))))
+            total = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+            kept = np.flatnonzero(total[ends + 1] - total[begins] >= least_words)
+            begins, ends = begins[kept], ends[kept]
+            bounds = np.stack([begins, ends + 1], 1).reshape(-1)
+            holders = np.append(first[number], 0)
+            low = np.minimum.reduceat(holders, bounds)[::2] if len(bounds) else np.empty(0, np.int64)
+            high = np.maximum.reduceat(holders, bounds)[::2] if len(bounds) else np.empty(0, np.int64)
+            own = doc_of[begins]
+            # Each document has one more start than chunks: the end of its text.
+            a, b = starts[begins + own], starts[ends + own + 1]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x.astype(np.int64)) for x in (docs[own], a, b, total[ends + 1] - total[begins], ends - begins + 1, low, high)],
+                names=["doc", "start", "end", "n_words", "n_chunks", "first", "latest"],
+            )
+
+        now, layout, answers = None, None, []
+        for batch in batches:
+            for block, bucket, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if block != now:
+                    if now is not None:
+                        yield passages(layout, answers)
+                    now, layout, answers = block, None, []
+                if bucket < 0:
+                    layout = part
+                else:
+                    answers.append(part)
+        if now is not None:
+            yield passages(layout, answers)
 
+    return join
 
-def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFrame:
+
+def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, start, end, n_words, n_chunks, first_doc_id, keep), positions in code points.
 
     One row for each passage that other documents hold too; ``keep`` where this
     document is the smallest id that holds each of its chunks.
     """
-    packed = staged(chunked(docs))
-    held = packed.select("doc", F.explode(F.array_distinct("digests")).alias("digest"))
-    # Two documents at least hold a digest whose smallest and largest holder differ.
-    counted = held.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    repeated = staged(counted.select("digest", "first"))
-    n = F.size("digests")
-    pieces = F.arrays_zip(
-        F.col("digests").alias("digest"), F.slice("starts", F.lit(1), n).alias("start"), F.slice("starts", F.lit(2), n).alias("end"),
-        F.col("words").alias("words"),
-    )
-    spread = packed.select("doc", "body", F.posexplode(pieces).alias("place", "c")).select(
-        "doc", "body", "place", "c.digest", "c.start", "c.end", "c.words"
-    )
-    marked = spread.join(repeated, "digest")
-    # Neighbouring places differ by one, as their ranks do; rows that repeat a document share both.
-    own = Window.partitionBy("doc", "body").orderBy("place")
-    island = marked.withColumn("island", F.col("place") - F.dense_rank().over(own))
-    pieces_once = island.groupBy("doc", "body", "island", "place").agg(
-        F.first("start").alias("start"), F.first("end").alias("end"), F.first("words").alias("words"), F.min("first").alias("first")
-    )
-    passages = pieces_once.groupBy("doc", "body", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
-        F.count(F.lit(1)).alias("n_chunks"), F.min("first").alias("first"), F.max("first").alias("latest"),
-    )
-    return passages.where(F.col("n_words") >= least_words).select(
-        _id("doc").alias("doc_id"), "start", "end", "n_words", "n_chunks", _id("first").alias("first_doc_id"),
-        (F.col("latest") == F.col("doc")).alias("keep"),
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), whole_text().alias("text"))
+    stored = staged(texts.mapInArrow(_chunker(bucket_count(docs.sparkSession), block_bytes), PACKED))
+    asked = stored.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
+    home = asked.mapInArrow(_shared, PACKED).unionAll(stored.where("bucket < 0")).repartition("block").sortWithinPartitions("block")
+    schema = "doc long, start long, end long, n_words long, n_chunks long, first long, latest long"
+    return home.mapInArrow(_joiner(least_words), schema).select(
+        _id("doc").alias("doc_id"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "n_words",
+        "n_chunks", _id("first").alias("first_doc_id"), (F.col("latest") == F.col("doc")).alias("keep"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,6 +15,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Stands for a null id while rows are compared: smaller than any other id.
 NO_ID = -(2**63)
+#: Rows that carry many entries of a block to a bucket, and back.
+PACKED = "block long, bucket int, data binary"
+#: So many buckets, or so many for each shuffle partition if that is more.
+BUCKETS, BUCKETS_PER_PARTITION = 1024, 8
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -73,3 +78,31 @@ def labelled_sample(
     picked = known.orderBy(F.xxhash64("id"), "id").limit(bound)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
     return texts.join(F.broadcast(picked), "id").select("id", "text", "label")
+
+
+def squeeze(parts: list) -> bytes:
+    """Arrays or bytes as one compressed value, their sizes in front."""
+    raw = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
+    head = np.array([len(raw), *map(len, raw)], "<i8").tobytes()
+    return head + pa.compress(b"".join(raw), codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes, kinds: tuple) -> list:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    sizes = np.frombuffer(data, "<i8", n, 8)
+    raw = pa.decompress(data[8 * (n + 1) :], int(sizes.sum()), codec="zstd", asbytes=True)
+    ends = np.cumsum(sizes)
+    parts = [raw[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist())]
+    return [p if kind is bytes else np.frombuffer(p, kind) for p, kind in zip(parts, kinds)]
+
+
+def packed_rows(block: int, buckets: list[int], data: list[bytes]) -> pa.RecordBatch:
+    """Rows of a block that belong to the given buckets."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block] * len(data), pa.int64()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())],
+        names=["block", "bucket", "data"],
+    )
+
+
+def bucket_count(spark: SparkSession) -> int:
+    return max(BUCKETS, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))

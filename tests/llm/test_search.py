@@ -120,6 +120,14 @@ def test_repeated_passages_are_found_and_clean_texts_left_alone(spark):
         assert x["keep"] == (x["doc_id"] % 2 == 0)
 
 
+@pytest.mark.parametrize("block_bytes", [1, 200, 16_000_000])
+def test_blocks_agree(odd, block_bytes):
+    def got(size):
+        return as_multiset(chunks.repeated_passages(odd, 4, size), "doc_id", "start", "end", "n_words", "first_doc_id", "keep")
+
+    assert got(block_bytes) == got(5_000) != []
+
+
 def test_chunks_odd_rows(odd, none):
     out = chunks.repeated_passages(odd).collect()
     texts = {}
