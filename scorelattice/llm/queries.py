@@ -95,3 +95,29 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(lines.kept_text().cast("binary"), 256).alias("kept_sha256"),
         F.to_json("lines.keep_runs").alias("keep_runs"),
     )
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op10_line_dedup"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM d),
+ k AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+ r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+ m AS (SELECT k.*, r.last IS NOT NULL AND r.last <> doc_id AS gone FROM k LEFT JOIN r USING (key)),
+ g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY doc_id),
+ s AS (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run, pos FROM m WHERE NOT gone),
+ q AS (SELECT doc_id, '[' || string_agg('{{"start":' || a || ',"length":' || n || '}}', ',' ORDER BY a) || ']' AS runs
+   FROM (SELECT doc_id, run, min(pos) AS a, count(*) AS n FROM s GROUP BY ALL) GROUP BY doc_id)
+ SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256, coalesce(runs, '[]') AS keep_runs FROM g LEFT JOIN q USING (doc_id)"""
+
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL["op7_decontamination"] = f"""WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+ iw AS (SELECT DISTINCT item, w[s : s + least(len(w), 13) - 1] AS gram FROM (SELECT *, unnest(range(1, greatest(len(w) - 11, 2))) AS s FROM i WHERE len(w) > 0)),
+ lens AS (SELECT DISTINCT len(gram) AS n FROM iw), d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ dw AS (SELECT doc_id, s, n, w[s : s + n - 1] AS gram FROM (SELECT doc_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS s FROM d, lens WHERE len(w) >= n)),
+ hit AS (SELECT DISTINCT doc_id, s, n, item FROM dw JOIN iw USING (gram)),
+ words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+   coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
