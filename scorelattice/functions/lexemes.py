@@ -111,3 +111,9 @@ def fixed_text(value: Column, digits: int) -> Column:
         return values.map(lambda v: None if pd.isna(v) else f"{v:.{digits}f}")
 
     return spell(value)
+
+
+@pandas_udf(T.StringType())
+def real_lexeme(values: pd.Series) -> pd.Series:
+    """Shortest text that reads back as the double: 12345678.5, 0.0001, 1e+16."""
+    return values.map(repr)

@@ -67,9 +67,17 @@ def strict_number(lexeme: Column, policy: Column) -> Column:
     )
 
 
+def is_json(document: Column) -> Column:
+    """Whether the text is a JSON document; repeated keys are allowed."""
+    return F.get_json_object(document, "$").isNotNull()
+
+
 def has_duplicate_keys(document: Column) -> Column:
-    keys = F.json_object_keys(document)
-    return F.size(keys) != F.size(F.array_distinct(keys))
+    """Whether an object at any level repeats a key; null for text that is no JSON.
+
+    The variant parser accepts all JSON but that.
+    """
+    return F.when(is_json(document), F.try_parse_json(document).isNull())
 
 
 def fold_header(text: Column) -> Column:
@@ -122,9 +130,8 @@ def is_reason_code(text: Column) -> Column:
 def is_public_https_url(url: Column) -> Column:
     """https with a host, and no login, fragment, control character or secret key."""
     query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
-    keys = F.transform(
-        F.split(query, "[&;]"), lambda pair: F.lower(F.split(pair, "=")[0])
-    )
+    # A key counts as it reads when decoded; one that cannot be decoded is refused.
+    keys = F.transform(F.split(query, "&"), lambda pair: F.lower(F.try_url_decode(F.split(pair, "=")[0])))
     secrets = F.array(*[F.lit(k) for k in CREDENTIAL_QUERY_KEYS])
     return F.coalesce(
         (F.try_parse_url(url, F.lit("PROTOCOL")) == "https")
@@ -132,6 +139,7 @@ def is_public_https_url(url: Column) -> Column:
         & F.try_parse_url(url, F.lit("USERINFO")).isNull()
         & ~url.contains("#")
         & ~url.rlike(r"[\x00-\x1f\x7f]")
+        & ~F.exists(keys, lambda key: key.isNull())
         & ~F.arrays_overlap(keys, secrets),
         F.lit(False),
     )

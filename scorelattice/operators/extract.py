@@ -292,31 +292,36 @@ def mean_of_means(wide: DataFrame, categories: Mapping[str, Sequence[str]]) -> D
     )
 
 
-def windowed_mean(performances: DataFrame, marks: DataFrame) -> DataFrame:
-    """Mean pass rate from the default start mark on, else over all dates.
+def windowed_mean(performances: DataFrame, marks: DataFrame, snapshot: Sequence[str] = ()) -> DataFrame:
+    """Mean pass rate from the default start mark to the last mark, else over all dates.
 
     ``performances`` has ``model_raw, mark, pass_rate``; marks are the distinct
-    dates.  Only marks are ordered, and there are few of them.
+    dates.  Both are taken snapshot by snapshot where ``snapshot`` names its
+    columns.  Only marks are ordered, and there are few of them.
     """
-    ordered = marks.select("mark").distinct().agg(F.array_sort(F.collect_set("mark")).alias("m"))
+    keys = list(snapshot) or ["_one"]
+    if not snapshot:
+        performances, marks = performances.withColumn("_one", F.lit(1)), marks.withColumn("_one", F.lit(1))
+    ordered = marks.groupBy(*keys).agg(F.array_sort(F.collect_set("mark")).alias("m"))
     n = F.size("m")
     opening = F.when(n > MANY_MARKS, F.get("m", F.least(F.lit(LATE_MARK - 1), n))).when(
         n > SOME_MARKS, F.get("m", F.lit(EARLY_MARK - 1))
     ).otherwise(F.get("m", F.lit(0)))
-    start = ordered.select(opening.alias("x")).scalar()
+    window = ordered.select(*keys, opening.alias("start"), F.get("m", n - 1).alias("end"))
     rate = F.col("pass_rate").cast("decimal(28,6)")
-    inside = F.col("mark") >= F.col("start")
+    inside = F.col("start").isNull() | F.col("mark").between(F.col("start"), F.col("end"))
     return (
-        performances.withColumn("start", start)
-        .groupBy("model_raw")
+        performances.join(window, keys, "left")
+        .groupBy(*keys, "model_raw")
         .agg(
-            F.sum(F.when(F.col("start").isNull() | inside, rate)).alias("in_sum"),
-            F.count(F.when(F.col("start").isNull() | inside, rate)).alias("in_n"),
-            F.count_if(F.col("start").isNull() | inside).alias("in_rows"),
+            F.sum(F.when(inside, rate)).alias("in_sum"),
+            F.count(F.when(inside, rate)).alias("in_n"),
+            F.count_if(inside).alias("in_rows"),
             F.sum(rate).alias("all_sum"),
             F.count(rate).alias("all_n"),
         )
         .select(
+            *snapshot,
             "model_raw",
             F.when(F.col("in_rows") > 0, F.col("in_sum").cast("double") / F.col("in_n"))
             .otherwise(F.col("all_sum").cast("double") / F.col("all_n"))
@@ -327,31 +332,31 @@ def windowed_mean(performances: DataFrame, marks: DataFrame) -> DataFrame:
     )
 
 
-def prefix_map_mean(records: DataFrame, prefix: str = "pass_") -> DataFrame:
-    """Mean of the numeric entries with a name prefix in ``results[domain][name]``."""
+def prefix_map_mean(records: DataFrame, prefix: str = "pass_", snapshot: Sequence[str] = ()) -> DataFrame:
+    """Mean of the numeric entries with a name prefix in ``results[domain][name]``, by snapshot and model."""
     entries = (
-        records.select("model_raw", F.explode("results").alias("domain", "metrics"))
-        .select("model_raw", F.explode("metrics").alias("metric", "value"))
+        records.select(*snapshot, "model_raw", F.explode("results").alias("domain", "metrics"))
+        .select(*snapshot, "model_raw", F.explode("metrics").alias("metric", "value"))
         .where(F.col("metric").startswith(prefix))
         .withColumn("value", F.col("value").try_cast("double"))
         .where(F.col("value").isNotNull())
     )
     total = F.sum(F.col("value").cast("decimal(28,9)")).cast("double")
     return (
-        entries.groupBy("model_raw")
+        entries.groupBy(*snapshot, "model_raw")
         .agg((total / F.count(F.lit(1))).alias("mean_rate"), F.count(F.lit(1)).alias("n"))
         .withColumn("score_raw", fixed_text(F.col("mean_rate"), 4))
     )
 
 
-def accuracy_per_model(problems: DataFrame) -> DataFrame:
-    """Share of correct answers per model with the number of scored problems."""
+def accuracy_per_model(problems: DataFrame, snapshot: Sequence[str] = ()) -> DataFrame:
+    """Share of correct answers per snapshot and model with the number of scored problems."""
     scored = problems.where(
         (F.coalesce("model_raw", F.lit("")) != "") & F.col("correct").try_cast("double").isNotNull()
     )
     total = F.sum(F.col("correct").cast("decimal(28,6)")).cast("double")
     return (
-        scored.groupBy("model_raw")
+        scored.groupBy(*snapshot, "model_raw")
         .agg((total / F.count(F.lit(1))).alias("accuracy"), F.count(F.lit(1)).alias("num_problems"))
         .withColumn("score_raw", fixed_text(F.col("accuracy"), 4))
     )

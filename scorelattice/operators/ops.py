@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.digests import derived_id
-from ..functions.rules import first_failure
+from ..functions.rules import first_failure, refuse
 from ..functions.timegrid import duration_seconds, slot_start
 from .audit import multiset_digest
 
@@ -53,6 +53,27 @@ FAMILY_SEVERITY = {
     "DATABASE": "SEV1", "ARTIFACT": "SEV1", "PUBLICATION": "SEV1", "NOTIFY": "SEV1",
     "SOURCE_POLICY": "SEV2", "FETCH": "SEV2", "SNAPSHOT": "SEV2", "STORAGE": "SEV2", "SCHEMA": "SEV2",
     "EVIDENCE": "SEV2", "VALIDATION": "SEV2", "CONFLICT": "SEV2", "SCHEDULER": "SEV2", "FRONTEND": "SEV2",
+    "DISCOVERY": "SEV3", "IDENTITY": "SEV3",
+}
+# Incident codes by family.
+FAMILY_CODES = {
+    "DISCOVERY": ("NEW_CANDIDATE", "CANDIDATE_DRIFT", "ORIGIN_UNREACHABLE", "DUPLICATE"),
+    "SOURCE_POLICY": ("TERMS_UNKNOWN", "TERMS_CHANGED", "PERMISSION_REQUIRED", "CERT_EXPIRED", "REVISION_UNCERTIFIED"),
+    "FETCH": ("TRANSPORT_UNAVAILABLE", "TRANSIENT", "RATE_LIMITED", "POLICY_BLOCK", "CONTENT_MISMATCH", "UNSAFE_REDIRECT"),
+    "SNAPSHOT": ("WRITE_FAILED", "HASH_MISMATCH", "OBJECT_MISSING"),
+    "STORAGE": ("WRITE_FAILED", "HASH_MISMATCH", "OBJECT_MISSING", "RETENTION_VIOLATION", "ORPHAN_DETECTED"),
+    "SCHEMA": ("SCHEMA_DRIFT", "CONTRACT_MISMATCH"),
+    "EVIDENCE": ("LOCATOR_UNRESOLVABLE", "RAW_VALUE_MISMATCH", "CONTRACT_MISMATCH"),
+    "VALIDATION": ("CLAIM_REJECTED", "NO_PASS", "NONFINITE_SCORE", "DIMENSION_UNAPPROVED"),
+    "IDENTITY": ("MODEL_UNRESOLVED", "MODEL_AMBIGUOUS", "BENCHMARK_UNRESOLVED", "SYSTEM_COMPOSITION_UNKNOWN"),
+    "CONFLICT": ("DISPLAY_CELL_DUPLICATE", "DECISION_CHAIN_AMBIGUOUS", "FINGERPRINT_COLLISION"),
+    "SCHEDULER": ("DISPATCH_MISSED", "LEASE_LOST", "DUPLICATE_DELIVERY", "QUEUE_BACKLOG", "WATCHDOG_MISSING_RECEIPT"),
+    "DATABASE": ("UNAVAILABLE", "CONSTRAINT_FAILED", "MIGRATION_FAILED", "RESTORE_FAILED"),
+    "ARTIFACT": ("BUILD_FAILED", "DIGEST_MISMATCH", "UNAUTHORIZED", "REVOCATION_FAILED", "WITHDRAWAL_FAILED"),
+    "PUBLICATION": ("BUILD_FAILED", "DIGEST_MISMATCH", "UNAUTHORIZED", "REVOCATION_FAILED", "WITHDRAWAL_FAILED"),
+    "FRONTEND": ("ARTIFACT_LOAD_FAILED", "AUTHORIZATION_MISMATCH", "CACHE_STALE", "SILENT_FALLBACK_ATTEMPT"),
+    "SECURITY": ("CREDENTIAL_EXPOSURE", "UNSAFE_EGRESS", "PRIVACY_POLICY_VIOLATION", "ALERT_INJECTION"),
+    "NOTIFY": ("DELIVERY_FAILED", "DEAD_LETTERED", "WATCHDOG_FAILED"),
 }
 # Terminal dispositions of a scheduled job by kind.
 SUCCEEDED = (
@@ -293,12 +314,16 @@ def sla_assessment(folded: DataFrame) -> DataFrame:
 
 
 def severity_issues(incidents: DataFrame) -> DataFrame:
-    """Severity against the family's default; raising it needs a decision."""
+    """Severity against the default of family and code; raising it needs a decision.
+
+    Columns: ``family, code, severity, basis, decision``.
+    """
     default = F.element_at(text_map(FAMILY_SEVERITY), F.col("family"))
     as_default = F.col("basis") == "taxonomy_default"
     issue = first_failure(
         [
             (default.isNull(), "FAMILY_UNKNOWN"),
+            refuse(~F.array_contains(F.element_at(list_map(FAMILY_CODES), F.col("family")), F.col("code")), "CODE_UNKNOWN"),
             (as_default & ((F.col("severity") != default) | F.col("decision").isNotNull()), "NOT_THE_DEFAULT"),
             (~as_default & F.col("decision").isNull(), "ESCALATION_WITHOUT_DECISION"),
             (~as_default & (F.col("severity") >= default), "ESCALATION_NOT_MORE_SEVERE"),

@@ -322,6 +322,24 @@ def parquet_order_cells(spark, folder):
     return claims.select(F.element_at(F.split("file_path", "/"), -1).alias("file_name"), "row_index", *fields)
 
 
+@query(
+    """SELECT 'orders.parquet' AS file_name, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, CAST(o_totalprice AS VARCHAR) AS score_raw FROM orders
+      UNION ALL SELECT 'part.parquet', row_number() OVER (ORDER BY p_partkey) - 1, CAST(p_retailprice AS VARCHAR) FROM part
+      UNION ALL SELECT 'events.parquet', row_number() OVER (ORDER BY event_id) - 1, CAST(value AS VARCHAR) FROM events"""
+)
+def parquet_real_cells(spark, folder):
+    """Prices and values, stored in key order, in their shortest spelling."""
+    configure(spark)
+    parts = [
+        T.parquet_cells(spark, f"{folder}/{name}.parquet", [column]).select(
+            F.element_at(F.split("file_path", "/"), -1).alias("file_name"), "row_index", F.col(column).alias("score_raw")
+        )
+        for name, column in (("orders", "o_totalprice"), ("part", "p_retailprice"), ("events", "value"))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+
 @query("SELECT 'lineitem.parquet' AS file_name, count(*) AS n_rows FROM lineitem")
 def parquet_row_counts(spark, folder):
     configure(spark)
@@ -458,6 +476,24 @@ def windowed_mean_fallback(spark, folder):
     return X.windowed_mean(perf, perf).select("model_raw", "score_raw")
 
 
+@query(
+    """WITH p AS (SELECT event_type AS snapshot, user_id, CAST(value AS DECIMAL(28,6)) AS v, date_trunc('day', ts) AS mark FROM events),
+    d AS (SELECT DISTINCT snapshot, mark FROM p WHERE user_id % 2 = 0 AND day(mark) <= 20), m AS (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY mark) AS i, count(*) OVER (PARTITION BY snapshot) AS n FROM d),
+    s AS (SELECT snapshot, max(mark) FILTER (WHERE i = CASE WHEN n > 12 THEN 16 WHEN n > 4 THEN 5 ELSE 1 END) AS start, max(mark) AS last FROM m GROUP BY 1),
+    g AS (SELECT snapshot, user_id, CAST(sum(v) FILTER (WHERE start IS NULL OR mark BETWEEN start AND last) AS DOUBLE) / count(v) FILTER (WHERE start IS NULL OR mark BETWEEN start AND last) AS a,
+       count(*) FILTER (WHERE start IS NULL OR mark BETWEEN start AND last) AS k, CAST(sum(v) AS DOUBLE) / count(v) AS b FROM p LEFT JOIN s USING (snapshot) GROUP BY ALL)
+    SELECT snapshot, user_id AS model_raw, printf('%.1f', CASE WHEN k > 0 THEN a ELSE b END) AS score_raw FROM g"""
+)
+def windowed_mean_by_snapshot(spark, folder):
+    """One artifact per event type, with marks that end before its last rows."""
+    perf = D.table(spark, folder, "events").select(
+        F.col("event_type").alias("snapshot"), F.col("user_id").alias("model_raw"),
+        F.col("value").alias("pass_rate"), F.date_trunc("day", "ts").alias("mark"),
+    )
+    marks = perf.where((F.col("model_raw") % 2 == 0) & (F.dayofmonth("mark") <= 20))
+    return X.windowed_mean(perf, marks, ["snapshot"]).select("snapshot", "model_raw", "score_raw")
+
+
 @query(
     """WITH v AS (SELECT user_id, value AS x FROM events WHERE event_type <> 'error'
       UNION ALL SELECT user_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) FROM events WHERE event_type <> 'error')

@@ -169,14 +169,38 @@ def revision_chain(spark, folder):
     return L.revision_chain_issues(told)
 
 
-@query()
-def graph_cycles(spark, folder):
-    """Customers linked by consecutive urgent pending orders; edges stuck on cycles."""
+_EDGES = """e AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1
+   WHERE a.o_orderpriority = '1-URGENT' AND a.o_totalprice > 300000)"""
+
+
+def follow_edges(spark, folder):
+    """Customers linked to the customer of the next order, for large urgent orders."""
     o = D.table(spark, folder, "orders")
-    urgent = o.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"))
+    urgent = o.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 300000))
     nxt = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("dst"))
-    edges = urgent.join(nxt, "o_orderkey").select(F.col("o_custkey").alias("src"), "dst")
-    return L.cyclic_edges(edges)
+    return urgent.join(nxt, "o_orderkey").select(F.col("o_custkey").alias("src"), "dst")
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+    c AS (SELECT DISTINCT src AS n FROM r WHERE src = dst), leads AS (SELECT DISTINCT src AS n FROM r JOIN c ON r.dst = c.n UNION SELECT n FROM c)
+    SELECT src, dst FROM e WHERE dst IN (SELECT n FROM leads)"""
+)
+def graph_cycles(spark, folder):
+    """Edges that lie on a cycle or lead to one."""
+    return L.cyclic_edges(follow_edges(spark, folder))
+
+
+@query(
+    f"""WITH {_EDGES} SELECT src, dst, 'base_model' AS role, CASE WHEN c_mktsegment = 'BUILDING' THEN 'harness' ELSE 'system' END AS dst_kind FROM e JOIN customer ON c_custkey = dst
+      WHERE src % 3 > 0 AND c_mktsegment <> 'MACHINERY'"""
+)
+def component_kinds(spark, folder):
+    """Edges that name a base model as their target, where the target is none."""
+    edges = follow_edges(spark, folder).distinct().withColumn("role", F.when(F.col("src") % 3 > 0, "base_model").otherwise("tool"))
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "harness").when(F.col("c_mktsegment") == "MACHINERY", "base_model").otherwise("system")
+    subjects = D.table(spark, folder, "customer").select(F.col("c_custkey").alias("subject"), kind.alias("kind"))
+    return L.component_issues(edges, subjects).select("src", "dst", "role", "dst_kind")
 
 
 _PUBS = """pub AS (SELECT o_orderkey AS id, o_orderkey AS entity, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderkey * 8 + m END AS review_id,

@@ -245,15 +245,18 @@ def work_item_fold(spark, folder):
 
 
 @query(
-    """SELECT event_id, def AS default_severity, CASE WHEN def IS NULL THEN 'FAMILY_UNKNOWN' WHEN b AND sev <> def THEN 'NOT_THE_DEFAULT' WHEN NOT b AND dec IS NULL THEN 'ESCALATION_WITHOUT_DECISION'
-      WHEN NOT b AND sev >= def THEN 'ESCALATION_NOT_MORE_SEVERE' END AS issue FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'SEV0' WHEN 'view' THEN 'SEV1' WHEN 'error' THEN 'SEV2' WHEN 'purchase' THEN 'SEV2' END AS def,
+    """SELECT event_id, def AS default_severity, CASE WHEN def IS NULL THEN 'FAMILY_UNKNOWN' WHEN NOT coalesce(list_contains(codes, code), false) THEN 'CODE_UNKNOWN' WHEN b AND sev <> def THEN 'NOT_THE_DEFAULT' WHEN NOT b AND dec IS NULL THEN 'ESCALATION_WITHOUT_DECISION'
+      WHEN NOT b AND sev >= def THEN 'ESCALATION_NOT_MORE_SEVERE' END AS issue FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'SEV0' WHEN 'view' THEN 'SEV1' WHEN 'error' THEN 'SEV2' WHEN 'purchase' THEN 'SEV3' END AS def,
+      CASE event_type WHEN 'click' THEN ['UNSAFE_EGRESS'] WHEN 'view' THEN ['UNAVAILABLE', 'RESTORE_FAILED'] WHEN 'error' THEN ['TRANSIENT'] WHEN 'purchase' THEN ['MODEL_AMBIGUOUS'] END AS codes,
+      CASE event_id % 6 WHEN 0 THEN 'UNSAFE_EGRESS' WHEN 1 THEN 'UNAVAILABLE' WHEN 2 THEN 'TRANSIENT' WHEN 3 THEN 'MODEL_AMBIGUOUS' WHEN 4 THEN 'RESTORE_FAILED' END AS code,
       'SEV' || user_id % 4 AS sev, value < 20 AS b, CASE WHEN value >= 20 AND user_id % 3 > 0 THEN 'd' || user_id END AS dec FROM events)"""
 )
 def severity_rules(spark, folder):
-    families = O.text_map({"click": "SECURITY", "view": "DATABASE", "error": "FETCH", "purchase": "SCHEDULER", "signup": "OTHER"})
+    families = O.text_map({"click": "SECURITY", "view": "DATABASE", "error": "FETCH", "purchase": "IDENTITY", "signup": "OTHER"})
+    codes = F.array(*[F.lit(c) for c in ("UNSAFE_EGRESS", "UNAVAILABLE", "TRANSIENT", "MODEL_AMBIGUOUS", "RESTORE_FAILED")])
     basis = F.when(F.col("value") < 20, "taxonomy_default").otherwise("escalated_by_decision")
     incidents = D.table(spark, folder, "events").select(
-        "event_id", families[F.col("event_type")].alias("family"), F.concat(F.lit("SEV"), F.col("user_id") % 4).alias("severity"),
+        "event_id", families[F.col("event_type")].alias("family"), F.get(codes, (F.col("event_id") % 6).cast("int")).alias("code"), F.concat(F.lit("SEV"), F.col("user_id") % 4).alias("severity"),
         basis.alias("basis"),
         F.when((F.col("value") >= 20) & (F.col("user_id") % 3 > 0), F.concat(F.lit("d"), "user_id")).alias("decision"),
     )

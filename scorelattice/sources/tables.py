@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions.digests import canonical_json
+from ..functions.lexemes import real_lexeme
+from ..functions.text import is_json
 
 
 def lexeme(df: DataFrame, name: str) -> Column:
@@ -15,6 +17,8 @@ def lexeme(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
         return F.col(name)
+    if isinstance(kind, T.DoubleType):
+        return F.when(F.col(name).isNotNull(), real_lexeme(F.col(name)))
     if isinstance(kind, T.NumericType):
         return F.col(name).cast("string")
     if isinstance(kind, T.BinaryType):
@@ -103,7 +107,7 @@ def csv_cells(
 def json_lines(lines: DataFrame, text: str, schema: str) -> DataFrame:
     """Parsed lines as ``record``; blank and malformed lines are left out."""
     parsed = F.from_json(F.trim(text), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    usable = F.try_parse_json(F.trim(text)).isNotNull()
+    usable = is_json(F.trim(text))
     return lines.where(usable).withColumn("record", parsed)
 
 

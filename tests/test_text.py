@@ -88,4 +88,10 @@ def test_fixed_text_rounds_the_binary_value(spark):
 
 
 def test_duplicate_keys(spark):
-    assert column(spark, ['{"a":1,"a":2}', '{"a":1,"b":2}'], X.has_duplicate_keys) == [True, False]
+    texts = ['{"a":1,"a":2}', '{"a":1,"b":2}', '{"a":[{"b":1,"c":{"d":1,"d":2}}]}', '{"a":{"b":1},"c":{"b":1}}', "no json", None]
+    assert column(spark, texts, X.has_duplicate_keys) == [True, False, True, False, None, None]
+
+
+def test_encoded_keys_and_paths_are_read(spark):
+    urls = ["https://x.org/a?access%5Ftoken=x", "https://x.org/a?b=1;access_token=2", "https://x.org/a?%zz=1", "https://x.org/a?b=%5F"]
+    assert column(spark, urls, X.is_public_https_url) == [False, True, False, True]
