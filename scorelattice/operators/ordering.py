@@ -1,12 +1,10 @@
 """Positions within groups of any size.
 
-A plain ranking window puts a whole group into one task.  Here a group is cut
-into consecutive buckets first: cut points are keys of the data itself, picked
-by hash so that a re-run picks the same ones, and only as many as the data is
-large (about ``MAX_CUTS`` in all, spread in proportion to group size, none for
-small data).  Each bucket is numbered on its own and shifted by the size of the
-buckets before it.  Cut points steer the work only; every row keeps its exact
-position.
+A plain ranking window puts a whole group into one task.  Here rows are
+range-partitioned once by group and key, sorted, and stored with the number of
+their range.  Each range numbers its own part of a group and adds the size of
+the parts before it; only these sizes, one per group and range, are ordered.  A
+group with most of all rows is spread over as many ranges as it needs.
 """
 
 from __future__ import annotations
@@ -15,95 +13,69 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-MAX_CUTS = 1024
-ROWS_PER_BUCKET = 1_000_000
+from ..session import staged
+
 # Stand-in group of positions over a whole table.
 _WHOLE = "_all"
 
 
-def _bucketed(keyed: DataFrame, groups: Sequence[str], rows_per_bucket: int) -> DataFrame:
-    """Add ``_b``, the number of cut points of the row's group below its ``_k``."""
-    total = keyed.agg(F.count(F.lit(1)).alias("n")).scalar()
-    stride = F.greatest(F.lit(rows_per_bucket), F.floor(total / MAX_CUTS))
-    picked = keyed.where(F.pmod(F.xxhash64("_k"), stride) == 0)
-    listed = F.array_sort(F.collect_set("_k")).alias("_cuts")
-    # At most about MAX_CUTS keys exist in total, whatever the input size.
-    if list(groups) == [_WHOLE]:
-        joined = keyed.withColumn("_cuts", picked.agg(listed).scalar())
-    else:
-        cuts = picked.groupBy(*groups).agg(listed)
-        joined = keyed.join(F.broadcast(cuts), list(groups), "left")
-    below = F.size(F.filter("_cuts", lambda c: c < F.col("_k")))
-    return joined.withColumn(
-        "_b", F.when(F.col("_cuts").isNull(), 0).otherwise(below)
-    ).drop("_cuts")
-
-
-def _offsets(placed: DataFrame, groups: Sequence[str], weight: Column) -> DataFrame:
-    """Rows before each bucket; a group has at most MAX_CUTS + 1 buckets."""
-    per_bucket = placed.groupBy(*groups, "_b").agg(F.sum(weight).alias("_n"))
-    before = W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    return per_bucket.select(
-        *groups, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
+def _ranged(keyed: DataFrame, groups: Sequence[str], parts: int | None) -> DataFrame:
+    """Rows stored range by range of (group, ``_k``), with the range's number ``_part``."""
+    order = [*groups, "_k"]
+    ranged = keyed.repartitionByRange(parts, *order) if parts else keyed.repartitionByRange(*order)
+    return staged(ranged.sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def _with_before(ranged: DataFrame, groups: Sequence[str], weight: Column) -> DataFrame:
+    """Add ``_before``, the weight of the group's rows in earlier ranges."""
+    sizes = ranged.groupBy(*groups, "_part").agg(F.sum(weight).alias("_n"))
+    earlier = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select(*groups, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # Groups may be null, so they are compared null-safely.
+    named = before.toDF(*[f"_g{i}" for i in range(len(groups))], "_p", "_before")
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return ranged.join(named, same).drop("_p", *[f"_g{i}" for i in range(len(groups))])
+
+
+def _keyed(df: DataFrame, groups: Sequence[str], keys: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    own = list(groups) or [_WHOLE]
+    base = df if groups else df.withColumn(_WHOLE, F.lit(1))
+    return base.withColumn("_k", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])), own
 
 
 def sequential_position(
-    df: DataFrame,
-    groups: Sequence[str],
-    keys: Sequence[Column],
-    position: str,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    df: DataFrame, groups: Sequence[str], keys: Sequence[Column], position: str, parts: int | None = None
 ) -> DataFrame:
     """Number rows 1..n within each group by ``keys`` ascending.
 
     ``keys`` must tell rows apart; negate numbers for descending order.  Nulls
-    come first.
+    come first.  ``parts`` sets the number of ranges.
     """
-    own = list(groups) or [_WHOLE]
-    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    base = df if groups else df.withColumn(_WHOLE, F.lit(1))
-    placed = _bucketed(base.withColumn("_k", key), own, rows_per_bucket)
-    numbered = placed.join(_offsets(placed, own, F.lit(1)), [*own, "_b"])
-    local = W.partitionBy(*own, "_b").orderBy("_k")
-    return numbered.withColumn(
-        position, (F.row_number().over(local) + F.col("_before")).cast("long")
-    ).select(*df.columns, position)
+    keyed, own = _keyed(df, groups, keys)
+    placed = _with_before(_ranged(keyed, own, parts), own, F.lit(1))
+    local = W.partitionBy(*own, "_part").orderBy("_k")
+    return placed.withColumn(position, (F.row_number().over(local) + F.col("_before")).cast("long")).select(
+        *df.columns, position
+    )
 
 
 def competition_position(
-    df: DataFrame,
-    groups: Sequence[str],
-    keys: Sequence[Column],
-    position: str,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    known_rows: int | None = None,
+    df: DataFrame, groups: Sequence[str], keys: Sequence[Column], position: str, parts: int | None = None
 ) -> DataFrame:
     """Rank with shared places (1, 1, 3) by ``keys`` ascending; keys not null.
 
     Equal keys are counted before anything is ordered, so a value that a third
-    of the rows share is one row in the ordering step.  A caller that has
-    counted its rows passes ``known_rows``: up to one bucket's worth of them is
-    ranked in a plain window.
+    of the rows share is one row in the ordering step.
     """
-    if known_rows is not None and known_rows <= rows_per_bucket:
-        plain = W.partitionBy(*groups).orderBy(*keys)
-        return df.withColumn(position, F.rank().over(plain).cast("long"))
-    own = list(groups) or [_WHOLE]
-    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    base = df if groups else df.withColumn(_WHOLE, F.lit(1))
-    keyed = base.withColumn("_k", key)
+    keyed, own = _keyed(df, groups, keys)
     values = keyed.groupBy(*own, "_k").agg(F.count(F.lit(1)).alias("_c"))
-    placed = _bucketed(values, own, rows_per_bucket)
-    shifted = placed.join(_offsets(placed, own, F.col("_c")), [*own, "_b"])
-    earlier = (
-        W.partitionBy(*own, "_b").orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
-    )
-    ranked = shifted.select(
+    placed = _with_before(_ranged(values, own, parts), own, F.col("_c"))
+    earlier = W.partitionBy(*own, "_part").orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
+    ranked = placed.select(
         *own,
         "_k",
-        (F.coalesce(F.sum("_c").over(earlier), F.lit(0)) + F.col("_before") + 1)
-        .cast("long")
-        .alias(position),
+        (F.coalesce(F.sum("_c").over(earlier), F.lit(0)) + F.col("_before") + 1).cast("long").alias(position),
     )
     return keyed.join(ranked, [*own, "_k"]).select(*df.columns, position)

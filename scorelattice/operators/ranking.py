@@ -88,7 +88,7 @@ def coverage_ranking(
     # take no place from the ranked ones and their position is blanked after.
     late = F.when(F.col("unranked_reason").isNull(), 0).otherwise(1)
     keys = [late, F.col("rank_sum"), -F.col("firsts")]
-    placed = competition_position(rows, [], keys, "_place", known_rows=rows.count())
+    placed = competition_position(rows, [], keys, "_place")
     has_total = F.col("total") > 0
     return placed.select(
         *models.columns,

@@ -1,4 +1,4 @@
-"""Positions against brute force, with and without bucket cuts."""
+"""Positions against brute force, in one range and in many."""
 
 import random
 
@@ -17,11 +17,11 @@ def data(seed):
     ]
 
 
-@pytest.mark.parametrize("rows_per_bucket", [1, 7, 1_000_000])
-def test_sequential_position(spark, rows_per_bucket):
+@pytest.mark.parametrize("parts", [None, 1, 40])
+def test_sequential_position(spark, parts):
     items = data(1)
     df = spark.createDataFrame(items, "g string, v long, i long").repartition(7)
-    got = sequential_position(df, ["g"], [-F.col("v"), F.col("i")], "p", rows_per_bucket)
+    got = sequential_position(df, ["g"], [-F.col("v"), F.col("i")], "p", parts)
     want = {}
     for g in {x[0] for x in items}:
         for p, x in enumerate(sorted((x for x in items if x[0] == g), key=lambda x: (-x[1], x[2])), 1):
@@ -29,20 +29,18 @@ def test_sequential_position(spark, rows_per_bucket):
     assert {r.i: r.p for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("rows_per_bucket", [1, 5, 1_000_000])
-def test_competition_position(spark, rows_per_bucket):
+@pytest.mark.parametrize("parts", [None, 1, 25])
+def test_competition_position(spark, parts):
     items = data(2)
     df = spark.createDataFrame(items, "g string, v long, i long").repartition(5)
-    got = competition_position(df, ["g"], [-F.col("v")], "p", rows_per_bucket)
+    got = competition_position(df, ["g"], [-F.col("v")], "p", parts)
     want = {x[2]: 1 + sum(y[0] == x[0] and y[1] > x[1] for y in items) for x in items}
     assert {r.i: r.p for r in got.collect()} == want
-    known = competition_position(df, ["g"], [-F.col("v")], "p", rows_per_bucket, known_rows=len(items))
-    assert {r.i: r.p for r in known.collect()} == want
 
 
 def test_whole_table_position(spark):
     df = spark.createDataFrame([(3,), (1,), (2,)], "v long")
-    got = sequential_position(df, [], [F.col("v")], "p", 1)
+    got = sequential_position(df, [], [F.col("v")], "p", 3)
     assert {(r.v, r.p) for r in got.collect()} == {(1, 1), (2, 2), (3, 3)}
 
 
@@ -51,8 +49,14 @@ def test_empty_input(spark):
     assert competition_position(df, ["g"], [F.col("v")], "p").count() == 0
 
 
-def test_cuts_are_used(spark):
-    from scorelattice.operators.ordering import _bucketed
+def test_null_groups_and_keys(spark):
+    df = spark.createDataFrame([(None, 2), (None, None), ("a", 1), (None, 3)], "g string, v long")
+    got = sequential_position(df, ["g"], [F.col("v")], "p", 3)
+    assert {(r.g, r.v, r.p) for r in got.collect()} == {(None, None, 1), (None, 2, 2), (None, 3, 3), ("a", 1, 1)}
+
+
+def test_a_hot_group_is_spread_over_ranges(spark):
+    from scorelattice.operators.ordering import _ranged
 
     df = spark.range(2000).select(F.lit("x").alias("g"), F.struct(F.col("id")).alias("_k"))
-    assert _bucketed(df, ["g"], 50).select("_b").distinct().count() > 5
+    assert _ranged(df, ["g"], 12).select("_part").distinct().count() > 5
