@@ -45,6 +45,8 @@ SHORTEST, LONGEST = 3, 12
 #: Terms that are looked at when the lexicon is chosen: the most frequent ones that tell the classes apart.
 CANDIDATES = 2_000
 LEAST_ODDS = 3.0
+#: Terms that a toxic text should find, and the share of toxic texts that a term beyond the first must hold for.
+COVERS, COMMON = 4, 0.025
 #: Clean texts that make a phrase an exception.
 EXCEPTION_TEXTS = 3
 
@@ -186,21 +188,37 @@ def _measurer(lexicon: Lexicon):
     return measure
 
 
+def _nested(a: str, b: str) -> bool:
+    """Whether one term is a beginning of the other."""
+    return a.startswith(b.rstrip()) or b.startswith(a.rstrip())
+
+
 def choose(terms: list[tuple[str, int, int]], holders: dict[str, set[int]], toxic: int, clean: int) -> dict[str, float]:
-    """Greedy cover: the term that explains most toxic texts not yet explained, again and again."""
+    """Terms by greedy cover, with log odds as weights.
+
+    First the term that most toxic texts without a term hold, again and again;
+    then terms that hold for many texts with fewer than ``COVERS`` terms.  Copies
+    of one text are explained by its first term, so their other words stay out.
+    """
     weight = {t: math.log((p + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1)) for t, p, n in terms}
     negative = {t: n for t, _, n in terms}
-    left, chosen = set().union(*holders.values()) if holders else set(), {}
-    least = 3 if toxic >= 100 else 2
-    while left:
-        def worth(t: str):
-            return (len(holders[t] & left) - 3 * negative[t] * toxic / max(clean, 1), not t.endswith(" "), len(t), t)
-
-        best = max(holders, key=worth)
-        if len(holders[best] & left) < least:
-            break
-        chosen[best] = weight[best]
-        left -= holders.pop(best)
+    covered = dict.fromkeys(set().union(*holders.values()) if holders else (), 0)
+    open_terms, chosen = dict(holders), {}
+    some = 3 if toxic >= 100 else 2
+    for covers, least in ((1, some), (COVERS, max(some, math.ceil(COMMON * toxic)))):
+        while open_terms:
+            gain = {t: sum(covered[d] < covers for d in own) for t, own in open_terms.items()}
+
+            def worth(t: str):
+                return (gain[t] - 3 * negative[t] * toxic / max(clean, 1), not t.endswith(" "), len(t), t)
+
+            best = max(open_terms, key=worth)
+            if gain[best] < least:
+                break
+            chosen[best] = weight[best]
+            for d in open_terms[best]:
+                covered[d] += 1
+            open_terms = {t: own for t, own in open_terms.items() if not _nested(t, best)}
     return chosen
 
 
