@@ -34,9 +34,9 @@ from ..session import staged
 from .common import NO_ID, PACKED, bucket_count, fresh, packed_rows, squeeze, unsqueeze, whole_text
 
 #: Bytes that a cut depends on, bytes per cut on average, and the shortest and longest chunk.
-REACH, EVERY, SHORTEST, LONGEST = 16, 24, 8, 1024
-#: Words that a repeated passage has at least, as far as whole chunks cover it.
-PASSAGE_WORDS = 18
+REACH, EVERY, SHORTEST, LONGEST = 16, 16, 6, 1024
+#: Words that a repeated passage has at least, as far as whole chunks cover it: a passage of 50 words loses a few at either end.
+PASSAGE_WORDS = 30
 #: Bytes of text in a block, or one document if that is larger.
 BLOCK_BYTES = 16_000_000
 GEAR = np.array([Random(f"gear {b}").getrandbits(32) for b in range(256)], np.uint32)
