@@ -16,34 +16,37 @@ from ..functions.text import fold_header
 
 
 class _Tables(HTMLParser):
-    """Cell texts by table and row; nested tables count as tables of their own."""
+    """Cell texts by table and row; nested tables count as tables of their own.
+
+    Each open table remembers whether it is inside a cell, so a cell's text goes
+    on after a table within it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.done: list[list[list[str]]] = []
-        self.open: list[list[list[str]]] = []
-        self.cell = 0
+        self.open: list[list] = []  # rows, and whether a cell takes text
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
-            self.open.append([])
-            self.done.append(self.open[-1])
+            self.open.append([[], False])
+            self.done.append(self.open[-1][0])
         elif self.open and tag == "tr":
-            self.open[-1].append([])
-            self.cell = 0
-        elif self.open and tag in ("td", "th") and self.open[-1]:
-            self.open[-1][-1].append("")
-            self.cell = 1
+            self.open[-1][0].append([])
+            self.open[-1][1] = False
+        elif self.open and tag in ("td", "th") and self.open[-1][0]:
+            self.open[-1][0][-1].append("")
+            self.open[-1][1] = True
 
     def handle_endtag(self, tag):
         if tag == "table" and self.open:
             self.open.pop()
-        if tag in ("td", "th", "tr", "table"):
-            self.cell = 0
+        elif tag in ("td", "th", "tr") and self.open:
+            self.open[-1][1] = False
 
     def handle_data(self, data):
-        if self.cell and self.open and self.open[-1] and self.open[-1][-1]:
-            self.open[-1][-1][-1] += data
+        if self.open and self.open[-1][1] and self.open[-1][0][-1]:
+            self.open[-1][0][-1][-1] += data
 
 
 class _Scripts(HTMLParser):

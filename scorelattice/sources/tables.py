@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.digests import canonical_json
 from ..functions.lexemes import real_lexeme
@@ -45,31 +45,26 @@ def row_counts(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their 0-based number within each file.
+def numbered_records(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """CSV records as text with their 0-based number within each file, and ``bad`` for a wrong width.
 
-    Files may be split into blocks.  Lines of a block are read in order by one
-    task, so a line's number is its distance from the block's first id plus the
-    lines of the file's earlier blocks; only per-block counts are ordered.
+    Quoted fields may span lines, so a file is read in order by one task, record
+    by record; files are read side by side.  Ids rise by one from record to
+    record of a file, so a record's number is its distance from the first id.
+    Empty cells are empty text; blank lines are no records.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
-        "value",
-    )
-    blocks = lines.groupBy("file_path", "block").agg(
-        F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")
-    )
-    # One row per block: the window is as long as a file has blocks.
-    before = W.partitionBy("file_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    starts = blocks.select(
-        "file_path", "block", "first_id",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"),
-    )
-    return lines.join(starts, ["file_path", "block"]).select(
-        "file_path", (F.col("id") - F.col("first_id") + F.col("before")).alias("line_no"), "value"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, "bad")])
+    options = {
+        "multiLine": "true", "header": "false", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\x00",
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "columnPruning": "false", "maxCharsPerColumn": "-1",
+    }
+    # The reader gives null for an empty cell; in a record of the right width no cell is missing.
+    cells = [F.when(F.col("bad").isNull(), F.coalesce(n, F.lit(""))).otherwise(F.col(n)).alias(n) for n in names]
+    read = spark.read.schema(schema).options(**options).csv(path).select(
+        F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("id"), *cells, "bad"
     )
+    firsts = read.groupBy("file_path").agg(F.min("id").alias("first_id"))
+    return read.join(firsts, "file_path").withColumn("record_no", F.col("id") - F.col("first_id")).drop("id", "first_id")
 
 
 def csv_cells(
@@ -77,30 +72,28 @@ def csv_cells(
 ) -> DataFrame:
     """CSV rows as text with ``(file_path, row_index)``; the header must be exact.
 
-    Every file's first line must equal the declared header.  Rows of another
-    width carry ``well_formed = false``.  Fields may be quoted but must not
-    span lines.
+    Every file's first record must equal the declared header.  Rows of another
+    width carry ``well_formed = false``; cells they lack are null.
     """
     if len(set(columns)) < len(columns) or "" in columns:
         raise ValueError("header names must be unique and not empty")
     if set(required) - set(columns):
         raise ValueError(f"required columns missing: {sorted(set(required) - set(columns))}")
     names = [f"c{i}" for i in range(len(columns))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, "extra")])
-    parsed = F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"mode": "PERMISSIVE"})
-    rows = numbered_lines(spark, path).withColumn("p", parsed)
-    header_ok = F.struct(*[F.col(f"p.{n}") for n in names]) == F.struct(
-        *[F.lit(c).alias(n) for c, n in zip(columns, names)]
+    rows = numbered_records(spark, path, names)
+    header_ok = F.col("bad").isNull() & (
+        F.struct(*names) == F.struct(*[F.lit(c).alias(n) for c, n in zip(columns, names)])
     )
-    wrong = rows.where((F.col("line_no") == 0) & ~F.coalesce(header_ok, F.lit(False))).agg(
+    wrong = rows.where((F.col("record_no") == 0) & ~F.coalesce(header_ok, F.lit(False))).agg(
         F.count(F.lit(1)).alias("n")
     ).scalar()
     refuse = F.raise_error("unexpected CSV header").cast("boolean")
-    return rows.where("line_no > 0").where(F.when(wrong == 0, True).otherwise(refuse)).select(
+    return rows.where("record_no > 0").where(F.when(wrong == 0, True).otherwise(refuse)).select(
         "file_path",
-        (F.col("line_no") - 1).alias("row_index"),
-        *[F.col(f"p.{n}").alias(c) for n, c in zip(names, columns)],
-        (F.col(f"p.{names[-1]}").isNotNull() & F.col("p.extra").isNull()).alias("well_formed"),
+        (F.col("record_no") - 1).alias("row_index"),
+        *[F.col(n).alias(c) for n, c in zip(names, columns)],
+        # Always true; Spark refuses to read the column of malformed records alone.
+        (F.col("bad").isNull() & (F.char_length(F.coalesce(names[0], F.lit(""))) >= 0)).alias("well_formed"),
     )
 
 

@@ -35,6 +35,16 @@ def test_csv_number_survives_split_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_csv_quoted_line_ends_empty_cells_and_blank_lines(spark, tmp_path):
+    text = 'model,score\n"a\nb",1\n\nc,\n,2\n"say ""x""",3\nd,4,5\n"",""\n'
+    (tmp_path / "q.csv").write_text(text)
+    cells = T.csv_cells(spark, str(tmp_path), ["model", "score"])
+    got = [tuple(r) for r in cells.orderBy("row_index").select("row_index", "model", "score", "well_formed").collect()]
+    assert got == [(0, "a\nb", "1", True), (1, "c", "", True), (2, "", "2", True), (3, 'say "x"', "3", True), (4, "d", "4", False), (5, "", "", True)]
+    assert sorted(r.row_index for r in cells.select("row_index").collect()) == list(range(6))
+    assert cells.where("not well_formed").count() == 1
+
+
 def test_csv_header_is_checked(spark, tmp_path):
     (tmp_path / "x.csv").write_text("model,points\na,1\n")
     with pytest.raises(Exception, match="unexpected CSV header"):
@@ -58,6 +68,13 @@ PAGES = [
 ]
 
 
+def test_text_after_a_nested_table_stays_in_its_cell(spark):
+    page = "<table><tr><td>a <table><tr><td>in</td></tr></table> b</td><td>c</td></tr></table>"
+    parser = H._Tables()
+    parser.feed(page)
+    assert parser.done == [[["a  b", "c"]], [["in"]]]
+
+
 def test_html_tables(spark):
     pages = spark.createDataFrame(PAGES, "pid long, html string")
     tables = H.page_tables(pages, "pid", "html")
