@@ -31,8 +31,17 @@ _SETTINGS = {
 }
 
 
+_configured: set[str] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings that results and skew handling rely on."""
+    """Apply the run-time settings that results and skew handling rely on.
+
+    Once per application: what its user sets afterwards stays.
+    """
+    if spark.sparkContext.applicationId in _configured:
+        return spark
+    _configured.add(spark.sparkContext.applicationId)
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
     ship_package(spark)
