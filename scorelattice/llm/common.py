@@ -21,9 +21,15 @@ PACKED = "block long, bucket int, data binary"
 BUCKETS, BUCKETS_PER_PARTITION = 1024, 8
 
 
+_prepared: set[str] = set()
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """Run-time settings; Arrow batches are bounded by rows and by bytes."""
+    """Run-time settings, once per application; Arrow batches are bounded by rows and by bytes."""
     configure(spark)
+    if spark.sparkContext.applicationId in _prepared:
+        return spark
+    _prepared.add(spark.sparkContext.applicationId)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
