@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import digests as G, jsonpath as J, scores as S, text as X, timegrid as TG
+from ..operators import summary as Y
 from . import domain as D
 from .registry import query
 
@@ -184,7 +185,7 @@ def claim_fingerprints(spark, folder):
         "rank_raw": F.lit(None).cast("string"),
     }
     return lines.select(
-        "l_orderkey", "l_linenumber", "l_partkey", G.identity_digest(fields).alias("fingerprint")
+        "l_orderkey", "l_linenumber", "l_partkey", G.G.identity_digest(fields).alias("fingerprint")
     )
 
 
@@ -216,3 +217,39 @@ def metadata_text(spark, folder):
         S.format_price_pair(F.when(size > 10, size), F.when(size > 40, size)).alias("price_text"),
         X.fold_header(messy).alias("header"),
     )
+
+
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 4 THEN NULL ELSE false END AS repeats FROM events"""
+)
+def duplicate_keys(spark, folder):
+    """Event properties as they are, with a key repeated at the top or deep inside, or cut short."""
+    ev = D.table(spark, folder, "events")
+    own = F.col("props")
+    text = (
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"a":'), own, F.lit(',"b":0,"a":1}')))
+        .when(F.col("event_id") % 5 == 1, F.concat(F.lit('{"a":[1,{"b":{"c":1,"d":2,"c":'), own, F.lit("}}]}")))
+        .when(F.col("event_id") % 5 == 2, F.concat(F.lit('{"a":'), own, F.lit(',"b":{"a":'), own, F.lit("}}")))
+        .when(F.col("event_id") % 5 == 3, own)
+        .otherwise(F.concat(F.lit('{"a":'), own))
+    )
+    return ev.select("event_id", X.has_duplicate_keys(text).alias("repeats"))
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def refusing_cap(spark, folder):
+    """A table within its cap passes whole; a larger one is refused (see the tests)."""
+    return Y.guarded(D.table(spark, folder, "customer"), 1_000_000_000).select("c_custkey", "c_name")
+
+
+@query(
+    """SELECT o_custkey, sha256('{"customer":' || o_custkey || ',"priorities":' || CAST(to_json(list_sort(list_distinct(list(o_orderpriority)))) AS VARCHAR) || ',"statuses":' ||
+      CAST(to_json(list_sort(list_distinct(list(o_orderstatus)))) AS VARCHAR) || '}') AS fingerprint FROM orders GROUP BY o_custkey"""
+)
+def content_fingerprints(spark, folder):
+    """Digest of each customer's sets of order priorities and states, whatever their order and number."""
+    sets = D.table(spark, folder, "orders").groupBy("o_custkey").agg(
+        F.collect_set("o_orderpriority").alias("priorities"), F.collect_set("o_orderstatus").alias("statuses")
+    )
+    fields = {"customer": F.col("o_custkey"), "priorities": G.set_like(F.col("priorities")), "statuses": G.set_like(F.col("statuses"))}
+    return sets.select("o_custkey", G.identity_digest(fields).alias("fingerprint"))
