@@ -221,7 +221,7 @@ def nearest(
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    sample = np.array([r["v"] for r in once.orderBy("h1", "h2").limit(SAMPLE).select("v").collect()])
+    sample = np.array(once.orderBy("h1", "h2").limit(SAMPLE).select("v").toPandas()["v"].tolist(), np.float64)
     lists = int(min(max(total // list_size, 1), MOST_LISTS, max(len(sample) // 8, 1)))
     centres = spark.sparkContext.broadcast(fit_centroids(sample, lists))
     posted = staged(once.mapInArrow(_poster(centres, COPIES, COPY_RATIO), "list int, h1 long, h2 long, v array<double>, ids array<long>"))
