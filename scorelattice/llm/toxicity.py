@@ -54,7 +54,7 @@ EXCEPTION_TEXTS = 3
 _LOOKALIKES = dict(
     zip("аеорсухіјѕһԛԝԁвкмнт", "aeopcyxijshqwdbkmht")
 ) | dict(zip("αεικνορτυχ", "aeikvoptux")) | {"ı": "i", "ɡ": "g"}
-_SIGNS = dict(zip("013457@$", "oieasta" + "s"))
+_SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
 
 class _Folding(dict):
