@@ -4,8 +4,10 @@ Centroids are fitted on a bounded sample, with a price on size so that lists
 stay balanced.  Every vector is posted to its nearest centroid; one near a
 boundary also to the next ones, up to a distance ratio.  A query walks a graph
 of centroids held in memory, best first, and searches the lists whose centroid
-is within a distance ratio of the nearest.  Lists and their queries meet in a
-shuffle by list, both sides cut into blocks of bounded size; each block keeps
+is within a distance ratio of the nearest.  How many lists and which ratio that
+takes is measured: some queries are also searched exactly, and both grow until
+the lists searched hold the share of true neighbours asked for, so recall holds
+however many lists there are.  Lists and their queries meet in a shuffle by list, both sides cut into blocks of bounded size; each block keeps
 the nearest few of every query, and the best over all blocks remain.
 
 Equal vectors are one posting with their smallest ids: only these can be among
@@ -34,18 +36,22 @@ from ..session import staged
 
 NEAREST = 10
 QUERIES_OF = 100
-#: Vectors that centroids are fitted on, and the most centroids (both are broadcast or held by the driver).
-SAMPLE, MOST_LISTS = 16_384, 4_096
+#: Vectors that centroids are fitted on at least, and for each centroid; the most centroids (all held by the driver, centroids also broadcast).
+SAMPLE, SAMPLE_PER_LIST, MOST_LISTS = 16_384, 8, 4_096
 #: Vectors per list that are aimed at.
 LIST_SIZE = 128
 #: Lists a boundary vector is posted to, and how much farther than the nearest they may be.
 COPIES, COPY_RATIO = 3, 1.08
-#: Lists that a query searches at least and at most, and how much farther than the nearest those in between may be.
+#: Lists that a query searches at least and at most, and how much farther than the nearest those in between may be; the last two are where calibration starts.
 LEAST_PROBES, PROBES, PROBE_RATIO = 32, 96, 1.6
-#: Neighbours of a centroid in the graph, and candidates kept during the walk.
+#: Queries that calibrate, the share of their nearest vectors that the lists searched must hold, and the steps by which lists and ratio grow.
+TRIED, RECALL, MORE_PROBES, MORE_RATIO = 256, 0.97, 1.2, 1.05
+#: Neighbours of a centroid in the graph, and candidates kept during the walk (twice the lists searched if that is more).
 DEGREE, BEAM = 24, 192
 #: Rows of a list, and its queries, that meet in one group.
 BLOCK = 4_096
+#: Vectors whose distances to all centroids are held at once.
+ROWS = 1_024
 ROUNDS, PRICE = 12, 0.05
 
 
@@ -55,9 +61,8 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = ROUNDS, price: float
     centres = sample[r.choice(len(sample), k, replace=False)].astype(np.float64)
     load = np.ones(k)
     for _ in range(rounds):
-        d = _squared(sample, centres)
-        scale = np.median(d.min(1)) + 1e-12
-        own = (d + price * scale * np.log(load)[None, :]).argmin(1)
+        scale = np.median(np.concatenate([_squared(x, centres).min(1) for x in _slices(sample)])) + 1e-12
+        own = np.concatenate([(_squared(x, centres) + price * scale * np.log(load)[None, :]).argmin(1) for x in _slices(sample)])
         count = np.bincount(own, minlength=k).astype(float)
         total = np.zeros_like(centres)
         np.add.at(total, own, sample)
@@ -68,6 +73,10 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = ROUNDS, price: float
     return centres
 
 
+def _slices(a: np.ndarray) -> list[np.ndarray]:
+    return [a[i : i + ROWS] for i in range(0, len(a), ROWS)]
+
+
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None, :], 0)
 
@@ -78,7 +87,7 @@ class Graph:
     def __init__(self, centres: np.ndarray, degree: int = DEGREE) -> None:
         self.centres = centres
         n = len(centres)
-        near = np.argsort(_squared(centres, centres), axis=1, kind="stable")[:, 1 : degree + 1] if n > 1 else np.empty((n, 0), int)
+        near = np.concatenate([np.argsort(_squared(x, centres), axis=1, kind="stable")[:, 1 : degree + 1] for x in _slices(centres)]) if n > 1 else np.empty((n, 0), int)
         links = [set(row.tolist()) for row in near]
         for a, row in enumerate(near.tolist()):
             for b in row:
@@ -133,8 +142,21 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
+def lists_of(v: np.ndarray, c: np.ndarray, copies: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, lists): the nearest list of every vector, and others within the ratio."""
+    n, rows, lists = min(copies, len(c)), [], []
+    for i, part in enumerate(_slices(v)):
+        d = np.sqrt(_squared(part, c))
+        best = np.argpartition(d, n - 1, axis=1)[:, :n]
+        near = np.take_along_axis(d, best, 1)
+        own, which = np.nonzero(near <= ratio * near.min(1, keepdims=True) + 1e-12)
+        rows.append(own + i * ROWS)
+        lists.append(best[own, which])
+    return np.concatenate(rows), np.concatenate(lists)
+
+
 def _poster(centres, copies: int, ratio: float):
-    """Lists of every vector: the nearest one, and others within the ratio."""
+    """Lists of every vector."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centres.value
@@ -142,18 +164,81 @@ def _poster(centres, copies: int, ratio: float):
             v = np.array(batch.column(2).to_pylist(), np.float64)
             if not len(v):
                 continue
-            d = np.sqrt(_squared(v, c))
-            n = min(copies, len(c))
-            best = np.argpartition(d, n - 1, axis=1)[:, :n]
-            near = np.take_along_axis(d, best, 1)
-            rows, which = np.nonzero(near <= ratio * near.min(1, keepdims=True) + 1e-12)
+            rows, lists = lists_of(v, c, copies, ratio)
             taken = pa.array(rows)
-            arrays = [pa.array(best[rows, which].astype(np.int32)), *[batch.column(i).take(taken) for i in range(4)]]
+            arrays = [pa.array(lists.astype(np.int32)), *[batch.column(i).take(taken) for i in range(4)]]
             yield pa.RecordBatch.from_arrays(arrays, names=["list", "h1", "h2", "v", "ids"])
 
     return post
 
 
+def _searched(ids: np.ndarray, d: np.ndarray, probes: int, ratio: float) -> np.ndarray:
+    """Those that a query searches, of centroids from the nearest on."""
+    near = d[:probes] <= ratio * d[0]
+    near[:LEAST_PROBES] = True  # a vector may be the centroid of its own list
+    return ids[:probes][near]
+
+
+def _exact(asked: np.ndarray, names: list, k: int):
+    """The k nearest other vectors of each query asked, of a task's rows."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list] = [[] for _ in asked]
+        place = {name: i for i, name in enumerate(names)}
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            if not keys:
+                continue
+            v = np.array(batch.column(2).to_pylist(), np.float64)
+            d = np.sqrt(_squared(asked, v))
+            for j, key in enumerate(keys):
+                if key in place:
+                    d[place[key], j] = np.inf
+            n = min(k, len(v))
+            best = np.argpartition(d, n - 1, axis=1)[:, :n]
+            for i, own in enumerate(best.tolist()):
+                kept[i] = sorted(kept[i] + [(float(d[i, j]), keys[j], v[j]) for j in own if d[i, j] < np.inf], key=lambda x: x[:2])[:k]
+        rows = [(i, score, *key, x) for i, own in enumerate(kept) for score, key, x in own]
+        kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["query", "score", "h1", "h2", "v"])
+
+    return find
+
+
+def calibrated(once: DataFrame, wanted: DataFrame, centres: np.ndarray, k: int, probes: int, ratio: float) -> tuple[int, float]:
+    """(probes, ratio), grown until the lists searched hold ``RECALL`` of the true neighbours of ``TRIED`` queries."""
+    if len(centres) <= LEAST_PROBES:
+        return probes, ratio
+    tried = wanted.orderBy("h1", "h2").limit(TRIED).collect()
+    if not tried:
+        return probes, ratio
+    asked = np.array([r["v"] for r in tried], np.float64)
+    found = once.select("h1", "h2", "v").mapInArrow(_exact(asked, [(r["h1"], r["h2"]) for r in tried], k), "query int, score double, h1 long, h2 long, v array<double>")
+    place = Window.partitionBy("query").orderBy("score", "h1", "h2")
+    true = found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select("query", "v").toPandas()
+    if not len(true):
+        return probes, ratio
+    rows, lists = lists_of(np.array(true["v"].tolist(), np.float64), centres, COPIES, COPY_RATIO)
+    query, graph = true["query"].to_numpy(), Graph(centres)
+    distance = np.concatenate([np.sqrt(_squared(x, centres)) for x in _slices(asked)])
+    order = np.argsort(distance, axis=1, kind="stable")
+
+    def recall(ranked) -> float:
+        searched = np.zeros((len(asked), len(centres)), bool)
+        for i in range(len(asked)):
+            searched[i, _searched(*ranked(i), probes, ratio)] = True
+        held = np.zeros(len(true), bool)
+        held[rows[searched[query[rows], lists]]] = True
+        return held.mean()
+
+    # The walk may miss a centroid, so it has the last word.
+    while recall(lambda i: (order[i], distance[i, order[i]])) < RECALL or recall(lambda i: graph.nearest(asked[i], max(BEAM, 2 * probes))) < RECALL:
+        if probes >= len(centres):
+            return len(centres), float("inf")
+        probes, ratio = int(np.ceil(probes * MORE_PROBES)), ratio * MORE_RATIO
+    return probes, ratio
+
+
 def _prober(centres, probes: int, ratio: float, beam: int):
     """Lists that each query searches, found by walking the graph."""
 
@@ -162,10 +247,7 @@ def _prober(centres, probes: int, ratio: float, beam: int):
         for batch in batches:
             lists, rows = [], []
             for k, v in enumerate(batch.column(2).to_pylist()):
-                ids, d = graph.nearest(np.array(v, np.float64), max(beam, probes))
-                near = d[:probes] <= ratio * d[0]
-                near[:LEAST_PROBES] = True  # a vector may be the centroid of its own list
-                ids = ids[:probes][near]
+                ids = _searched(*graph.nearest(np.array(v, np.float64), max(beam, 2 * probes)), probes, ratio)
                 lists += ids.tolist()
                 rows += [k] * len(ids)
             taken = pa.array(rows, pa.int64())
@@ -210,7 +292,10 @@ def nearest(
     vectors: DataFrame, k: int = NEAREST, every: int = QUERIES_OF, list_size: int = LIST_SIZE, probes: int = PROBES,
     probe_ratio: float = PROBE_RATIO, block: int = BLOCK,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of each row whose id ``every`` divides."""
+    """(query_id, rank, vec_id, score): the ``k`` nearest found of each row whose id ``every`` divides.
+
+    ``probes`` and ``probe_ratio`` are where calibration starts.
+    """
     spark = vectors.sparkSession
     rows = staged(usable(vectors))
     once = staged(distinct_vectors(rows, k + 1))
@@ -221,11 +306,14 @@ def nearest(
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    sample = np.array(once.orderBy("h1", "h2").limit(SAMPLE).select("v").toPandas()["v"].tolist(), np.float64)
-    lists = int(min(max(total // list_size, 1), MOST_LISTS, max(len(sample) // 8, 1)))
-    centres = spark.sparkContext.broadcast(fit_centroids(sample, lists))
+    lists = int(min(max(total // list_size, 1), MOST_LISTS, max(total // SAMPLE_PER_LIST, 1)))
+    size = max(SAMPLE, SAMPLE_PER_LIST * lists)
+    sample = np.array(once.orderBy("h1", "h2").limit(size).select("v").toPandas()["v"].tolist(), np.float64)
+    fitted = fit_centroids(sample, lists)
+    centres = spark.sparkContext.broadcast(fitted)
     posted = staged(once.mapInArrow(_poster(centres, COPIES, COPY_RATIO), "list int, h1 long, h2 long, v array<double>, ids array<long>"))
-    wanted = once.join(asked.select("h1", "h2").distinct(), ["h1", "h2"]).select("h1", "h2", "v")
+    wanted = staged(once.join(asked.select("h1", "h2").distinct(), ["h1", "h2"]).select("h1", "h2", "v"))
+    probes, probe_ratio = calibrated(once, wanted, fitted, k, probes, probe_ratio)
     probed = staged(wanted.mapInArrow(_prober(centres, probes, probe_ratio, BEAM), "list int, h1 long, h2 long, v array<double>"))
     # At most MOST_LISTS rows, so they may be broadcast.
     sizes = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).join(

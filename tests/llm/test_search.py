@@ -46,6 +46,22 @@ def test_recall(small):
     assert hit / total >= 0.9
 
 
+def test_recall_holds_with_many_lists(spark):
+    """A thousand lists of vectors without clusters: a fixed number of lists searched finds too little."""
+    v = np.random.default_rng(7).normal(size=(8_000, 32))
+    df = spark.createDataFrame([(i, x, 0, "", 1, 2) for i, x in enumerate(v.tolist())], VECTORS)
+    v = v.astype(np.float32).astype(float)
+    found = {}
+    for r in neighbours.nearest(df, list_size=8).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 8_000, 100):
+        d = ((v - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(found[q] & set(np.argsort(d)[:10].tolist()))
+    assert hit / 800 >= 0.95
+
+
 @pytest.mark.parametrize("block", [2, 4096])
 def test_odd_vectors_exactly(spark, block):
     """One list holds all, so the result is exact: ties, copies, hot vectors, bad rows."""
