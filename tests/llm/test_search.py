@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -165,6 +166,46 @@ def test_passages_are_cut_out_once(spark):
     assert all(len(out[i]) < len(dict(rows)[i]) - 200 for i in range(1, 5))
 
 
+def brute_passages(rows, n):
+    """(doc, start, end, n_words, first, keep) from all runs of n words, as the text spells them."""
+    holders, places = {}, {}
+    for i, t in rows:
+        words = [m.span() for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", t)]
+        places[i] = [(words[k][0], words[k + n - 1][1]) for k in range(len(words) - n + 1)]
+        for a, b in places[i]:
+            holders.setdefault(t[a:b], set()).add(i)
+    out = []
+    for i, t in rows:
+        last = None
+        for k, (a, b) in enumerate(places[i]):
+            own = holders[t[a:b]]
+            key = (k, min(own) if min(own) != i else max(own)) if len(own) > 1 else None
+            if key and last and last == (k - 1, key[1]):
+                out[-1][2:4] = [b, out[-1][3] + 1]
+            elif key:
+                out.append([i, a, b, n, min(own), min(own) == i])
+            last = key
+    return sorted(map(tuple, out))
+
+
+def test_passages_against_brute_force(spark):
+    """Everyday chunks, short words, cut-less text, passages of several holders: every run of words that one other document holds, and no other."""
+    r = random.Random(8)
+    common = [passage(r, 5) for _ in range(60)]
+    chained = [(i, " ".join(r.choice(common) for _ in range(60))) for i in range(40)]
+    short = [" ".join("".join(r.choice("etaoin") for _ in range(r.randrange(1, 4))) for _ in range(51)) for _ in range(60)]
+    rows = chained + [(100 + 2 * i + k, f"{passage(r, 9 + k)} {t} {passage(r, 7)}") for i, t in enumerate(short) for k in range(2)]
+    rows += [(300, passage(r, 20) + " la" * 90), (301, "é " + "la " * 70 + passage(r, 20))]
+    first, second = passage(r, 60), passage(r, 60)
+    rows += [(400, first), (401, f"{first} {second} {passage(r, 9)}"), (402, f"x {second}\n{first}"), (403, f"{passage(r, 4)} {first} {second}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = chunks.repeated_passages(df, block_bytes=9_000)
+    expected = brute_passages(rows, chunks.PASSAGE_WORDS)
+    assert as_multiset(out, "doc_id", "start", "end", "n_words", "first_doc_id", "keep") == sorted(expected, key=repr)
+    assert {i for i, *_ in expected} >= {100, 219, 300, 301, 400, 401, 402, 403} and not {i for i, *_ in expected} & set(range(40))
+    assert {x[5] for x in expected if x[0] == 401} == {True, False}
+
+
 def brute_header(lines, templates, held, total):
     def unit(words):
         raw = {w: words.count(w) * (math.log((1 + total) / (1 + held.get(w, 0))) + 1 if w in vocabulary else math.log(1 + max(total, 1)) + 1) for w in set(words)}
