@@ -206,6 +206,15 @@ def test_passages_against_brute_force(spark):
     assert {x[5] for x in expected if x[0] == 401} == {True, False}
 
 
+def test_only_what_smaller_ids_hold_is_cut_out(spark):
+    """A copy goes even where text that first occurs here follows it."""
+    r = random.Random(9)
+    copied, own = passage(r, 70), passage(r, 70)
+    rows = [(1, copied), (2, f"{copied} {own}"), (3, f"{passage(r, 5)} {own}"), (4, f"{own} end")]
+    out = dict(texts_of(chunks.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert out == {1: copied, 2: f" {own}", 3: rows[2][1][: -len(own)], 4: " end"}
+
+
 def brute_header(lines, templates, held, total):
     def unit(words):
         raw = {w: words.count(w) * (math.log((1 + total) / (1 + held.get(w, 0))) + 1 if w in vocabulary else math.log(1 + max(total, 1)) + 1) for w in set(words)}
