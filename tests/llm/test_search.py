@@ -260,6 +260,22 @@ def test_inheritance_by_nearest_directory(spark):
     }
 
 
+def test_full_licenses_and_wrapped_notices(spark):
+    """A full MIT text and the full GPL's beginning pass their license on; notices count over line ends and inside long lines."""
+    mit = "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + "\n".join(licenses.FULL["MIT"][0].split("copyright c ")[1][i : i + 70] for i in range(0, 1100, 70))
+    gpl = "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n"
+    r = random.Random(10)
+    gpl += "\n".join(passage(r, 12) for _ in range(400))
+    code = "\n".join(passage(r, 9) for _ in range(30))
+    wrapped = "# This work is licensed\n# under the GNU General\n# Public License,\n# version 3.\n" + code
+    inside = passage(r, 60) + " Licensed under the Mozilla words. This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. " + passage(r, 60)
+    rows = [(1, "m/LICENSE", mit), (2, "m/a.c", code), (3, "g/COPYING", gpl), (4, "g/b/c.c", code), (5, "w.c", wrapped), (6, "i.c", inside), (7, "n.c", code)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    out = {x["doc_id"]: (x["license"], x["from_directory"]) for x in licenses.inherited(licenses.scan(df, F.col("path"))).collect()}
+    assert out[2] == ("MIT", "m") and out[4] == ("GPL-3.0", "g") and out[5] == ("GPL-3.0", None) and out[6] == ("MPL-2.0", None) and out[7] == (None, None)
+    assert out[1][0] == "MIT" and out[3][0] == "GPL-3.0"
+
+
 def test_licenses_odd_rows(odd, none):
     assert licenses.inherited(licenses.scan(odd, F.col("doc"))).count() == odd.count()
     assert licenses.inherited(licenses.scan(none, F.col("doc"))).collect() == []
