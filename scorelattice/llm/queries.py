@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chunks, decontam, licenses, lines, neighbours, pii, quality, simhash, toxicity
+from . import bpe, chunks, decontam, filters, licenses, lines, neighbours, pii, quality, simhash, toxicity
 from ..session import staged
 from .common import remainder, table
 
@@ -97,6 +97,11 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op11_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return filters.interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL["op10_line_dedup"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -121,3 +126,23 @@ SQL["op7_decontamination"] = f"""WITH i AS (SELECT CAST(item_id AS VARCHAR) AS i
  items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
  SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
    coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+_FAILS = r"""SELECT doc_id, part, good, toxic, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+   + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+   + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS bits
+ FROM (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+   min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents)
+ LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)"""
+
+SQL["op11_filter_interactions"] = f"""WITH RECURSIVE x AS ({_FAILS}),
+ s AS (SELECT part, bits, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM x GROUP BY ALL),
+ o AS (SELECT '' AS filter_order, 0 AS step, 0 AS before, '' AS letter, 0 AS bit UNION ALL
+   SELECT filter_order || c, step + 1, before | bit, c, ascii(c) - 64 FROM (SELECT filter_order, step, before, CASE WHEN bit = 0 THEN 0 ELSE 1 << (bit - 1) END AS bit FROM o), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(c) WHERE position(c IN filter_order) = 0),
+ e AS (SELECT f.filter_order, p.step, p.before, 1 << (p.bit - 1) AS bit FROM o f JOIN o p ON f.step = 5 AND p.step > 0 AND starts_with(f.filter_order, p.filter_order)),
+ g AS (SELECT part, filter_order, step, any_value(bit) AS bit, sum(n) FILTER (WHERE bits & (before | bit) = 0) AS kept, sum(n) FILTER (WHERE bits & before = 0 AND bits & bit <> 0) AS removed,
+   sum(n) FILTER (WHERE bits & before <> 0 AND bits & bit <> 0) AS redundant, sum(n) FILTER (WHERE bits = bit) AS alone,
+   sum(good) FILTER (WHERE bits & before = 0 AND bits & bit <> 0) AS good, sum(toxic) FILTER (WHERE bits & before = 0 AND bits & bit <> 0) AS toxic
+   FROM s, e GROUP BY part, filter_order, step)
+ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+   CAST(coalesce(alone, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic, 0) AS BIGINT) AS toxic_lost,
+   CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM g"""
