@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chunks, decontam, filters, licenses, lines, neighbours, pii, quality, simhash, toxicity
+from . import bpe, chunks, decontam, filters, licenses, lines, neighbours, phrases, pii, quality, simhash, toxicity
 from ..session import staged
 from .common import remainder, table
 
@@ -102,6 +102,11 @@ def op11_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
     return filters.interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents")).drop("cut")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL["op10_line_dedup"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -146,3 +151,16 @@ SQL["op11_filter_interactions"] = f"""WITH RECURSIVE x AS ({_FAILS}),
  SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
    CAST(coalesce(alone, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic, 0) AS BIGINT) AS toxic_lost,
    CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM g"""
+
+SQL["op12_phrase_collocations"] = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+ n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+ g AS (SELECT lang, array_to_string(w[s : s + k - 1], ' ') AS phrase, k, count(*) AS a FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM w), range(1, 6) t(k)
+   WHERE s + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+ c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM g WHERE k > 1),
+ s AS (SELECT c.lang, c.phrase, c.a, c.cut, l.a AS l, r.a AS r, n.n, CAST((1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+   FROM c JOIN g l ON c.lang = l.lang AND array_to_string(w[1 : cut], ' ') = l.phrase JOIN g r ON c.lang = r.lang AND array_to_string(w[cut + 1 : c.k], ' ') = r.phrase JOIN n ON c.lang = n.lang
+   QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1)
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score FROM s
+ WHERE NOT EXISTS (SELECT 1 FROM g m WHERE m.lang = s.lang AND len(string_split(m.phrase, ' ')) > len(string_split(s.phrase, ' ')) AND contains(' ' || m.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * m.a >= 100 * s.a)
+ QUALIFY rank <= 2000"""
