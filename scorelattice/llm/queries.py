@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chunks, decontam, filters, licenses, lines, neighbours, phrases, pii, quality, simhash, toxicity
+from . import bpe, chunks, decontam, filters, licenses, lines, neighbours, outliers, phrases, pii, quality, simhash, toxicity
 from ..session import staged
 from .common import remainder, table
 
@@ -107,6 +107,12 @@ def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents")).drop("cut")
 
 
+@query
+def op13_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    judged = outliers.judged(table(spark, folder, "documents"))
+    return judged.select("doc_id", *outliers.MEASURES[:5], "base_failed", "kept", "distance")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL["op10_line_dedup"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
