@@ -62,6 +62,32 @@ def _collection(text: str | None, path: list[str]) -> list[list[tuple[str, str |
     ]
 
 
+def _spelled(text: str | None) -> str | None:
+    try:
+        node = json.loads(
+            text, parse_int=str, parse_float=str, parse_constant=_refuse_constant, object_pairs_hook=_no_repeats,
+        )
+    except (TypeError, ValueError, RecursionError):
+        return None
+    return json.dumps(node, ensure_ascii=False)
+
+
+@arrow_udf(T.StringType())
+def _spell_numbers(documents: pa.Array) -> pa.Array:
+    return pa.array([_spelled(d) for d in documents.to_pylist()], type=pa.string())
+
+
+_spell_numbers = _spell_numbers.asNondeterministic()
+
+
+def spelled_numbers(document: Column | str) -> Column:
+    """The JSON document with its numbers as text, spelled as the source spells them.
+
+    Null for a document that is malformed or repeats a key.
+    """
+    return _spell_numbers(document)
+
+
 _RECORDS = pa.list_(pa.map_(pa.string(), pa.string()))
 
 

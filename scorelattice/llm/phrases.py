@@ -29,7 +29,7 @@ by the phrase; an empty table gives an empty result; further columns are ignored
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +48,8 @@ COVERED = 100
 TOP = 2000
 #: Bits of the map of frequent words and pairs, whatever the data.
 MAP_BITS = 1 << 26
-#: Positions of a block, and bytes of a text split at a time.
-BLOCK, SLICE = 1 << 21, 1 << 22
+#: Positions of a block, bytes of a text split at a time, and rows given out at a time.
+BLOCK, SLICE, ROWS = 3_000_000, 1 << 20, 1 << 15
 #: A-Z lower-cased, tabs as blanks, ends of pieces as line ends.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
@@ -64,44 +64,59 @@ def _pieces(text: bytes) -> Iterator[bytes]:
         start = end
 
 
-def blocks(texts: list[bytes], longest: int = LONGEST, bound: int = BLOCK) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """(vocabulary, numbers): word 0 is the end of a piece, the last ``longest - 1`` numbers start no phrase.
+class _Words:
+    """Word numbers of one language: word 0 is the end of a piece."""
 
-    They start the next block, so every position starts phrases in one block.
-    """
-    number: defaultdict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
-    parts, held = [], 0
-
-    def begin(words: list[bytes]) -> None:
-        number.clear()
-        number[b"\n"], number[b""]
-        parts[:] = [np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
-
-    begin([])
-    ends = np.zeros(longest - 1, np.int64)
-    for text in texts:
+    def __init__(self) -> None:
+        self.begin([])
+
+    def begin(self, words: list[bytes]) -> None:
+        self.number: defaultdict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.number[b"\n"], self.number[b""]
+        self.parts = [np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))]
+
+    def add(self, text: bytes) -> int:
+        added = 1
         for piece in _pieces(text.translate(FOLD)):
             words = piece.replace(b"\n", b" \n ").split(b" ")
-            found = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            parts.append(found[found != 1])
-            held += len(parts[-1])
-            if held >= bound:
-                every, names = np.concatenate(parts), list(number)
-                yield names, every
-                begin([names[i] for i in every[len(every) - longest + 1 :]])
-                held = 0
-        parts.append(ends[:1])
-    every = np.concatenate([*parts, ends])
-    if len(every) >= longest:
-        yield list(number), every
-
-
-def _by_language(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
-    out: dict[str, list[bytes]] = {}
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-        out.setdefault(lang, []).append(text)
-    return out
+            found = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+            self.parts.append(found[found != 1])
+            added += len(self.parts[-1])
+        self.parts.append(np.zeros(1, np.int32))
+        return added
+
+    def take(self) -> tuple[list[bytes], np.ndarray]:
+        names, every = list(self.number), np.concatenate(self.parts)
+        self.begin([])
+        return names, every
+
+
+def blocks(rows: Iterable[tuple[str, bytes]], longest: int = LONGEST, bound: int = BLOCK) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """(language, vocabulary, numbers), all languages together of about ``bound`` positions at a time.
+
+    The last ``longest - 1`` numbers of a block are ends of pieces that start no phrase.
+    """
+    held: defaultdict[str, _Words] = defaultdict(_Words)
+    n = 0
+
+    def taken() -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+        while held:
+            lang, words = held.popitem()
+            names, every = words.take()
+            yield lang, names, np.append(every, np.zeros(longest - 1, np.int32))
+
+    for lang, text in rows:
+        n += held[lang].add(text)
+        if n >= bound:
+            yield from taken()
+            n = 0
+    yield from taken()
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    for batch in batches:
+        yield from zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())
 
 
 def _hashes(lang: str, names: list[bytes]) -> np.ndarray:
@@ -120,26 +135,22 @@ def _counter(longest: int):
     """Occurrences of words and pairs by hash, and of all words (hash null)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, texts in _by_language(batch).items():
-                for names, ids in blocks(texts, longest):
-                    first, second = ids[: 1 - longest], ids[1 : len(ids) - longest + 2]
-                    single = np.bincount(first, minlength=len(names))
-                    single[0] = 0
-                    known = np.flatnonzero(single)
-                    both = (first > 0) & (second > 0)
-                    pairs, n = np.unique(first[both] * len(names) + second[both], return_counts=True)
-                    own = _hashes(lang, names)
-                    hashes = np.concatenate([own[known], _pair(own[pairs // len(names)], own[pairs % len(names)])]).view(np.int64)
-                    counts = np.concatenate([single[known], n])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([None] * len(hashes) + [lang], pa.string()),
-                            pa.concat_arrays([pa.array(hashes), pa.nulls(1, pa.int64())]),
-                            pa.array(np.append(counts, single.sum())),
-                        ],
-                        names=["lang", "hash", "n"],
-                    )
+        for lang, names, ids in blocks(_rows_of(batches), longest):
+            single = np.bincount(ids, minlength=len(names))
+            single[0] = 0
+            known = np.flatnonzero(single)
+            first = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+            pairs, n = np.unique(ids[first].astype(np.int64) * len(names) + ids[first + 1], return_counts=True)
+            own = _hashes(lang, names)
+            hashes = np.concatenate([own[known], _pair(own[pairs // len(names)], own[pairs % len(names)])]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([None] * len(hashes) + [lang], pa.string()),
+                    pa.concat_arrays([pa.array(hashes), pa.nulls(1, pa.int64())]),
+                    pa.array(np.concatenate([single[known], n, [single.sum()]])),
+                ],
+                names=["lang", "hash", "n"],
+            )
 
     return count
 
@@ -168,42 +179,46 @@ def _suffixes(bits, longest: int):
     """Distinct rows of a block: the frequent words from a position on, each ended by a line end."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, texts in _by_language(batch).items():
-                for names, ids in blocks(texts, longest):
-                    own = _hashes(lang, names)
-                    good = _known(bits.value, own)
-                    good[0] = False
-                    ids = np.where(good[ids], ids, 0)
-                    n = len(ids) - longest + 1
-                    follows = np.zeros(len(ids), bool)
-                    at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-                    follows[at] = _known(bits.value, _pair(own[ids[at]], own[ids[at + 1]]))
-                    starts = np.flatnonzero(ids[:n] > 0)
-                    columns, alive = [ids[starts]], np.ones(len(starts), bool)
-                    for k in range(1, longest):
-                        alive = alive & follows[starts + k - 1]
-                        columns.append(np.where(alive, ids[starts + k], 0))
-                    rows, counts = _distinct(columns, len(names))
-                    ended = [b"\n", b"", *(w + b"\n" for w in names[2:])]
-                    keys = [b"".join(map(ended.__getitem__, r)) for r in zip(*(c.tolist() for c in rows))]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.binary()).cast(pa.string()), pa.array(counts)],
-                        names=["lang", "words", "n"],
-                    )
+        for lang, names, ids in blocks(_rows_of(batches), longest):
+            own = _hashes(lang, names)
+            good = _known(bits.value, own)
+            good[0] = False
+            ids = np.where(good[ids], ids, 0)
+            follows = np.zeros(len(ids), bool)
+            at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+            follows[at] = _known(bits.value, _pair(own[ids[at]], own[ids[at + 1]]))
+            # Positions with one word only are counted by word, the others by row.
+            single = np.bincount(ids[~follows], minlength=len(names))
+            single[0] = 0
+            alone = np.flatnonzero(single)
+            starts = np.flatnonzero(follows)
+            columns, alive = [ids[starts], ids[starts + 1]], np.ones(len(starts), bool)
+            for k in range(2, longest):
+                alive = alive & follows[starts + k - 1]
+                columns.append(np.where(alive, ids[starts + k], 0))
+            rows, counts = _distinct(columns, len(names))
+            counts = np.concatenate([single[alone], counts])
+            rows = [np.concatenate([x, r]) for x, r in zip([alone, *[np.zeros_like(alone)] * (longest - 1)], rows)]
+            ended = [b"\n", b"", *(w + b"\n" for w in names[2:])]
+            for a in range(0, len(counts), ROWS):
+                keys = [b"".join(map(ended.__getitem__, r)) for r in zip(*(c[a : a + ROWS].tolist() for c in rows))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.binary()).cast(pa.string()), pa.array(counts[a : a + ROWS])],
+                    names=["lang", "words", "n"],
+                )
 
     return find
 
 
 def _distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Different rows of several columns of numbers below ``size``, and how often each occurs."""
-    width = max(size.bit_length(), 1)
+    width = max(int(size).bit_length(), 1)
     each = 63 // width
     keys = []
     for at in range(0, len(columns), each):
         key = np.zeros(len(columns[0]), np.int64)
         for column in columns[at : at + each]:
-            key = (key << width) | column
+            key = (key << width) | column.astype(np.int64)
         keys.append(key)
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)

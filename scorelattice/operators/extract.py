@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsonpath
-from ..functions.lexemes import exact_records, fixed_text, score_field, text_field
+from ..functions.lexemes import exact_records, fixed_text, score_field, spelled_numbers, text_field
 from ..functions.text import loose_number, strict_number_error
 from ..session import dimension_join
 
@@ -97,8 +97,10 @@ def run_claims(documents: DataFrame) -> DataFrame:
     """Metrics of evaluation runs, in either of the two published shapes.
 
     Grouped runs carry flat ``metrics``; listed runs carry ``stats`` whose name
-    is an object.  Both are read in one pass and merged with ``coalesce``.
+    is an object.  Both are read in one pass and merged with ``coalesce``.  Scores
+    keep the spelling of the source (1.2300, 1e16).
     """
+    exact = documents.select("snapshot_id", spelled_numbers("content").alias("content"))
     grouped_schema = (
         "struct<groups: array<struct<runs: array<struct<run_name: string, model: string, "
         "metrics: array<struct<name: string, split: string, mean: string, value: string>>>>>>>"
@@ -139,7 +141,7 @@ def run_claims(documents: DataFrame) -> DataFrame:
     # so the document's first character picks the shape.
     runs = F.when(F.ltrim("content").startswith("["), listed).otherwise(grouped)
     metrics = (
-        documents.select("snapshot_id", F.explode(runs).alias("run"))
+        exact.select("snapshot_id", F.explode(runs).alias("run"))
         .select("snapshot_id", "run.model_raw", F.explode("run.metrics").alias("m"))
         .select("snapshot_id", "model_raw", "m.*")
     )
@@ -307,9 +309,11 @@ def windowed_mean(performances: DataFrame, marks: DataFrame, snapshot: Sequence[
     opening = F.when(n > MANY_MARKS, F.get("m", F.least(F.lit(LATE_MARK - 1), n))).when(
         n > SOME_MARKS, F.get("m", F.lit(EARLY_MARK - 1))
     ).otherwise(F.get("m", F.lit(0)))
+    # A default start behind the last mark leaves the window open at its start; the end stays.
     window = ordered.select(*keys, opening.alias("start"), F.get("m", n - 1).alias("end"))
     rate = F.col("pass_rate").cast("decimal(28,6)")
-    inside = F.col("start").isNull() | F.col("mark").between(F.col("start"), F.col("end"))
+    # Without marks every row counts.
+    inside = F.col("end").isNull() | ((F.col("start").isNull() | (F.col("mark") >= F.col("start"))) & (F.col("mark") <= F.col("end")))
     return (
         performances.join(window, keys, "left")
         .groupBy(*keys, "model_raw")

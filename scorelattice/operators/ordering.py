@@ -78,4 +78,9 @@ def competition_position(
         "_k",
         (F.coalesce(F.sum("_c").over(earlier), F.lit(0)) + F.col("_before") + 1).cast("long").alias(position),
     )
-    return keyed.join(ranked, [*own, "_k"]).select(*df.columns, position)
+    # Groups may be null, keys may not.
+    named = ranked.toDF(*[f"_g{i}" for i in range(len(own))], "_rank_k", position)
+    same = F.col("_k") == F.col("_rank_k")
+    for i, g in enumerate(own):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return keyed.join(named, same).select(*df.columns, position)

@@ -135,7 +135,7 @@ def category_scoped_claims(spark, folder):
 @query(
     f"""SELECT {_LINE_ID} AS snapshot_id, CASE WHEN l_linestatus = 'O' THEN 'run ' || l_suppkey ELSE 'model ' || l_suppkey END AS model_raw,
     m AS metric_raw, CASE WHEN l_linestatus = 'F' THEN l_returnflag END AS split_raw,
-    CASE m WHEN 'exact_match' THEN CAST(l_discount AS VARCHAR) ELSE CAST(l_tax AS VARCHAR) END AS score_raw
+    CASE m WHEN 'exact_match' THEN CAST(l_discount AS VARCHAR) || '00' ELSE CAST(l_tax AS VARCHAR) || 'E+0' END AS score_raw
     FROM lineitem, (SELECT unnest(['exact_match', 'f1']) AS m)"""
 )
 def run_metrics(spark, folder):
@@ -144,8 +144,8 @@ def run_metrics(spark, folder):
         *[
             F.struct(F.lit(n).alias("name"), v.alias("value"))
             for n, v in (
-                ("exact_match", F.col("l_discount").cast("string")),
-                ("f1", F.col("l_tax").cast("string")),
+                ("exact_match", F.concat(F.lit("#"), F.col("l_discount").cast("string"), F.lit("00#"))),
+                ("f1", F.concat(F.lit("#"), F.col("l_tax").cast("string"), F.lit("E+0#"))),
                 ("Num_instances", F.col("l_linenumber").cast("string")),
                 ("calibration", F.lit("not measured")),
             )
@@ -167,7 +167,8 @@ def run_metrics(spark, folder):
     listed = F.to_json(F.array(F.struct(spec.alias("run_spec"), stats.alias("stats"))))
     docs = li.select(
         _line_id().alias("snapshot_id"),
-        F.when(F.col("l_linestatus") == "O", grouped).otherwise(listed).alias("content"),
+        # Marked values become numbers in a spelling of their own.
+        F.regexp_replace(F.when(F.col("l_linestatus") == "O", grouped).otherwise(listed), '"#([^"#]*)#"', "$1").alias("content"),
     )
     return X.run_claims(docs)
 
@@ -339,6 +340,16 @@ def parquet_real_cells(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(CAST(CAST(o_totalprice * o_custkey * power(10.0, o_orderkey % 9) AS FLOAT) AS DOUBLE) AS VARCHAR) AS volume FROM orders"""
+)
+def parquet_single_cells(spark, folder):
+    """32-bit floats of many sizes, stored and read back as cells."""
+    volume = F.col("o_totalprice") * F.col("o_custkey") * F.pow(F.lit(10.0), F.col("o_orderkey") % 9)
+    at = f"{shared_dir(configure(spark))}/scorelattice-stage/single-{uuid.uuid4().hex}"
+    D.table(spark, folder, "orders").select("o_orderkey", volume.cast("float").alias("volume")).write.parquet(at)
+    return T.parquet_cells(spark, at, ["o_orderkey", "volume"]).select("o_orderkey", "volume")
+
 
 @query("SELECT 'lineitem.parquet' AS file_name, count(*) AS n_rows FROM lineitem")
 def parquet_row_counts(spark, folder):
@@ -478,19 +489,20 @@ def windowed_mean_fallback(spark, folder):
 
 @query(
     """WITH p AS (SELECT event_type AS snapshot, user_id, CAST(value AS DECIMAL(28,6)) AS v, date_trunc('day', ts) AS mark FROM events),
-    d AS (SELECT DISTINCT snapshot, mark FROM p WHERE user_id % 2 = 0 AND day(mark) <= 20), m AS (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY mark) AS i, count(*) OVER (PARTITION BY snapshot) AS n FROM d),
+    d AS (SELECT DISTINCT snapshot, mark FROM p WHERE user_id % 2 = 0 AND day(mark) <= CASE WHEN snapshot IN ('click', 'error') THEN 14 ELSE 20 END), m AS (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY mark) AS i, count(*) OVER (PARTITION BY snapshot) AS n FROM d),
     s AS (SELECT snapshot, max(mark) FILTER (WHERE i = CASE WHEN n > 12 THEN 16 WHEN n > 4 THEN 5 ELSE 1 END) AS start, max(mark) AS last FROM m GROUP BY 1),
-    g AS (SELECT snapshot, user_id, CAST(sum(v) FILTER (WHERE start IS NULL OR mark BETWEEN start AND last) AS DOUBLE) / count(v) FILTER (WHERE start IS NULL OR mark BETWEEN start AND last) AS a,
-       count(*) FILTER (WHERE start IS NULL OR mark BETWEEN start AND last) AS k, CAST(sum(v) AS DOUBLE) / count(v) AS b FROM p LEFT JOIN s USING (snapshot) GROUP BY ALL)
+    g AS (SELECT snapshot, user_id, CAST(sum(v) FILTER (WHERE last IS NULL OR (coalesce(mark >= start, true) AND mark <= last)) AS DOUBLE) / count(v) FILTER (WHERE last IS NULL OR (coalesce(mark >= start, true) AND mark <= last)) AS a,
+       count(*) FILTER (WHERE last IS NULL OR (coalesce(mark >= start, true) AND mark <= last)) AS k, CAST(sum(v) AS DOUBLE) / count(v) AS b FROM p LEFT JOIN s USING (snapshot) GROUP BY ALL)
     SELECT snapshot, user_id AS model_raw, printf('%.1f', CASE WHEN k > 0 THEN a ELSE b END) AS score_raw FROM g"""
 )
 def windowed_mean_by_snapshot(spark, folder):
-    """One artifact per event type, with marks that end before its last rows."""
+    """One artifact per event type, with marks that end before its last rows; two have fewer than the default start needs."""
     perf = D.table(spark, folder, "events").select(
         F.col("event_type").alias("snapshot"), F.col("user_id").alias("model_raw"),
         F.col("value").alias("pass_rate"), F.date_trunc("day", "ts").alias("mark"),
     )
-    marks = perf.where((F.col("model_raw") % 2 == 0) & (F.dayofmonth("mark") <= 20))
+    last_day = F.when(F.col("snapshot").isin("click", "error"), 14).otherwise(20)
+    marks = perf.where((F.col("model_raw") % 2 == 0) & (F.dayofmonth("mark") <= last_day))
     return X.windowed_mean(perf, marks, ["snapshot"]).select("snapshot", "model_raw", "score_raw")
 
 

@@ -168,25 +168,41 @@ def slot_at(spark, folder):
     )
 
 
+_JSON = "CASE WHEN {0} IS NULL THEN 'null' ELSE CAST(to_json(CAST({0} AS VARCHAR)) AS VARCHAR) END"
+_CLAIM = {
+    "official_source_id": "s_nationkey", "source_snapshot_id": "CASE WHEN l_linestatus = 'O' THEN l_orderkey END",
+    "source_revision_decision_id": "CASE WHEN l_returnflag <> 'A' THEN s_nationkey * 10 END", "model_raw": "s_name", "benchmark_raw": "p_brand",
+    "score_raw": "CAST(l_extendedprice AS DECIMAL(18,2))", "metric_raw": "p_type", "split_raw": "CASE WHEN l_returnflag <> 'N' THEN l_returnflag END",
+    "setting_raw": "p_name", "evaluation_version_raw": "'v' || p_size", "rank_raw": "NULL", "date_raw": "CAST(l_shipdate AS DATE)",
+    "score_unit": "CASE WHEN l_linenumber > 1 THEN '\"pts\"' END",
+}
+_PLACE = """'{"row": "' || l_linenumber || '", "type": "table"}'"""
+
+
 @query(
-    """SELECT l_orderkey, l_linenumber, l_partkey, sha256('{"benchmark_raw":"' || p_brand || '","model_raw":"supplier ' || l_suppkey || '","rank_raw":null,"score_raw":"'
-    || CAST(l_extendedprice AS DECIMAL(18,2)) || '","split_raw":' || CASE WHEN l_returnflag = 'N' THEN 'null' ELSE '"' || l_returnflag || '"' END || '}') AS fingerprint
-    FROM lineitem JOIN part ON l_partkey = p_partkey"""
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, sha256('{{' || {" || ', ' || ".join(
+        f"""'"{name}": ' || {_PLACE if name == "evidence_location" else _JSON.format("(" + _CLAIM[name] + ")")}""" for name in sorted([*_CLAIM, "evidence_location"])
+    )} || '}}') AS fingerprint FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"""
 )
 def claim_fingerprints(spark, folder):
-    lines = D.table(spark, folder, "lineitem").join(
-        D.table(spark, folder, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")
+    """Every line item as a claim with all fourteen fields that identify it."""
+    lines = (
+        D.table(spark, folder, "lineitem")
+        .join(D.table(spark, folder, "part").select("p_partkey", "p_brand", "p_type", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(D.table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     )
     fields = {
-        "model_raw": F.concat(F.lit("supplier "), "l_suppkey"),
-        "benchmark_raw": F.col("p_brand"),
-        "score_raw": F.col("l_extendedprice").cast("decimal(18,2)").cast("string"),
-        "split_raw": F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")),
-        "rank_raw": F.lit(None).cast("string"),
+        "official_source_id": F.col("s_nationkey"),
+        "source_snapshot_id": F.when(F.col("l_linestatus") == "O", F.col("l_orderkey")),
+        "source_revision_decision_id": F.when(F.col("l_returnflag") != "A", F.col("s_nationkey") * 10),
+        "model_raw": F.col("s_name"), "benchmark_raw": F.col("p_brand"),
+        "score_raw": F.col("l_extendedprice").cast("decimal(18,2)"), "metric_raw": F.col("p_type"),
+        "split_raw": F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")), "setting_raw": F.col("p_name"),
+        "evaluation_version_raw": F.concat(F.lit("v"), "p_size"), "date_raw": F.col("l_shipdate").cast("date"),
+        "score_unit": F.when(F.col("l_linenumber") > 1, F.lit('"pts"')),
     }
-    return lines.select(
-        "l_orderkey", "l_linenumber", "l_partkey", G.G.identity_digest(fields).alias("fingerprint")
-    )
+    place = F.create_map(F.lit("type"), F.lit("table"), F.lit("row"), F.col("l_linenumber").cast("string"))
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", G.claim_fingerprint(place, fields).alias("fingerprint"))
 
 
 @query(

@@ -17,8 +17,9 @@ def lexeme(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
         return F.col(name)
-    if isinstance(kind, T.DoubleType):
-        return F.when(F.col(name).isNotNull(), real_lexeme(F.col(name)))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        # A 32-bit value is spelled as the double it is, in the shortest text that reads back.
+        return F.when(F.col(name).isNotNull(), real_lexeme(F.col(name).cast("double")))
     if isinstance(kind, T.NumericType):
         return F.col(name).cast("string")
     if isinstance(kind, T.BinaryType):

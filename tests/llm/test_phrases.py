@@ -95,7 +95,7 @@ def test_blocks_start_every_position_once():
     texts = [" ".join(r.choice("abcdefg") * r.randrange(1, 3) for _ in range(r.randrange(200))).encode() for _ in range(30)]
     for bound in (1, 10, 10**6):
         seen = Counter()
-        for names, ids in phrases.blocks(texts, bound=bound):
+        for _, names, ids in phrases.blocks((("en", t) for t in texts), bound=bound):
             for i in range(len(ids) - 4):
                 if ids[i]:
                     cut = ids[i : i + 5].tolist()
@@ -111,9 +111,9 @@ def test_blocks_start_every_position_once():
 def test_long_text_is_cut_between_words(monkeypatch):
     monkeypatch.setattr(phrases, "SLICE", 50)
     text = b"one two, three\tfour\nfive six " * 40
-    (names, ids), = phrases.blocks([text])
+    (_, names, ids), = phrases.blocks([("en", text)])
     monkeypatch.undo()
-    (names2, ids2), = phrases.blocks([text])
+    (_, names2, ids2), = phrases.blocks([("en", text)])
     assert [names[i] for i in ids] == [names2[i] for i in ids2]
 
 

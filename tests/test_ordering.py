@@ -60,3 +60,10 @@ def test_a_hot_group_is_spread_over_ranges(spark):
 
     df = spark.range(2000).select(F.lit("x").alias("g"), F.struct(F.col("id")).alias("_k"))
     assert _ranged(df, ["g"], 12).select("_part").distinct().count() > 5
+
+
+def test_null_groups_are_a_group(spark):
+    df = spark.createDataFrame([(None, 3.0), (None, 3.0), ("a", 1.0), (None, 5.0)], "g string, v double")
+    for parts in (1, 4):
+        got = competition_position(df, ["g"], [F.col("v")], "rank", parts).collect()
+        assert sorted(((r["g"], r["v"], r["rank"]) for r in got), key=repr) == [("a", 1.0, 1), (None, 3.0, 1), (None, 3.0, 1), (None, 5.0, 3)]

@@ -1,5 +1,6 @@
 """Column functions on awkward spellings."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from scorelattice.functions import jsonpath as J, text as X, timegrid as T
@@ -95,3 +96,46 @@ def test_duplicate_keys(spark):
 def test_encoded_keys_and_paths_are_read(spark):
     urls = ["https://x.org/a?access%5Ftoken=x", "https://x.org/a?b=1;access_token=2", "https://x.org/a?%zz=1", "https://x.org/a?b=%5F"]
     assert column(spark, urls, X.is_public_https_url) == [False, True, False, True]
+
+
+def test_claim_fingerprint_is_the_digest_of_sorted_spaced_json(spark):
+    import hashlib
+    import json
+
+    from scorelattice.functions.digests import CLAIM_FIELDS, claim_fingerprint
+
+    rows = [
+        ("m \"x\"", None, 7, {"type": "table", "row": "1"}), ("Gr\u00fcn\\\n\t", "a,b: c", None, None), ("", "", 0, {}),
+    ]
+    df = spark.createDataFrame(rows, "model_raw string, split_raw string, official_source_id long, place map<string,string>")
+    got = df.select(claim_fingerprint(F.col("place"), {n: F.col(n) for n in ("model_raw", "split_raw", "official_source_id")})).collect()
+    want = []
+    for model, split, source, place in rows:
+        fields = dict.fromkeys(CLAIM_FIELDS) | {"model_raw": model, "split_raw": split, "evidence_location": place}
+        fields["official_source_id"] = None if source is None else str(source)
+        want.append(hashlib.sha256(json.dumps(fields, sort_keys=True, ensure_ascii=False).encode()).hexdigest())
+    assert [r[0] for r in got] == want
+    with pytest.raises(ValueError):
+        claim_fingerprint(F.col("place"), {"score": F.lit(1)})
+
+
+def test_run_scores_keep_their_spelling(spark):
+    from scorelattice.operators.extract import run_claims
+
+    grouped = '{"groups":[{"runs":[{"run_name":"m","metrics":[{"name":"f1","value":1.2300},{"name":"em","value":1e16},{"name":"num_x","value":1},{"name":"t","value":"0.50"},{"name":"bad","value":"none"}]}]}]}'
+    listed = '[{"run_spec":{"adapter_spec":{"model":"n"}},"stats":[{"name":{"name":"f1","split":"test"},"mean":-0.0}]}]'
+    docs = spark.createDataFrame([(1, grouped), (2, listed), (3, "{broken"), (4, None)], "snapshot_id int, content string")
+    got = sorted((r["snapshot_id"], r["model_raw"], r["metric_raw"], r["split_raw"], r["score_raw"]) for r in run_claims(docs).collect())
+    assert got == [(1, "m", "em", None, "1e16"), (1, "m", "f1", None, "1.2300"), (1, "m", "t", None, "0.50"), (2, "n", "f1", "test", "-0.0")]
+
+
+def test_window_with_fewer_marks_than_its_default_start(spark):
+    """Fourteen marks and later rows: open at the start, closed at the last mark."""
+    from scorelattice.operators.extract import windowed_mean
+
+    perf = spark.createDataFrame([("a", 1, 1.0), ("a", 99, 100.0), ("b", 99, 7.0)], "model_raw string, mark int, pass_rate double")
+    for n in (13, 14, 15):
+        out = windowed_mean(perf, spark.range(1, n + 1).selectExpr("cast(id as int) mark"))
+        assert {r["model_raw"]: r["score_raw"] for r in out.collect()} == {"a": "1.0", "b": "7.0"}
+    none = windowed_mean(perf, spark.range(0).selectExpr("cast(id as int) mark"))
+    assert {r["model_raw"]: r["score_raw"] for r in none.collect()} == {"a": "50.5", "b": "7.0"}
