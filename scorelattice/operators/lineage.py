@@ -2,11 +2,12 @@
 
 Every check is a join on a unique id or a mergeable aggregate per entity, so a
 chain with most of all rows is as cheap per row as a short one.  Only
-``chain_depths`` iterates, and its rounds grow with the logarithm of the depth.
+``chain_depths`` and ``cyclic_edges`` iterate, by doubling.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -213,22 +214,60 @@ def revision_chain_issues(rows: DataFrame) -> DataFrame:
     return linked.select("id", "entity", issue.alias("issue"))
 
 
+def _ends_of_chains(single: DataFrame) -> DataFrame:
+    """Rows (node, dst): where the chain of nodes with one edge each ends that ``node`` begins.
+
+    Pointers double, so a chain of n nodes takes log2(n) rounds.  What has not reached an end after that runs in a circle and gets
+    itself as its end.
+    """
+    open_ = staged(single)
+    rounds = math.ceil(math.log2(max(open_.count(), 1))) + 1
+    for _ in range(rounds):
+        onward = open_.select(F.col("node").alias("dst"), F.col("dst").alias("next"))
+        walked = staged(open_.join(onward, "dst", "left").select("node", F.coalesce("next", "dst").alias("dst"), F.col("next").isNull().alias("ended")))
+        # A node at its end still tells others where that is.
+        open_ = walked.select("node", "dst")
+        if not walked.where("NOT ended").limit(1).count():
+            break
+    return walked.select("node", F.when(F.col("ended"), F.col("dst")).otherwise(F.col("node")).alias("dst"))
+
+
 def cyclic_edges(edges: DataFrame) -> DataFrame:
-    """Edges ``(src, dst)`` that lie on, or only lead to, a cycle.
+    """Edges ``(src, dst)`` that lie on, or lead to, a cycle.
+
+    A node with one edge stands or falls with where the edge leads, so chains of
+    such nodes are cut out first, by doubling, and edges into them lead to their
+    end.  Then edges to nodes without edges go.  This repeats until no edge leads
+    to such a node: every node that is left then has a way on for ever.  Chains
+    and trees take a logarithmic number of rounds; a graph that is neither takes
+    one for each layer of branching nodes that only lead to an end.
 
-    Nodes that depend on nothing are peeled off until none is left to peel;
-    every surviving edge then leads to another one.
+    Null ends make no edge; repeated edges count once.
     """
-    live = staged(edges.select("src", "dst").distinct())
-    size = live.count()
-    while size:
-        sources = live.select(F.col("src").alias("dst")).distinct()
-        live = staged(live.join(sources, "dst", "left_semi").select("src", "dst"))
-        left = live.count()
-        if left == size:
+    whole = staged(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    live, cut = whole, []
+    while True:
+        degree = live.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst"))
+        single = degree.where("n = 1 AND src <> dst").select(F.col("src").alias("node"), "dst")
+        ends = staged(_ends_of_chains(single))
+        cut.append(ends)
+        to_end = ends.select(F.col("node").alias("dst"), F.col("dst").alias("end"))
+        # Nodes of chains leave the graph; what runs in a circle stays as a loop.
+        kept = live.join(ends.select(F.col("node").alias("src")), "src", "left_anti").join(to_end, "dst", "left")
+        loops = ends.where("node = dst").select(F.col("node").alias("src"), "dst")
+        core = staged(kept.select("src", F.coalesce("end", "dst").alias("dst")).unionByName(loops).distinct())
+        going = staged(core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        left = going.count()
+        if left == core.count():
+            break
+        live = going
+        if not left:
             break
-        size = left
-    return live
+    alive = going.select(F.col("src").alias("node")).distinct()
+    for ends in reversed(cut):
+        back = ends.join(alive.select(F.col("node").alias("dst")), "dst", "left_semi").select("node")
+        alive = staged(alive.unionByName(back).distinct())
+    return whole.join(alive.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
 def component_issues(edges: DataFrame, subjects: DataFrame) -> DataFrame:

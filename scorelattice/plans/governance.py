@@ -169,22 +169,44 @@ def revision_chain(spark, folder):
     return L.revision_chain_issues(told)
 
 
-_EDGES = """e AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1
-   WHERE a.o_orderpriority = '1-URGENT' AND a.o_totalprice > 300000)"""
+_EDGES = """e AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1)"""
 
 
 def follow_edges(spark, folder):
-    """Customers linked to the customer of the next order, for large urgent orders."""
+    """Customers linked to the customer of the next order."""
     o = D.table(spark, folder, "orders")
-    urgent = o.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 300000))
     nxt = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("dst"))
-    return urgent.join(nxt, "o_orderkey").select(F.col("o_custkey").alias("src"), "dst")
+    return o.join(nxt, "o_orderkey").select(F.col("o_custkey").alias("src"), "dst")
+
+
+#: Nodes with walks of one edge, two edges and so on, until no more drop out.
+_WALKS = """r AS (SELECT DISTINCT 1 AS step, src, CAST(9223372036854775807 AS BIGINT) AS before FROM e
+     UNION ALL SELECT DISTINCT r.step + 1, e.src, (SELECT count(*) FROM r) FROM r JOIN e ON e.dst = r.src WHERE (SELECT count(*) FROM r) < r.before),
+    f AS (SELECT src FROM r WHERE step = (SELECT max(step) FROM r) AND before = (SELECT count(*) FROM r WHERE step = (SELECT max(step) FROM r)))
+    SELECT src, dst FROM e WHERE dst IN (SELECT src FROM f)"""
+_ORDER_EDGES = """t AS (SELECT o_orderkey AS src, unnest([o_orderkey + o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN o_orderkey - o_custkey * 5 WHEN '2-HIGH' THEN o_orderkey + 1 END]) AS dst FROM orders),
+   e AS (SELECT DISTINCT src, dst FROM t WHERE dst IN (SELECT o_orderkey FROM orders))"""
+
+
+def order_edges(spark, folder):
+    """Every order refers to a later one, urgent ones to an earlier one as well, high ones to their neighbour."""
+    o = D.table(spark, folder, "orders")
+    key, cust, priority = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
+    also = F.when(priority == "1-URGENT", key - cust * 5).when(priority == "2-HIGH", key + 1)
+    edges = o.select(key.alias("src"), F.explode(F.array(key + cust, also)).alias("dst"))
+    return edges.join(o.select(key.alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+@query(
+    f"""WITH RECURSIVE {_ORDER_EDGES}, {_WALKS}"""
+)
+def order_cycles(spark, folder):
+    """References between orders that lie on a cycle or lead to one; others run out."""
+    return L.cyclic_edges(order_edges(spark, folder))
 
 
 @query(
-    f"""WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
-    c AS (SELECT DISTINCT src AS n FROM r WHERE src = dst), leads AS (SELECT DISTINCT src AS n FROM r JOIN c ON r.dst = c.n UNION SELECT n FROM c)
-    SELECT src, dst FROM e WHERE dst IN (SELECT n FROM leads)"""
+    f"""WITH RECURSIVE {_EDGES}, {_WALKS}"""
 )
 def graph_cycles(spark, folder):
     """Edges that lie on a cycle or lead to one."""

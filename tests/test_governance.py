@@ -190,3 +190,37 @@ def test_guard_refuses_rather_than_truncates(spark):
     assert S.guarded(spark.range(5), 5).count() == 5
     with pytest.raises(Exception, match="more than 4 rows"):
         S.guarded(spark.range(5), 4).collect()
+
+
+def _leading_to_cycles(edges):
+    edges = {(a, b) for a, b in edges if a is not None and b is not None}
+    while True:
+        starts = {a for a, _ in edges}
+        left = {(a, b) for a, b in edges if b in starts}
+        if left == edges:
+            return sorted(edges)
+        edges = left
+
+
+def test_cyclic_edges_against_peeling(spark):
+    rng = random.Random(7)
+    graphs = [[(1, 1)], [(1, 2), (2, 1), (2, 3), (3, 4), (0, 1), (None, 1), (1, None), (0, 1)], [(1, 2), (2, 3)], []]
+    for n, m in ((12, 12), (40, 44), (200, 230)):
+        graphs.append([(rng.randrange(n), rng.randrange(n)) for _ in range(m)])
+    # Circles of one edge per node, of lengths that are no powers of two, with tails; a ladder of branching nodes.
+    graphs.append([(i, (i + 1) % 7) for i in range(7)] + [(100 + i, 101 + i) for i in range(20)] + [(120, 3)] + [(50 + i, 51 + i) for i in range(9)])
+    graphs.append([(2 * i + a, 2 * i + 2 + b) for i in range(6) for a in (0, 1) for b in (0, 1)])
+    for edges in graphs:
+        df = spark.createDataFrame(edges, "src long, dst long")
+        assert sorted(tuple(r) for r in L.cyclic_edges(df).collect()) == _leading_to_cycles(edges), edges
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 10,000 nodes, alone and into a circle: as many rounds as its length has bits."""
+    stored = []
+    monkeypatch.setattr(L, "staged", lambda df, real=L.staged: stored.append(1) or real(df))
+    chain = spark.range(10_000).selectExpr("id src", "id + 1 dst")
+    assert L.cyclic_edges(chain).count() == 0 and len(stored) < 25
+    stored.clear()
+    assert L.cyclic_edges(chain.unionByName(spark.createDataFrame([(10_000, 9_000)], "src long, dst long"))).count() == 10_001
+    assert len(stored) < 25
