@@ -2,11 +2,14 @@
 
 Texts are folded: lower case, letters that look alike (Cyrillic, Greek, full
 width) to Latin, digits and signs that stand for letters to these, everything
-else to a blank.  The lexicon is learnt from a bounded sample of labelled rows:
-beginnings of words and whole words that toxic texts hold much more often, each
-needed to explain some toxic text that the others do not.  Its weights are log
-odds.  Phrases around a term that clean texts hold and toxic ones never do are
-exceptions: a term inside one does not count.
+else to a blank.  The lexicon is learnt from a bounded sample of labelled rows,
+where texts that fold to the same count once: beginnings of words and whole words
+that toxic texts hold much more often, each needed to explain some toxic texts.
+All terms of the sample are candidates; a cover chooses from them in rounds of
+Spark aggregates (every open text votes for the best term that it holds).  A second
+term of a text must also occur in several contexts, so that words of one copied
+passage stay out.  Weights are log odds.  Phrases around a term that clean texts
+hold and toxic ones never do are exceptions: a term inside one does not count.
 
 An Aho-Corasick automaton finds terms and exceptions in one pass over the whole
 text.  The sum of weights, as it is and normalised by length, goes through a
@@ -31,6 +34,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import staged
@@ -42,11 +46,9 @@ FOLDS, HELD_OUT = 3, 1
 TOXIC = 0.7
 #: Beginnings of words that may become terms, in characters.
 SHORTEST, LONGEST = 3, 12
-#: Terms that are looked at when the lexicon is chosen: the most frequent ones that tell the classes apart.
-CANDIDATES = 2_000
 LEAST_ODDS = 3.0
-#: Terms that a toxic text should find, and the share of toxic texts that a term beyond the first must hold for.
-COVERS, COMMON = 4, 0.025
+#: Terms that a toxic text should find, and neighbouring words between which a term beyond the first must occur.
+COVERS, CONTEXTS = 4, 8
 #: Clean texts that make a phrase an exception.
 EXCEPTION_TEXTS = 3
 
@@ -112,14 +114,27 @@ def hits(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, fl
     found, except_ = [], []
     for last, (size, weight) in automaton.iter(text):
         (except_ if weight is None else found).append((last + 1 - size, last + 1, weight))
-    if except_:
-        found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b, _ in except_)]
-    return found
+    if not except_:
+        return found
+    # Both by start: of the exceptions that begin no later, the one that ends last decides.
+    found.sort()
+    except_.sort(key=lambda e: e[:2])
+    out, at, reach = [], 0, -1
+    for f in found:
+        while at < len(except_) and except_[at][0] <= f[0]:
+            reach = max(reach, except_[at][1])
+            at += 1
+        if reach < f[1]:
+            out.append(f)
+    return out
 
 
 def measures(text: str, automaton: ahocorasick.Automaton) -> tuple[float, float]:
     """Sum of weights, each word's heaviest term once, and the number of words."""
-    ready = folded(text)
+    return folded_measures(folded(text), automaton)
+
+
+def folded_measures(ready: str, automaton: ahocorasick.Automaton) -> tuple[float, float]:
     at: dict[int, float] = {}
     for start, _, weight in hits(ready, automaton):
         at[start] = max(weight, at.get(start, 0.0))
@@ -131,35 +146,48 @@ def curve_inputs(total, words) -> np.ndarray:
     return np.column_stack([np.ones(len(total)), np.log1p(total), np.log1p(100 * total / words)])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each toxic text the features of its words."""
+def _foldings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folded texts with a key, so that texts that fold to the same count once."""
     for batch in batches:
-        for text, doc in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
-            found = {f for word in set(folded(text).split()) for f in word_features(word)}
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), pa.int64()), pa.array(list(found), pa.string())], names=["doc", "term"])
-
+        texts = [folded(t) for t in batch.column(1).to_pylist()]
+        keys = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(texts, pa.string()), batch.column(2), pa.array(keys, pa.binary())], names=["id", "text", "label", "key"]
+        )
 
-def _counter(known: frozenset[str]):
-    """Counts of texts that hold each known term, added up for the task."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each toxic text the features of its words, each with the words before and after it (as a hash)."""
+    for batch in batches:
+        for text, doc in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
+            words = ["", *text.split(), ""]
+            found = set()
+            for before, word, after in set(zip(words, words[1:], words[2:])):
+                context = xxhash.xxh64_intdigest(f"{before} {after}") >> 1
+                found.update((f, context) for f in word_features(word))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([doc] * len(found), pa.int64()), pa.array([f for f, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64())],
+                names=["doc", "term", "context"],
+            )
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a batch that hold each feature."""
+    for batch in batches:
         seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                seen.update({f for word in set(folded(text).split()) for f in word_features(word) if f in known})
+        for text in batch.column(1).to_pylist():
+            seen.update({f for word in set(text.split()) for f in word_features(word)})
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
 
-    return count
-
 
 def _phrases(terms: dict[str, float]):
-    """Words next to a term's word, each text once: (phrase, toxic, n)."""
+    """Words next to a term's word, each folded text once: (phrase, label, n)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, seen = Lexicon(terms).automaton(), Counter()
         for batch in batches:
-            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                ready, own = folded(text), set()
+            for ready, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                own = set()
                 for start, _, _ in hits(ready, automaton):
                     end = ready.index(" ", start + 1)
                     before = ready.rfind(" ", 0, start)
@@ -181,7 +209,7 @@ def _measurer(lexicon: Lexicon):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            got = [measures(t, automaton) for t in batch.column(1).to_pylist()]
+            got = [folded_measures(t, automaton) for t in batch.column(1).to_pylist()]
             arrays = [batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([float(g[1]) for g in got], pa.float64()), batch.column(2)]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "total", "words", "label"])
 
@@ -193,35 +221,64 @@ def _nested(a: str, b: str) -> bool:
     return a.startswith(b.rstrip()) or b.startswith(a.rstrip())
 
 
-def choose(terms: list[tuple[str, int, int]], holders: dict[str, set[int]], toxic: int, clean: int) -> dict[str, float]:
-    """Terms by greedy cover, with log odds as weights.
+def choose(held: DataFrame, terms: DataFrame, toxic: int, clean: int) -> dict[str, float]:
+    """Terms that cover the toxic texts, with log odds as weights.
 
-    First the term that most toxic texts without a term hold, again and again;
-    then terms that hold for many texts with fewer than ``COVERS`` terms.  Copies
-    of one text are explained by its first term, so their other words stay out.
+    ``held`` has (term, doc), ``terms`` (term, n, contexts, weight).  In a round
+    every text with too few terms votes for the best term that it holds: the one
+    that most such texts hold, less what clean texts hold; the more contexts the
+    better.  Terms with enough votes are chosen.  First every text wants one
+    term, then ``COVERS``, of terms with ``CONTEXTS`` contexts.  What comes to the driver in a
+    round are chosen terms and texts, no more than the sample has rows.
     """
-    weight = {t: math.log((p + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1)) for t, p, n in terms}
-    negative = {t: n for t, _, n in terms}
-    covered = dict.fromkeys(set().union(*holders.values()) if holders else (), 0)
-    open_terms, chosen = dict(holders), {}
+    spark = held.sparkSession
+    chosen: dict[str, float] = {}
     some = 3 if toxic >= 100 else 2
-    for covers, least in ((1, some), (COVERS, max(some, math.ceil(COMMON * toxic)))):
-        while open_terms:
-            gain = {t: sum(covered[d] < covers for d in own) for t, own in open_terms.items()}
-
-            def worth(t: str):
-                return (gain[t] - 3 * negative[t] * toxic / max(clean, 1), not t.endswith(" "), len(t), t)
-
-            best = max(open_terms, key=worth)
-            if gain[best] < least:
+    needs = held.select("doc").distinct()
+    for covers, contexts in ((1, 1), (COVERS, CONTEXTS)):
+        open_terms = staged(held.join(terms.where(F.col("contexts") >= contexts), "term"))
+        while True:
+            names = spark.createDataFrame([(t,) for t in chosen], "chosen string")
+            rest = open_terms
+            if chosen:
+                hit = held.join(F.broadcast(names), F.col("term") == F.col("chosen"), "left_semi")
+                full = hit.groupBy("doc").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= covers).select("doc")
+                rest = rest.join(F.broadcast(full), "doc", "left_anti")  # at most the rows of the sample
+            gains = rest.groupBy("term").agg(
+                F.count(F.lit(1)).alias("gain"), F.first("n").alias("n"), F.first("contexts").alias("contexts"), F.first("weight").alias("weight")
+            )
+            worth = F.struct(
+                (F.col("gain") - 3.0 * F.col("n") * toxic / max(clean, 1)).alias("w"), "contexts", (~F.col("term").endswith(" ")).alias("open"),
+                F.length("term").alias("size"), "term", "weight",
+            )
+            best = rest.select("term", "doc").join(gains.select("term", worth.alias("worth")), "term").groupBy("doc").agg(F.max("worth").alias("best"))
+            voted = best.where("best.w > 0").groupBy("best.term", "best.weight").agg(F.count(F.lit(1)).alias("votes"), F.max("best").alias("best")).where(F.col("votes") >= some)
+            picked = 0
+            for row in sorted(voted.collect(), key=lambda r: (-r["votes"], r["term"])):
+                if not any(_nested(row["term"], t) for t in chosen):
+                    chosen[row["term"]] = row["weight"]
+                    picked += 1
+            # A term that begins or prolongs a chosen one says nothing new.
+            open_terms = staged(_without_nested(open_terms, list(chosen))) if picked else open_terms
+            if not picked:
                 break
-            chosen[best] = weight[best]
-            for d in open_terms[best]:
-                covered[d] += 1
-            open_terms = {t: own for t, own in open_terms.items() if not _nested(t, best)}
     return chosen
 
 
+def _without_nested(rows: DataFrame, chosen: list[str]) -> DataFrame:
+    """Rows whose term neither begins nor prolongs a chosen one."""
+    bare = sorted({t.rstrip() for t in chosen})
+    begins = {b[:k] for b in bare for k in range(1, len(b) + 1)}
+    spark = rows.sparkSession
+    own = F.rtrim("term")
+    shorter = spark.createDataFrame([(x,) for x in sorted(begins)], "short string")
+    longer = spark.createDataFrame([(x,) for x in bare], "long string")
+    out = rows.join(F.broadcast(shorter), own == F.col("short"), "left_anti")
+    ways = F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.rtrim(F.substring(F.col("term"), F.lit(1), k)))
+    starts = out.select("term").distinct().select("term", F.explode(ways).alias("begin")).join(F.broadcast(longer), F.col("begin") == F.col("long"), "left_semi")
+    return out.join(starts.select("term").distinct(), "term", "left_anti")
+
+
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Logistic fit with a small ridge, by Newton's method; slopes are not negative."""
     w = np.zeros(3)
@@ -236,29 +293,26 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Lexicon:
     """Learn from at most ``bound`` labelled rows that are not held out."""
-    sample = staged(labelled_sample(docs, labels, "toxic", remainder("doc_id", FOLDS) != HELD_OUT, bound))
+    sample = labelled_sample(docs, labels, "toxic", remainder("doc_id", FOLDS) != HELD_OUT, bound)
+    foldings = sample.select("id", "text", F.col("label").cast("int").alias("label")).mapInArrow(_foldings, "id long, text string, label int, key binary")
+    sample = staged(foldings.groupBy("key", "label").agg(F.min("id").alias("id"), F.first("text").alias("text"))).select("id", "text", "label")
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
         return Lexicon(curve=(20.0 if toxic else -20.0, 0.0, 0.0))
-    held = staged(sample.where("label = 1").mapInArrow(_features, "doc long, term string"))
-    common = held.groupBy("term").agg(F.count_distinct("doc").alias("p")).where("p >= 2")
-    # Terms too common in toxic texts to be rare in clean ones still drop out below; the order is that of the cover.
-    listed = {r["term"]: r["p"] for r in common.orderBy(F.desc("p"), F.desc(F.length("term")), "term").limit(40 * CANDIDATES).collect()}
-    counted = sample.where("label = 0").mapInArrow(_counter(frozenset(listed)), "term string, n long")
-    negative = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    odds = [(t, p, negative.get(t, 0)) for t, p in listed.items()]
-    odds = [x for x in odds if math.log((x[1] + 0.5) / (toxic + 1)) - math.log((x[2] + 0.5) / (clean + 1)) >= LEAST_ODDS][:CANDIDATES]
-    names = docs.sparkSession.createDataFrame([(x[0],) for x in odds], "term string")
-    holders: dict[str, set[int]] = {}
-    for r in held.join(F.broadcast(names), "term").collect():  # at most CANDIDATES terms of the sample's toxic rows
-        holders.setdefault(r["term"], set()).add(r["doc"])
-    terms = choose(odds, holders, toxic, clean)
+    met = staged(sample.where("label = 1").mapInArrow(_contexts, "doc long, term string, context long"))
+    common = met.groupBy("term").agg(F.count_distinct("doc").alias("p"), F.count_distinct("context").alias("contexts")).where("p >= 2")
+    negative = sample.where("label = 0").mapInArrow(_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    odds = F.log((F.col("p") + 0.5) / (toxic + 1)) - F.log((F.col("n") + 0.5) / (clean + 1))
+    known = common.join(negative, "term", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("weight", odds)
+    listed = staged(known.where(F.col("weight") >= LEAST_ODDS).select("term", "n", "contexts", "weight"))
+    held = staged(met.join(listed, "term", "left_semi").select("term", "doc").distinct())
+    terms = choose(held, listed, toxic, clean)
     around = sample.mapInArrow(_phrases(terms), "phrase string, label int, n long").groupBy("phrase").agg(
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"),
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"),
     )
-    harmless = around.where((F.col("clean") >= EXCEPTION_TEXTS) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "phrase").limit(CANDIDATES)
+    harmless = around.where((F.col("clean") >= EXCEPTION_TEXTS) & (F.col("toxic") == 0))
     lexicon = Lexicon(terms, frozenset(r["phrase"] for r in harmless.collect()))
     seen = sample.mapInArrow(_measurer(lexicon), "id long, total double, words double, label int").toPandas().sort_values(["id", "total", "words"])
     curve = _curve(curve_inputs(seen["total"], seen["words"]), seen["label"].to_numpy(float))

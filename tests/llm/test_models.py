@@ -212,3 +212,69 @@ def test_windows_cover_triggers_and_reconcile():
                 row[i] = 7 if at == 60 else 8
         tags.append(row)
     assert pii.reconciled(long, [10, 65], np.array(tags), []) == [(60, 73, "phone")]
+
+
+def brute_measures(text, lexicon):
+    """Every place of every term, outside every place of every exception."""
+    t = toxicity.folded(text)
+    inside = [(i, i + len(p)) for p in lexicon.exceptions for i in range(len(t)) if t.startswith(p, i)]
+    at = {}
+    for term, weight in lexicon.terms.items():
+        for i in range(len(t)):
+            if t.startswith(term, i) and not any(a <= i and i + len(term) <= b for a, b in inside):
+                at[i] = max(weight, at.get(i, 0.0))
+    return sum(at.values()), max(len(t.split()), 1)
+
+
+def test_measures_against_every_place():
+    import random
+
+    r = random.Random(8)
+    lexicon = toxicity.Lexicon(
+        {" ab": 2.0, " abc ": 3.0, " b ": 1.0, " cab": 0.5}, frozenset({" ab b ", " b abc ", " c cab ", " abc abc "}), (-1.0, 1.0, 1.0)
+    )
+    automaton = lexicon.automaton()
+    for _ in range(2000):
+        text = " ".join(r.choice(["ab", "abc", "b", "c", "cab", "ABCD", "4b"]) for _ in range(r.randrange(12)))
+        assert toxicity.measures(text, automaton) == pytest.approx(brute_measures(text, lexicon)), text
+
+
+def test_many_matches_take_linear_time():
+    import time
+
+    lexicon = toxicity.Lexicon({" bad": 2.0, " odd ": 1.0}, frozenset({" not bad ", " odd one "}))
+    automaton, took = lexicon.automaton(), []
+    for n in (8_000, 64_000):
+        start = time.perf_counter()
+        total, _ = toxicity.measures("not bad odd one bad " * n, automaton)
+        took.append(time.perf_counter() - start)
+        assert total == 2.0 * n
+    assert took[1] < 30 * took[0] + 0.5  # eight times the text; a walk over all pairs would take 64 times
+
+
+def test_a_long_text_in_many_copies_hides_no_term(spark):
+    """200 copies of one long toxic text, 90 other toxic texts with one of three words, 900 clean ones."""
+    import random
+
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    calm = [word() for _ in range(400)]
+    long_text = " ".join(word() for _ in range(6000))
+    text = lambda *more: " ".join(r.sample([*r.sample(calm, 30), *more], 30 + len(more)))
+    rows = [(long_text, 1)] * 200 + [(text(("wretch", "zounds", "quisling")[i % 3]), 1) for i in range(90)] + [(text(), 0) for _ in range(900)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], LABELS)
+    lexicon = toxicity.fit(docs, labels)
+    assert any(t.startswith(" wretch") or " wretch".startswith(t.rstrip()) for t in lexicon.terms)
+    score = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, lexicon).collect()}
+    assert all(score[i] >= 0.7 for i in range(200, 290)) and not any(score[i] >= 0.7 for i in range(290, 1190))
+
+
+def test_copied_passages_give_no_second_terms(spark):
+    """Words that only occur in one passage of many near copies have one context."""
+    rows = [(f"you scoundrel {i} said so and so in the year of {i * 7} with a rare flumbox in it", 1) for i in range(60)]
+    rows += [(f"a scoundrel like number {i} of the {i * 3}", 1) for i in range(60)] + [(f"calm words of number {i} in it", 0) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], LABELS)
+    lexicon = toxicity.fit(docs, labels)
+    assert any(t.startswith(" sco") for t in lexicon.terms) and not any("flumbox".startswith(t.strip()) for t in lexicon.terms)
