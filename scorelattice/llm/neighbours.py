@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import staged
+from .common import smallest_hashes
 
 NEAREST = 10
 QUERIES_OF = 100
@@ -308,7 +309,7 @@ def nearest(
         return spark.createDataFrame([], schema)
     lists = int(min(max(total // list_size, 1), MOST_LISTS, max(total // SAMPLE_PER_LIST, 1)))
     size = max(SAMPLE, SAMPLE_PER_LIST * lists)
-    sample = np.array(once.orderBy("h1", "h2").limit(size).select("v").toPandas()["v"].tolist(), np.float64)
+    sample = np.array(smallest_hashes(once, ["h1", "h2"], size, total, F.col("h1")).select("v").toPandas()["v"].tolist(), np.float64)
     fitted = fit_centroids(sample, lists)
     centres = spark.sparkContext.broadcast(fitted)
     posted = staged(once.mapInArrow(_poster(centres, COPIES, COPY_RATIO), "list int, h1 long, h2 long, v array<double>, ids array<long>"))

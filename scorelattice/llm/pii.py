@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import whole_text
+from .common import smallest_hashes, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -160,15 +160,15 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             random = Random(hashlib.sha256(text.encode()).digest())
             versions = [(text, spans)]
             if spans:
-                out, moved, at = [], [], 0
+                out, moved, at, size = [], [], 0, 0
                 for a, b, kind in spans:
                     if a < at:
                         continue
-                    out.append(text[at:a])
-                    start = sum(map(len, out))
+                    start = size + a - at
                     new = _respelled(text[a:b], kind, random)
-                    out.append(new)
-                    moved.append((start, start + len(new), kind))
+                    out += [text[at:a], new]
+                    size = start + len(new)
+                    moved.append((start, size, kind))
                     at = b
                 versions.append(("".join([*out, text[at:]]), moved))
             for body, own in versions:
@@ -321,7 +321,7 @@ class Tagger:
 def fit(docs: DataFrame, rows: int = TRAINING_ROWS, most: int = TRAINING_WINDOWS) -> Tagger | None:
     """Train on windows of at most ``rows`` documents, picked by a hash of their id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
-    picked = texts.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
+    picked = smallest_hashes(texts.select("id").where("id is not null").distinct(), ["id"], rows, docs.count())
     found = texts.join(F.broadcast(picked), "id").select("text").mapInArrow(_training_windows, "codes binary, tags binary")
     kept = found.distinct().orderBy(F.xxhash64("codes", "tags"), "codes", "tags").limit(most).collect()
     if not kept:
@@ -374,12 +374,17 @@ def reconciled(text: str, starts: list[int], tags: np.ndarray, base: list[Span])
     if now:
         out.append(tuple(now))
     free = []
+    # Both in order: of the base spans that begin before a span ends, the one that ends last decides.
+    known, met, reach = sorted(base), 0, -1
     for a, b, kind in out:
         while a < b and text[a].isspace():
             a += 1
         while a < b and text[b - 1].isspace():
             b -= 1
-        if _enough(text[a:b], kind) and not any(a < y and x < b for x, y, _ in base):
+        while met < len(known) and known[met][0] < b:
+            reach = max(reach, known[met][1])
+            met += 1
+        if reach <= a and _enough(text[a:b], kind):
             free.append((a, b, kind))
     return sorted([*base, *free], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 

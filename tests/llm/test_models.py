@@ -278,3 +278,43 @@ def test_copied_passages_give_no_second_terms(spark):
     labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], LABELS)
     lexicon = toxicity.fit(docs, labels)
     assert any(t.startswith(" sco") for t in lexicon.terms) and not any("flumbox".startswith(t.strip()) for t in lexicon.terms)
+
+
+def test_many_spans_are_reconciled_in_linear_time():
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        text = "some.one@example.org and 10.20.30.40 then " * n
+        base = pii.base_spans(text)
+        assert len(base) == 2 * n
+        starts = pii.windows(text)
+        tags = np.zeros((len(starts), pii.WINDOW), np.int8)
+        for row, start in zip(tags, starts):
+            row[:] = pii._tags(base, start, pii.WINDOW)
+        begun = time.perf_counter()
+        assert pii.reconciled(text, starts, tags, base) == base
+        took.append(time.perf_counter() - begun)
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_decoded_spans_give_way_to_base_spans():
+    import random
+
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(r.choice("12.3@a b") for _ in range(60))
+        base = sorted((a, a + r.randrange(1, 9), r.choice(pii.KINDS)) for a in (r.randrange(50) for _ in range(r.randrange(6))))
+        tags = np.array([[r.randrange(len(pii.TAGS)) if r.random() < 0.6 else 0 for _ in range(60)]], np.int8)
+        kept = [s for s in pii.reconciled(text, [0], tags, base) if s not in base]
+        alone = [s for s in pii.reconciled(text, [0], tags, [])]
+        assert kept == [s for s in alone if not any(s[0] < y and x < s[1] for x, y, _ in base) and s not in base]
+
+
+def test_smallest_hashes_are_the_same_however_they_are_dealt(spark):
+    from scorelattice.llm.common import smallest_hashes
+
+    df = spark.range(50_000).repartition(17)
+    want = [r[0] for r in df.orderBy(F.xxhash64("id"), "id").limit(3_000).collect()]
+    assert [r[0] for r in smallest_hashes(df, ["id"], 3_000, 50_000).collect()] == want
+    assert smallest_hashes(df, ["id"], 60_000, 50_000).count() == 50_000
