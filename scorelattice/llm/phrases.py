@@ -5,11 +5,12 @@ pairs of words by a hash; those with enough occurrences set bits in a map of fix
 In the second pass every position gives the words from there on, five at most,
 cut where the map says that a word or pair is too rare to be in any candidate (a
 wrong bit only lets more through).  Equal rows of a block are one row with a
-count.  The rows are range-partitioned and sorted by language and words; one
-walk along each range then closes the counts of all phrases of one to five words
-where the words change.  Only the phrases open at the ends of a range meet others.
+count.  A block hands its rows on sorted, as one compressed run for each range of
+language and words; the ranges are quantiles of a bounded sample.  The runs of a
+range are merged, and one walk along it closes the counts of all phrases of one to
+five words where the words change.  Only phrases open at the ends of a range meet others.
 Neither a hot first word nor a passage with most of all positions makes a hot
-task: ranges split anywhere between different rows, and equal rows are few.
+task: ranges split anywhere between different rows, and a row comes once a block.
 
 Joining.  The counts of at least ``LEAST`` are kept as two stored streams: in
 prefix order (words from the first) and in suffix order (words from the last).
@@ -28,6 +29,7 @@ by the phrase; an empty table gives an empty result; further columns are ignored
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import staged
-from .common import whole_text
+from .common import smallest_hashes, squeeze, unsqueeze, whole_text
 
 #: Words of the longest phrase, and occurrences that make a candidate.
 LONGEST, LEAST = 5, 100
@@ -48,8 +50,10 @@ COVERED = 100
 TOP = 2000
 #: Bits of the map of frequent words and pairs, whatever the data.
 MAP_BITS = 1 << 26
-#: Positions of a block, bytes of a text split at a time, and rows given out at a time.
-BLOCK, SLICE, ROWS = 3_000_000, 1 << 20, 1 << 15
+#: Positions of a block, and bytes of a text split at a time.
+BLOCK, SLICE = 3_000_000, 1 << 20
+#: Ranges for each shuffle partition, and texts and rows that their bounds are taken from.
+RANGES, SAMPLE_TEXTS, SAMPLE_ROWS = 2, 4_000, 50_000
 #: A-Z lower-cased, tabs as blanks, ends of pieces as line ends.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
@@ -175,41 +179,95 @@ def _known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
+def _sorted_rows(bits: np.ndarray, lang: str, names: list[bytes], ids: np.ndarray, longest: int) -> tuple[list[bytes], np.ndarray]:
+    """Distinct rows of a block in order: the frequent words from a position on, each ended by a line end; and their counts."""
+    own = _hashes(lang, names)
+    good = _known(bits, own)
+    good[0] = False
+    ids = np.where(good[ids], ids, 0)
+    follows = np.zeros(len(ids), bool)
+    at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+    follows[at] = _known(bits, _pair(own[ids[at]], own[ids[at + 1]]))
+    # Positions with one word only are counted by word, the others by row.
+    single = np.bincount(ids[~follows], minlength=len(names))
+    single[0] = 0
+    alone = np.flatnonzero(single)
+    starts = np.flatnonzero(follows)
+    columns, alive = [ids[starts], ids[starts + 1]], np.ones(len(starts), bool)
+    for k in range(2, longest):
+        alive = alive & follows[starts + k - 1]
+        columns.append(np.where(alive, ids[starts + k], 0))
+    rows, counts = _distinct(columns, len(names))
+    counts = np.concatenate([single[alone], counts])
+    rows = [np.concatenate([x, r]) for x, r in zip([alone, *[np.zeros_like(alone)] * (longest - 1)], rows)]
+    ended = [b"\n", b"", *(w + b"\n" for w in names[2:])]
+    keys = [b"".join(map(ended.__getitem__, r)) for r in zip(*(c.tolist() for c in rows))]
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    return [keys[i] for i in order], counts[order]
+
+
 def _suffixes(bits, longest: int):
-    """Distinct rows of a block: the frequent words from a position on, each ended by a line end."""
+    """The rows of a block as they are, for a sample."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, names, ids in blocks(_rows_of(batches), longest):
-            own = _hashes(lang, names)
-            good = _known(bits.value, own)
-            good[0] = False
-            ids = np.where(good[ids], ids, 0)
-            follows = np.zeros(len(ids), bool)
-            at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            follows[at] = _known(bits.value, _pair(own[ids[at]], own[ids[at + 1]]))
-            # Positions with one word only are counted by word, the others by row.
-            single = np.bincount(ids[~follows], minlength=len(names))
-            single[0] = 0
-            alone = np.flatnonzero(single)
-            starts = np.flatnonzero(follows)
-            columns, alive = [ids[starts], ids[starts + 1]], np.ones(len(starts), bool)
-            for k in range(2, longest):
-                alive = alive & follows[starts + k - 1]
-                columns.append(np.where(alive, ids[starts + k], 0))
-            rows, counts = _distinct(columns, len(names))
-            counts = np.concatenate([single[alone], counts])
-            rows = [np.concatenate([x, r]) for x, r in zip([alone, *[np.zeros_like(alone)] * (longest - 1)], rows)]
-            ended = [b"\n", b"", *(w + b"\n" for w in names[2:])]
-            for a in range(0, len(counts), ROWS):
-                keys = [b"".join(map(ended.__getitem__, r)) for r in zip(*(c[a : a + ROWS].tolist() for c in rows))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.binary()).cast(pa.string()), pa.array(counts[a : a + ROWS])],
-                    names=["lang", "words", "n"],
-                )
+            keys, _ = _sorted_rows(bits.value, lang, names, ids, longest)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.binary()).cast(pa.string())], names=["lang", "words"]
+            )
 
     return find
 
 
+def _runs(bits, bounds: list[tuple[str, str]], longest: int):
+    """The rows of a block as compressed runs, one for each range that it has rows in."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, names, ids in blocks(_rows_of(batches), longest):
+            keys, counts = _sorted_rows(bits.value, lang, names, ids, longest)
+            first = bisect_left(bounds, (lang, ""))
+            own = [w.encode() for at, w in bounds[first:] if at == lang]
+            cuts = [0, *(bisect_left(keys, w) for w in own), len(keys)]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if a < b:
+                    data = squeeze([b"".join(keys[a:b]), counts[a:b].astype(np.int64)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([first + k], pa.int32()), pa.array([lang], pa.string()), pa.array([data], pa.binary())], names=["range", "lang", "data"]
+                    )
+
+    return find
+
+
+def _merger(least: int, longest: int):
+    """All runs of a range merged, and walked."""
+
+    def merge(runs: pa.Table) -> pa.Table:
+        parts = []
+        for lang, data in zip(runs.column("lang").to_pylist(), runs.column("data").to_pylist()):
+            joined, counts = unsqueeze(data, (bytes, np.int64))
+            ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)[longest - 1 :: longest] + 1
+            words = pa.StringArray.from_buffers(len(counts), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(joined))
+            parts.append(pa.table({"lang": pa.array([lang] * len(counts), pa.string()), "words": words, "n": pa.array(counts)}))
+        together = pa.concat_tables(parts).sort_by([("lang", "ascending"), ("words", "ascending")]).combine_chunks()
+        return pa.Table.from_batches(_walk(least, longest)(iter(together.to_batches(1 << 16))))
+
+    return merge
+
+
+def range_bounds(texts: DataFrame, bits, longest: int) -> list[tuple[str, str]]:
+    """Ascending (lang, words): quantiles of the rows of a sample of texts."""
+    spark = texts.sparkSession
+    wanted = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = SAMPLE_TEXTS / max(texts.count(), 1)
+    key = F.xxhash64("text")
+    some = texts.where(key < F.lit(int(-(2**63) + share * 2**64))) if share < 1 else texts
+    rows = staged(some.mapInArrow(_suffixes(bits, longest), "lang string, words string"))
+    total = rows.count()
+    kept = smallest_hashes(rows.distinct(), ["lang", "words"], SAMPLE_ROWS, total).collect()
+    keys = sorted((r["lang"].encode(), r["words"].encode()) for r in kept)
+    return sorted({(lang.decode(), words.decode()) for lang, words in (keys[i * len(keys) // wanted] for i in range(1, wanted) if keys)})
+
+
 def _distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Different rows of several columns of numbers below ``size``, and how often each occurs."""
     width = max(int(size).bit_length(), 1)
@@ -295,9 +353,9 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole_text().alias("text"))
     totals, bits = frequent(texts, least, longest)
     held = docs.sparkSession.sparkContext.broadcast(bits)
-    rows = staged(texts.mapInArrow(_suffixes(held, longest), "lang string, words string, n long"))
-    ranged = rows.repartitionByRange("lang", "words").sortWithinPartitions("lang", "words")
-    closed = ranged.mapInArrow(_walk(least, longest), "lang string, phrase string, size int, a long")
+    bounds = range_bounds(texts, held, longest)
+    runs = texts.mapInArrow(_runs(held, bounds, longest), "range int, lang string, data binary")
+    closed = runs.groupBy("range").applyInArrow(_merger(least, longest), "lang string, phrase string, size int, a long")
     return staged(closed.groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a")).where(F.col("a") >= least)), totals
 
 
