@@ -7,6 +7,8 @@ is never built.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scores import heat_alpha, heat_position, is_finite
@@ -51,12 +53,22 @@ def coverage_ranking(
     # The scores were grouped by (model, benchmark); ranks need the models too,
     # so scores of models outside the list are dropped before ranking.
     own = scores.join(models.select("model_id"), "model_id", "left_semi")
-    ranks = benchmark_ranks(own, benchmarks)
-    per_model = ranks.groupBy("model_id").agg(
+    return overall_places(models, rank_shares(benchmark_ranks(own, benchmarks)), benchmarks, threshold)
+
+
+def rank_shares(ranks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """What each model's ranks add to the overall ranking, by further keys if given; such rows add up."""
+    return ranks.groupBy(*keys, "model_id").agg(
         F.sum("rank").alias("present_sum"),
         F.count(F.lit(1)).alias("covered"),
         F.count_if(F.col("rank") == 1).alias("firsts"),
     )
+
+
+def overall_places(
+    models: DataFrame, per_model: DataFrame, benchmarks: DataFrame, threshold: float = COVERAGE_THRESHOLD
+) -> DataFrame:
+    """Overall ranking of every model from the added-up shares of the ranked ones."""
     total = benchmarks.agg(F.count(F.lit(1)).alias("n")).scalar()
     penalty = models.agg((F.count(F.lit(1)) + 1).alias("n")).scalar()
     rows = models.join(per_model, "model_id", "left").select(

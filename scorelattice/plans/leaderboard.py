@@ -36,7 +36,11 @@ def _overall(spark, folder):
     )
 
 
-@query(_OVERALL + "SELECT * FROM overall")
+#: The whole overall ranking.
+OVERALL_SQL = _OVERALL + "SELECT * FROM overall"
+
+
+@query(OVERALL_SQL)
 def coverage_ranking(spark, folder):
     return _overall(spark, folder)
 
