@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.digests import canonical_json
 from ..functions.lexemes import real_lexeme
 from ..functions.text import is_json
+from .csvblocks import csv_records
 
 
 def lexeme(df: DataFrame, name: str) -> Column:
@@ -49,23 +50,19 @@ def row_counts(spark: SparkSession, path: str) -> DataFrame:
 def numbered_records(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """CSV records as text with their 0-based number within each file, and ``bad`` for a wrong width.
 
-    Quoted fields may span lines, so a file is read in order by one task, record
-    by record; files are read side by side.  Ids rise by one from record to
-    record of a file, so a record's number is its distance from the first id.
-    Empty cells are empty text; blank lines are no records.
+    Files are read in blocks, side by side, whether or not quoted fields span
+    lines.  Empty cells are empty text; blank lines are no records.
     """
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, "bad")])
+    schema = ", ".join(f"`{n}` string" for n in (*names, "bad"))
     options = {
-        "multiLine": "true", "header": "false", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\x00",
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "columnPruning": "false", "maxCharsPerColumn": "-1",
+        "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\x00", "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": "bad", "maxCharsPerColumn": "-1",
     }
+    read = csv_records(spark, path).select("file_path", "record_no", F.from_csv("record", schema, options).alias("r"))
+    bad = F.col("r.bad")
     # The reader gives null for an empty cell; in a record of the right width no cell is missing.
-    cells = [F.when(F.col("bad").isNull(), F.coalesce(n, F.lit(""))).otherwise(F.col(n)).alias(n) for n in names]
-    read = spark.read.schema(schema).options(**options).csv(path).select(
-        F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("id"), *cells, "bad"
-    )
-    firsts = read.groupBy("file_path").agg(F.min("id").alias("first_id"))
-    return read.join(firsts, "file_path").withColumn("record_no", F.col("id") - F.col("first_id")).drop("id", "first_id")
+    cells = [F.when(bad.isNull(), F.coalesce(F.col(f"r.{n}"), F.lit(""))).otherwise(F.col(f"r.{n}")).alias(n) for n in names]
+    return read.select("file_path", *cells, bad.alias("bad"), "record_no")
 
 
 def csv_cells(

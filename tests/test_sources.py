@@ -165,3 +165,38 @@ def test_windowed_mean_start_marks(spark):
     assert score(3)["m"] == "1.0"
     # More than twelve but fewer than sixteen marks: no start date at all.
     assert score(13)["m"] == "6.0"
+
+
+@pytest.mark.parametrize("blocks", [1, 7, 40])
+def test_csv_records_do_not_depend_on_blocks(spark, tmp_path, blocks):
+    """Quoted line ends, doubled marks, blank lines and carriage returns, cut anywhere."""
+    import os
+    import random
+
+    from scorelattice.sources.csvblocks import csv_records
+
+    rng = random.Random(9)
+    rows = [[rng.choice(["a", "", "x\ny", 'say "no"', "\n\n", "l,m", "é\n\"", "long " * 30]), str(i)] for i in range(600)]
+    for name, ending in (("unix", "\n"), ("dos", "\r\n")):
+        raw = io.StringIO()
+        writer = csv.writer(raw, lineterminator=ending)
+        for i, row in enumerate(rows):
+            writer.writerow(row)
+            if i % 50 == 7:
+                raw.write(ending)
+        (tmp_path / f"{name}.csv").write_bytes(raw.getvalue().encode())
+    size = os.path.getsize(tmp_path / "dos.csv")
+    settings = {"spark.sql.files.maxPartitionBytes": str(size // blocks + 1), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = T.numbered_records(spark, str(tmp_path), ["a", "b"]).collect()
+        texts = csv_records(spark, str(tmp_path)).count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert texts == len(out) == 1200
+    for name in ("unix", "dos"):
+        got = sorted((r["record_no"], r["a"], r["b"], r["bad"]) for r in out if r["file_path"].endswith(f"{name}.csv"))
+        assert got == [(i, a, b, None) for i, (a, b) in enumerate(rows)]
