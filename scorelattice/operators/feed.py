@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.rules import first_failure, refuse
 from ..functions.scores import is_finite
 from ..functions.text import is_sha256
+from .ordering import sequential_position
 
 CELL = ("model_id", "benchmark_id", "metric", "split", "setting", "evaluation_version")
 
@@ -285,6 +286,10 @@ def evidence_lookup(scores: DataFrame, manifest: DataFrame, fields: Sequence[str
     ).drop("m")
 
 
-def cell_sort_keys() -> list[Column]:
-    """Display-cell order: byte order of the parts, absent parts first."""
-    return [F.asc_nulls_first(c) for c in CELL]
+def in_cell_order(cells: DataFrame, row_id: str, place: str = "place") -> DataFrame:
+    """Rows with their 1-based place in display order.
+
+    Cells are in byte order of their parts, absent parts first; rows of one cell
+    are in the order of ``row_id``.
+    """
+    return sequential_position(cells, [], [*map(F.col, CELL), F.col(row_id)], place)

@@ -103,6 +103,12 @@ def page_state(page: DataFrame, created: str, row_id: str, limit: int) -> DataFr
     )
 
 
+def cap_verdicts(rows: DataFrame, caps: Sequence[int]) -> DataFrame:
+    """(cap, refused): whether ``guarded`` refuses the rows, for each cap; the largest cap bounds what is counted."""
+    n = rows.limit(max(caps) + 1).agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.explode(F.array(*[F.lit(c).cast("long") for c in caps])).alias("cap"), "n").select("cap", (F.col("n") > F.col("cap")).alias("refused"))
+
+
 def guarded(rows: DataFrame, cap: int) -> DataFrame:
     """All rows, or an error as soon as there are more than ``cap`` of them.
 

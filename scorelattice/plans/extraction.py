@@ -371,11 +371,26 @@ def _order_claims(spark, folder):
     )
 
 
-@query(
-    """SELECT l_orderkey, count(*) AS records, 3 * count(*) AS claims,
+_ACCOUNTING = """SELECT {0} AS l_orderkey, count(*) AS records, 3 * count(*) AS claims,
     CASE WHEN count(*) FILTER (WHERE l_discount >= 0.1) > 0 THEN 'SCORE_VALUE_INVALID'
          WHEN count(*) > count(DISTINCT l_partkey) THEN 'DUPLICATE_MODEL_DIMENSION' END AS verdict FROM lineitem GROUP BY l_orderkey"""
-)
+
+
+@query(_ACCOUNTING.format("CAST(l_orderkey AS VARCHAR)"))
+def csv_batches(spark, folder):
+    """Facts written as CSV files, some cells over several lines, scanned back and judged as batches."""
+    path = f"{shared_dir(configure(spark))}/scorelattice-stage/facts-{uuid.uuid4().hex}"
+    facts = _order_claims(spark, folder)
+    wide = facts.select("l_orderkey", F.concat("model_raw", F.lit("\n(as printed)")).alias("model"), "metric_raw", "score_raw")
+    wide.write.option("header", True).option("escape", '"').csv(path)
+    cells = T.csv_cells(spark, path, wide.columns, ["model", "metric_raw", "score_raw"])
+    fields = {"l_orderkey": "l_orderkey", "model_raw": "model", "metric_raw": "metric_raw", "score_raw": "score_raw"}
+    claims = X.renamed_claims(cells.where("well_formed"), fields, ["file_path", "row_index"])
+    records = D.table(spark, folder, "lineitem").select(F.col("l_orderkey").cast("string").alias("l_orderkey"))
+    return X.batch_verdicts(claims, "l_orderkey", ["model_raw", "metric_raw"], 3, records)
+
+
+@query(_ACCOUNTING.format("l_orderkey"))
 def batch_accounting(spark, folder):
     claims = _order_claims(spark, folder)
     records = D.table(spark, folder, "lineitem").select("l_orderkey")

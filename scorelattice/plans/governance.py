@@ -110,6 +110,15 @@ def captured_claims(spark, folder):
     )
 
 
+@query(
+    """SELECT o_orderkey AS claim_id, row_number() OVER (ORDER BY CASE WHEN o_orderpriority <> '1-URGENT' THEN lpad(CAST(o_custkey // 15 AS VARCHAR), 12, '0') END NULLS FIRST, o_orderpriority,
+    strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 'v1' END NULLS FIRST, o_orderkey) AS place FROM orders"""
+)
+def cell_order(spark, folder):
+    """Every claim's place in the order of display cells."""
+    return E.in_cell_order(captured_claims(spark, folder), "claim_id").select("claim_id", "place")
+
+
 def _identities(spark, folder):
     decisions = review_decisions(spark, folder)
     return L.project_identity(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import digests as G, jsonpath as J, scores as S, text as X, timegrid as TG
 from ..operators import summary as Y
@@ -252,6 +254,19 @@ def duplicate_keys(spark, folder):
     return ev.select("event_id", X.has_duplicate_keys(text).alias("repeats"))
 
 
+_CAPPED = ("customer", "supplier", "orders", "events", "documents")
+
+
+@query(
+    "SELECT name, cap, n > cap AS refused FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _CAPPED)
+    + "), (SELECT CAST(unnest([50, 900, 9000, 40000]) AS BIGINT) AS cap)"
+)
+def cap_verdicts(spark, folder):
+    """Which tables a refusing limit turns away, at several limits."""
+    parts = [Y.cap_verdicts(D.table(spark, folder, t), [50, 900, 9000, 40000]).withColumn("name", F.lit(t)) for t in _CAPPED]
+    return reduce(DataFrame.unionByName, parts).select("name", "cap", "refused")
+
+
 @query("SELECT c_custkey, c_name FROM customer")
 def refusing_cap(spark, folder):
     """A table within its cap passes whole; a larger one is refused (see the tests)."""
