@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.digests import derived_id, row_text, typed_text
 from ..functions.rules import first_failure
+from ..session import staged
+from .ordering import sequential_position
 
 _LIMBS = 4
 _LIMB_DIGITS = 15
@@ -358,3 +360,63 @@ def priority_gaps(routes: DataFrame) -> DataFrame:
     )
     ok = (F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("d") == F.col("n"))
     return shape.where(~ok).select("owner", "n")
+
+
+#: Rows, or digests, under one node of a digest tree.
+FAN = 1024
+
+
+def ordered_problems(document: DataFrame, place: str, key: Sequence[str]) -> DataFrame:
+    """Rows (place, problem) that keep a document from being complete and in strict order.
+
+    ``place`` numbers its rows 1, 2, ...; ``key`` must rise from row to row.  Rows
+    are compared within blocks of ``FAN`` places, and the last row of a block
+    with the first of the next one, so every row is shuffled once and no task
+    holds more than a block.  Problems: ``PLACE_REPEATED``, ``PLACE_MISSING`` (the
+    row before a gap is named), ``KEY_REPEATED``, ``KEY_REVERSED``; a missing first
+    place is named at place 0.  Null keys come first.
+    """
+    at, own = F.col("place"), F.struct(*[F.col(k) for k in key])
+    counted = document.select(F.col(place).cast("long").alias("place"), own.alias("key")).groupBy("place").agg(
+        F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")
+    )
+    rows = counted.withColumn("block", F.floor((at - 1) / FAN))
+    order = Window.partitionBy("block").orderBy("place")
+    within = rows.select("*", F.lead("place").over(order).alias("next_place"), F.lead("low").over(order).alias("next_low"), F.row_number().over(order).alias("i"))
+    inner = staged(within)
+    # The first row of the next block that has rows follows the last one of a block.
+    heads = inner.where("i = 1").select("block", F.col("place").alias("head"), F.col("low").alias("head_low"))
+    numbered = staged(sequential_position(heads, [], [F.col("block")], "no"))
+    onward = numbered.select((F.col("no") - 1).alias("no"), "head", "head_low")
+    following = numbered.select("block", "no").join(onward, "no", "left").drop("no")
+    last = F.col("next_place").isNull()
+    joined = inner.join(following, "block").select(
+        "place", "n", "high", F.when(last, F.col("head")).otherwise(F.col("next_place")).alias("then"),
+        F.when(last, F.col("head_low")).otherwise(F.col("next_low")).alias("then_low"),
+    )
+    followed = F.col("then").isNotNull()
+    problems = F.array_compact(
+        F.array(
+            F.when(F.col("n") > 1, "PLACE_REPEATED"), F.when(followed & (F.col("then") > at + 1), "PLACE_MISSING"),
+            F.when(followed & (F.col("high") == F.col("then_low")), "KEY_REPEATED"), F.when(followed & (F.col("high") > F.col("then_low")), "KEY_REVERSED"),
+        )
+    )
+    start = inner.agg(F.min("place").alias("first")).where("first <> 1").select(F.lit(0).cast("long").alias("place"), F.lit("PLACE_MISSING").alias("problem"))
+    return joined.select("place", F.explode(problems).alias("problem")).unionByName(start)
+
+
+def ordered_digest(document: DataFrame, place: str, text: Column) -> DataFrame:
+    """(rows, levels, digest): a digest of the rows' texts in their order, as a tree.
+
+    Each node is the digest of up to ``FAN`` digests below it, so no task joins
+    more than that, and a document that was digested before can be compared node by node.
+    """
+    level = staged(document.select((F.col(place).cast("long") - 1).alias("at"), F.sha2(text, 256).alias("digest")))
+    rows, levels = level.count(), 0
+    while True:
+        nodes = level.groupBy(F.floor(F.col("at") / FAN).alias("node")).agg(F.array_sort(F.collect_list(F.struct("at", "digest"))).alias("parts"))
+        level = staged(nodes.select(F.col("node").alias("at"), F.sha2(F.array_join("parts.digest", ""), 256).alias("digest")))
+        levels += 1
+        if level.count() <= 1:
+            break
+    return level.select(F.lit(rows).cast("long").alias("rows"), F.lit(levels).cast("long").alias("levels"), "digest")

@@ -502,3 +502,35 @@ def binary_artifacts(spark, folder):
     # The writer ends every file with its line separator, one byte.
     body = F.expr("substring(content, 1, length(content) - 1)")
     return files.select(F.sha2(body, 256).alias("content_hash"), (F.col("length") - 1).alias("length"))
+
+
+_PLACED = """p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 997 = 0 THEN o_orderkey + 1 WHEN o_orderkey % 499 = 1 THEN o_orderkey + 2000000 ELSE o_orderkey END AS place, CASE WHEN o_orderkey % 1009 = 5 THEN o_orderkey - 1 WHEN o_orderkey % 1013 = 7 THEN o_orderkey - 3 ELSE o_orderkey END AS key FROM orders)"""
+
+
+@query(
+    f"""WITH {_PLACED}, g AS (SELECT place, min(key) AS low, max(key) AS high, count(*) AS n FROM p GROUP BY place),
+    w AS (SELECT *, lead(place) OVER (ORDER BY place) AS then_, lead(low) OVER (ORDER BY place) AS then_low FROM g)
+    SELECT place, 'PLACE_REPEATED' AS problem FROM w WHERE n > 1 UNION ALL SELECT place, 'PLACE_MISSING' FROM w WHERE then_ > place + 1
+    UNION ALL SELECT place, 'KEY_REPEATED' FROM w WHERE high = then_low UNION ALL SELECT place, 'KEY_REVERSED' FROM w WHERE high > then_low
+    UNION ALL SELECT 0, 'PLACE_MISSING' FROM (SELECT min(place) AS m FROM p) WHERE m <> 1"""
+)
+def ordered_problems(spark, folder):
+    """All orders as a document by key, with rows moved, dropped, repeated and swapped."""
+    key = F.col("o_orderkey")
+    place = F.when(key % 997 == 0, key + 1).when(key % 499 == 1, key + 2_000_000).otherwise(key)
+    own = F.when(key % 1009 == 5, key - 1).when(key % 1013 == 7, key - 3).otherwise(key)
+    return A.ordered_problems(D.table(spark, folder, "orders").select(place.alias("place"), own.alias("key")), "place", ["key"])
+
+
+@query(
+    """WITH l AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS p, sha256(o_orderkey || '|' || o_orderstatus || '|' || CAST(o_totalprice AS DECIMAL(18,2))) AS d FROM orders),
+    a AS (SELECT p // 1024 AS p, sha256(string_agg(d, '' ORDER BY p)) AS d FROM (SELECT p, d FROM l) GROUP BY p // 1024),
+    b AS (SELECT p // 1024 AS p, sha256(string_agg(d, '' ORDER BY p)) AS d FROM (SELECT p, d FROM a) GROUP BY p // 1024)
+    SELECT (SELECT count(*) FROM l) AS rows, CAST(CASE WHEN (SELECT count(*) FROM a) > 1 THEN 2 ELSE 1 END AS BIGINT) AS levels,
+      CASE WHEN (SELECT count(*) FROM a) > 1 THEN (SELECT min(d) FROM b) ELSE (SELECT min(d) FROM a) END AS digest"""
+)
+def ordered_digest(spark, folder):
+    """Digest of all orders in the order of their keys, as a tree of two levels."""
+    rows = D.table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"))
+    placed = sequential_position(rows, [], [F.col("o_orderkey")], "place")
+    return A.ordered_digest(placed, "place", F.concat_ws("|", "o_orderkey", "o_orderstatus", "price"))
