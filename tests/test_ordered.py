@@ -58,3 +58,10 @@ def test_digest_sees_every_change(spark, monkeypatch):
     assert whole[:2] == (100, 3) and digest(rows, 11) == whole
     others = [rows[:-1], rows + [(101, "row 101")], [(p, "row 3" if p == 4 else "row 4" if p == 3 else t) for p, t in rows], [(p, t + " " * (p == 50)) for p, t in rows]]
     assert len({digest(o)[2] for o in others} | {whole[2]}) == 5
+
+
+def test_referenced_key_without_digest_is_no_orphan(spark, rows):
+    listed = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (5, None)], "key long, digest string")
+    referenced = spark.createDataFrame([(1, "a"), (2, "x"), (4, None), (5, "e"), (6, "f")], "key long, digest string")
+    got = rows(A.reconcile_references(listed, referenced))
+    assert got == [(1, "present"), (2, "substituted"), (3, "orphan"), (4, "missing"), (5, "present"), (6, "missing")]
