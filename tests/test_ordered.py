@@ -65,3 +65,18 @@ def test_referenced_key_without_digest_is_no_orphan(spark, rows):
     referenced = spark.createDataFrame([(1, "a"), (2, "x"), (4, None), (5, "e"), (6, "f")], "key long, digest string")
     got = rows(A.reconcile_references(listed, referenced))
     assert got == [(1, "present"), (2, "substituted"), (3, "orphan"), (4, "missing"), (5, "present"), (6, "missing")]
+
+
+def test_query_stops_at_two_levels_as_its_sql(spark, monkeypatch, tmp_path):
+    import hashlib
+
+    from scorelattice.plans import audits
+
+    monkeypatch.setattr(A, "FAN", 4)
+    for n, levels in ((3, 1), (16, 2), (100, 2)):
+        orders = spark.range(n).selectExpr("id AS o_orderkey", "'O' AS o_orderstatus", "id + 0.5D AS o_totalprice")
+        orders.write.parquet(f"{tmp_path}/{n}/orders.parquet")
+        nodes = [hashlib.sha256(f"{i}|O|{i}.50".encode()).hexdigest() for i in range(n)]
+        for _ in range(levels):
+            nodes = [hashlib.sha256("".join(nodes[i : i + 4]).encode()).hexdigest() for i in range(0, len(nodes), 4)]
+        assert tuple(audits.ordered_digest(spark, f"{tmp_path}/{n}").first()) == (n, levels, min(nodes))
