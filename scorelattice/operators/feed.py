@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -96,14 +97,15 @@ def claim_context(
 
     Claim-keyed sides (validations, reviews, publications, identities) are
     aggregated per claim before joining, so those joins share one partitioning
-    by claim; registries are joined by their own ids and Spark broadcasts those
-    it measures as small.
+    by claim.  They and the snapshots grow with the claims and are merged, as their
+    compressed files look small enough to broadcast; registries are joined by their
+    own ids and Spark broadcasts those it measures as small.
     """
     per_claim = validations.groupBy("claim_id").agg(
         F.count(F.lit(1)).alias("validations"), F.count_if(F.col("outcome") != "pass").alias("not_passed")
     )
     review = review_leaves.join(
-        reviews.select(F.col("id").alias("leaf_id"), F.col("outcome").alias("review_outcome")), "leaf_id", "left"
+        reviews.select(F.col("id").alias("leaf_id"), F.col("outcome").alias("review_outcome")).hint("merge"), "leaf_id", "left"
     ).select(
         F.col("entity").alias("claim_id"), F.col("leaf_id").alias("review_id"), "review_outcome",
         F.col("chain_error").alias("review_error"),
@@ -112,7 +114,7 @@ def claim_context(
         publications.select(
             F.col("id").alias("leaf_id"), F.col("outcome").alias("publication_outcome"),
             F.col("review_id").alias("published_review_id"),
-        ),
+        ).hint("merge"),
         "leaf_id",
         "left",
     ).select(
@@ -121,10 +123,10 @@ def claim_context(
     )
     ident = identities.select("claim_id", *CELL)
     keyed = (
-        claims.join(per_claim, "claim_id", "left")
-        .join(review, "claim_id", "left")
-        .join(publication, "claim_id", "left")
-        .join(ident, "claim_id", "left")
+        claims.join(per_claim.hint("merge"), "claim_id", "left")
+        .join(review.hint("merge"), "claim_id", "left")
+        .join(publication.hint("merge"), "claim_id", "left")
+        .join(ident.hint("merge"), "claim_id", "left")
     )
     known_model = models.select("model_id", F.lit(True).alias("model_known")).distinct()
     known_benchmark = benchmarks.select("benchmark_id", F.lit(True).alias("benchmark_known")).distinct()
@@ -145,7 +147,7 @@ def claim_context(
         F.col("chain_error").alias("source_chain_error"),
     )
     return (
-        keyed.join(snap, "snapshot_id", "left")
+        keyed.join(snap.hint("merge"), "snapshot_id", "left")
         .join(rev, "snapshot_revision_id", "left")
         .join(leaf, "snapshot_revision_id", "left")
         .join(dec, "decision_id", "left")
@@ -173,7 +175,7 @@ def cell_conflicts(eligible: DataFrame) -> DataFrame:
 def _cell_counts(eligible: DataFrame) -> DataFrame:
     marked = eligible.withColumn("_cell", F.to_json(F.struct(*CELL), {"ignoreNullFields": "false"}))
     counts = marked.groupBy("_cell").agg(F.count(F.lit(1)).alias("claims_in_cell"))
-    return marked.join(counts, "_cell").drop("_cell")
+    return marked.join(counts.hint("merge"), "_cell").drop("_cell")
 
 
 def dispositions(judged: DataFrame) -> DataFrame:
@@ -226,30 +228,49 @@ def referenced(registry: DataFrame, scores: DataFrame, key: str) -> DataFrame:
 def feed_issues(
     scores: DataFrame, models: DataFrame, benchmarks: DataFrame, manifest: DataFrame, excluded: DataFrame
 ) -> DataFrame:
-    """Broken rules of an assembled feed, with how many rows break each."""
-    def count(df: DataFrame, code: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(code).alias("code"), "n")
-
-    def repeated(df: DataFrame, *keys: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-    checks = [
-        count(repeated(models, "model_id"), "MODEL_ID_REPEATED"),
-        count(repeated(benchmarks, "benchmark_id"), "BENCHMARK_ID_REPEATED"),
-        count(scores.join(models, "model_id", "left_anti"), "SCORE_MODEL_MISSING"),
-        count(scores.join(benchmarks, "benchmark_id", "left_anti"), "SCORE_BENCHMARK_MISSING"),
-        count(models.join(scores, "model_id", "left_anti"), "MODEL_UNREFERENCED"),
-        count(benchmarks.join(scores, "benchmark_id", "left_anti"), "BENCHMARK_UNREFERENCED"),
-        count(scores.join(manifest, ["source_id", "snapshot_id"], "left_anti"), "SCORE_PROVENANCE_MISSING"),
-        count(manifest.join(scores, ["source_id", "snapshot_id"], "left_anti"), "MANIFEST_UNREFERENCED"),
-        count(repeated(scores, "claim_id"), "CLAIM_REPEATED"),
-        count(repeated(scores, "model_id", "benchmark_id"), "PAIR_REPEATED"),
-        count(scores.join(excluded, "claim_id", "left_semi"), "CLAIM_SELECTED_AND_EXCLUDED"),
+    """Broken rules of an assembled feed, with how many rows break each.
+
+    Both sides of a rule are counted by key and their counts meet in one aggregate,
+    so no side is sized, collected or broadcast.  A key with an absent part has no
+    counterpart.
+    """
+    def met(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+        """``l`` and ``r``, the rows with a key on either side, and whether the key is ``whole``."""
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        both = left.select(*keys, one.alias("l"), none.alias("r")).unionByName(right.select(*keys, none.alias("l"), one.alias("r")))
+        whole = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True))
+        return both.groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r")).withColumn("whole", whole)
+
+    def counts(groups: DataFrame, codes: Mapping[str, Column]) -> DataFrame:
+        row = groups.agg(*[F.coalesce(n, F.lit(0)).cast("long").alias(code) for code, n in codes.items()])
+        pairs = F.array(*[F.struct(F.lit(code).alias("code"), F.col(code).alias("n")) for code in codes])
+        return row.select(F.inline(pairs))
+
+    l, r = F.col("l"), F.col("r")
+    only_l = F.sum(F.when((r == 0) | ~F.col("whole"), l))
+    only_r = F.sum(F.when((l == 0) | ~F.col("whole"), r))
+    parts = [
+        counts(
+            met(scores, models, "model_id"),
+            {"MODEL_ID_REPEATED": F.count_if(r > 1), "SCORE_MODEL_MISSING": only_l, "MODEL_UNREFERENCED": only_r},
+        ),
+        counts(
+            met(scores, benchmarks, "benchmark_id"),
+            {"BENCHMARK_ID_REPEATED": F.count_if(r > 1), "SCORE_BENCHMARK_MISSING": only_l, "BENCHMARK_UNREFERENCED": only_r},
+        ),
+        counts(
+            met(scores, manifest, "source_id", "snapshot_id"),
+            {"SCORE_PROVENANCE_MISSING": only_l, "MANIFEST_UNREFERENCED": only_r},
+        ),
+        counts(
+            met(scores, excluded, "claim_id"),
+            {"CLAIM_REPEATED": F.count_if(l > 1), "CLAIM_SELECTED_AND_EXCLUDED": F.sum(F.when((r > 0) & F.col("whole"), l))},
+        ),
+        counts(
+            scores.groupBy("model_id", "benchmark_id").agg(F.count(F.lit(1)).alias("l")), {"PAIR_REPEATED": F.count_if(l > 1)}
+        ),
     ]
-    out = checks[0]
-    for df in checks[1:]:
-        out = out.unionByName(df)
-    return out
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def release_mismatches(candidates: DataFrame, stored: DataFrame, fields: Sequence[str]) -> DataFrame:

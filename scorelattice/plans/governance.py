@@ -378,7 +378,7 @@ def feed_projection(spark, folder):
 )
 def feed_validation(spark, folder):
     judged = judged_claims(spark, folder)
-    scores = E.without_conflicts(judged.where("reason is null"))
+    scores = staged(E.without_conflicts(judged.where("reason is null")))
     b = D.table(spark, folder, "orders").select(F.col("o_orderpriority").alias("benchmark_id")).distinct()
     manifest = D.table(spark, folder, "customer").select(
         F.col("c_nationkey").alias("source_id"), F.col("c_custkey").alias("snapshot_id")
