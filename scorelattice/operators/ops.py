@@ -148,16 +148,29 @@ def cycle_jobs(plan: DataFrame, environment: str, lane: str, anchor: int, slot_s
     )
 
 
+#: Jobs that one task tells apart.
+JOBS_PER_TASK = 500_000
+
+
 def cycle_sentinels(jobs: DataFrame) -> DataFrame:
-    """Job count and order-free digest of every cycle, with repeated jobs counted."""
-    per_job = jobs.groupBy("cycle_id", "job_id").agg(F.count(F.lit(1)).alias("n"))
+    """Job count and order-free digest of every cycle, with repeated jobs counted.
+
+    Jobs are told apart in parts of about ``JOBS_PER_TASK``, however many there are.
+    """
+    ids = jobs.select("cycle_id", "job_id")
+    parts = 1 + jobs.count() // JOBS_PER_TASK
+    per_job = ids.repartition(parts, "cycle_id", "job_id").groupBy("cycle_id", "job_id").agg(F.count(F.lit(1)).alias("n"))
     repeats = per_job.groupBy("cycle_id").agg(F.sum(F.col("n") - 1).alias("repeated_jobs"))
-    return multiset_digest(jobs, ["cycle_id"], F.col("job_id"), "job_count", "job_digest").join(repeats, "cycle_id")
+    return _cycle_digests(jobs).join(repeats, "cycle_id")
+
+
+def _cycle_digests(jobs: DataFrame) -> DataFrame:
+    return multiset_digest(jobs, ["cycle_id"], F.col("job_id"), "job_count", "job_digest")
 
 
 def replay_differences(jobs: DataFrame, stored: DataFrame) -> DataFrame:
     """Cycles whose recomputed sentinel is not the stored one."""
-    own = cycle_sentinels(jobs).select("cycle_id", "job_count", "job_digest")
+    own = _cycle_digests(jobs)
     kept = stored.select("cycle_id", F.col("job_count").alias("s_count"), F.col("job_digest").alias("s_digest"))
     same = F.col("job_count").eqNullSafe(F.col("s_count")) & F.col("job_digest").eqNullSafe(F.col("s_digest"))
     return own.join(kept, "cycle_id", "full").where(~same)

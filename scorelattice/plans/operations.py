@@ -22,7 +22,7 @@ plan AS (SELECT target_id, slot, CASE WHEN status IN ('draft', 'paused', 'blocke
 
 
 def targets(spark, folder):
-    c = D.table(spark, folder, "customer")
+    c = D.spread_table(spark, folder, "customer")
     seg, n = F.col("c_mktsegment"), F.col("c_nationkey")
     status = F.when(n == 0, "draft").when(n == 1, "paused").when(n == 2, "blocked_terms").when(
         n == 3, "blocked_permission").when(n == 4, "retired").otherwise("configured")
