@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.digests import canonical_json
 from ..functions.lexemes import real_lexeme
 from ..functions.text import is_json
-from .csvblocks import csv_records
+from .csvblocks import csv_records, csv_split
 
 
 def lexeme(df: DataFrame, name: str) -> Column:
@@ -53,12 +53,16 @@ def numbered_records(spark: SparkSession, path: str, names: Sequence[str]) -> Da
     Files are read in blocks, side by side, whether or not quoted fields span
     lines.  Empty cells are empty text; blank lines are no records.
     """
+    return _fields(csv_records(spark, path), names)
+
+
+def _fields(records: DataFrame, names: Sequence[str]) -> DataFrame:
     schema = ", ".join(f"`{n}` string" for n in (*names, "bad"))
     options = {
         "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\x00", "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": "bad", "maxCharsPerColumn": "-1",
     }
-    read = csv_records(spark, path).select("file_path", "record_no", F.from_csv("record", schema, options).alias("r"))
+    read = records.select("file_path", "record_no", F.from_csv("record", schema, options).alias("r"))
     bad = F.col("r.bad")
     # The reader gives null for an empty cell; in a record of the right width no cell is missing.
     cells = [F.when(bad.isNull(), F.coalesce(F.col(f"r.{n}"), F.lit(""))).otherwise(F.col(f"r.{n}")).alias(n) for n in names]
@@ -78,11 +82,12 @@ def csv_cells(
     if set(required) - set(columns):
         raise ValueError(f"required columns missing: {sorted(set(required) - set(columns))}")
     names = [f"c{i}" for i in range(len(columns))]
-    rows = numbered_records(spark, path, names)
+    few, others = csv_split(spark, path)
+    rows = _fields(others.unionByName(few), names)
     header_ok = F.col("bad").isNull() & (
         F.struct(*names) == F.struct(*[F.lit(c).alias(n) for c, n in zip(columns, names)])
     )
-    wrong = rows.where((F.col("record_no") == 0) & ~F.coalesce(header_ok, F.lit(False))).agg(
+    wrong = _fields(few, names).where((F.col("record_no") == 0) & ~F.coalesce(header_ok, F.lit(False))).agg(
         F.count(F.lit(1)).alias("n")
     ).scalar()
     refuse = F.raise_error("unexpected CSV header").cast("boolean")

@@ -200,3 +200,19 @@ def test_csv_records_do_not_depend_on_blocks(spark, tmp_path, blocks):
     for name in ("unix", "dos"):
         got = sorted((r["record_no"], r["a"], r["b"], r["bad"]) for r in out if r["file_path"].endswith(f"{name}.csv"))
         assert got == [(i, a, b, None) for i, (a, b) in enumerate(rows)]
+
+
+def test_csv_records_of_several_lines_are_not_gathered(spark, tmp_path):
+    from scorelattice.sources.csvblocks import csv_split
+
+    (tmp_path / "x.csv").write_text("a,b\n" + "".join(f'{i},"first\nsecond"\n' for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        few, others = csv_split(spark, str(tmp_path))
+        assert "Exchange hashpartitioning" not in others._jdf.queryExecution().executedPlan().toString()
+        assert 1 <= few.count() <= 8
+        got = {r["record_no"]: r["record"] for r in others.unionByName(few).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {0: "a,b", **{i + 1: f'{i},"first\nsecond"' for i in range(5000)}}
