@@ -6,10 +6,13 @@ turning cells into claims is column work on the arrays that come out.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import fold_header
@@ -91,21 +94,72 @@ def _feed(parser: HTMLParser, html: str | None):
     return parser
 
 
+# Tags whose content is markup like any other.
+_PLAIN = frozenset(
+    "td tr th table thead tbody tfoot caption html head body main section article div span p br hr a b i u em strong small "
+    "sub sup code h1 h2 h3 h4 h5 h6 ul ol li".split()
+)
+# A tag in its plainest spelling, or the text up to the next tag.
+_TOKEN = re.compile(
+    r'<(?:([a-z][a-z0-9]*)(?:[ \t\n\r\f]+[a-z][a-z-]*(?:="[^"<>]*")?)*|/([a-z][a-z0-9]*))>|([^<]+)', re.IGNORECASE | re.ASCII
+)
+
+
+def _tables_of(html: str | None) -> list[list[list[str]]]:
+    """The tables of a page; markup that is not of the plainest goes to the full parser.
+
+    Does what the handlers of ``_Tables`` do, without their calls.
+    """
+    html = html or ""
+    done, outer, rows, taking, end = [], [], None, False, 0
+    for token in _TOKEN.finditer(html):
+        if token.start() != end:
+            break
+        opened, closed, text = token.groups()
+        if text is not None:
+            if taking:
+                rows[-1][-1] += unescape(text) if "&" in text else text
+        elif opened is not None:
+            tag = opened.lower()
+            if tag not in _PLAIN:
+                break
+            if tag == "table":
+                outer.append((rows, taking))
+                rows, taking = [], False
+                done.append(rows)
+            elif rows is not None:
+                if tag == "tr":
+                    rows.append([])
+                    taking = False
+                elif rows and tag in ("td", "th"):
+                    rows[-1].append("")
+                    taking = True
+        else:
+            tag = closed.lower()
+            if tag not in _PLAIN:
+                break
+            if tag == "table":
+                if outer:
+                    rows, taking = outer.pop()
+            elif tag in ("td", "th", "tr"):
+                taking = False
+        end = token.end()
+    return done if end == len(html) else _feed(_Tables(), html).done
+
+
 def page_tables(pages: DataFrame, page_id: str, html: str) -> DataFrame:
     """``(page id, tables)`` with tables as rows of cell texts."""
     key = pages.select(page_id).schema[0]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cells = pa.list_(pa.list_(pa.list_(pa.string())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame(
-                {
-                    page_id: batch[page_id],
-                    "tables": [_feed(_Tables(), h).done for h in batch[html]],
-                }
-            )
+            tables = pa.array([_tables_of(h) for h in batch.column(1).to_pylist()], type=cells)
+            yield pa.RecordBatch.from_arrays([batch.column(0), tables], names=[page_id, "tables"])
 
     schema = f"{page_id} {key.dataType.simpleString()}, tables array<array<array<string>>>"
-    return pages.select(page_id, html).mapInPandas(run, schema)
+    return pages.select(page_id, html).mapInArrow(run, schema)
 
 
 def page_scripts(pages: DataFrame, page_id: str, html: str) -> DataFrame:
@@ -186,13 +240,17 @@ def table_claims(
         return F.transform(F.coalesce(F.get(t, F.lit(0)), F.array().cast("array<string>")), _header_key)
 
     def has_both(t: Column) -> Column:
-        return F.array_contains(headers(t), wanted[0]) & F.array_contains(headers(t), wanted[1])
+        # An array of one, so that its header is folded once for both names.
+        return F.exists(F.array(headers(t)), lambda h: F.array_contains(h, wanted[0]) & F.array_contains(h, wanted[1]))
 
     def table_text(t: Column) -> Column:
         return _header_key(F.array_join(F.flatten(t), " "))
 
     indexed = F.transform(F.col("tables"), lambda t, i: F.struct(i.alias("i"), t.alias("t")))
-    asked = F.filter(indexed, lambda x: (x["i"] == table_index) & has_both(x["t"]))
+    # Only the table asked for is looked at here, so that its header is read once.
+    at = F.lit(table_index)
+    own = F.get(F.col("tables"), at)
+    asked = F.array(F.when((at < F.size("tables")) & has_both(own), F.struct(at.cast("int").alias("i"), own.alias("t"))))
     hinted = (
         F.filter(indexed, lambda x: F.contains(table_text(x["t"]), _header_key(F.lit(table_hint))))
         if table_hint

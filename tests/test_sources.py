@@ -216,3 +216,28 @@ def test_csv_records_of_several_lines_are_not_gathered(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {0: "a,b", **{i + 1: f'{i},"first\nsecond"' for i in range(5000)}}
+
+
+def test_plain_pages_are_read_as_the_full_parser_reads_them(monkeypatch):
+    import random
+
+    from scorelattice.sources import html as H
+
+    rng = random.Random(5)
+    plain = [
+        "<table>", "</table>", "<tr>", "</TR>", "<td>", "</td>", '<th class="a b" scope="row">', "</th>", "<b>", "</b>", "<Div hidden>", "a &lt; b",
+        "&nbsp;", "&amp", "x&", "\n  y", "\u200b1", "<br>", "&#x41;", "> \"q\" '",
+    ]
+    odd = [
+        "<!-- <td> -->", "<script>'<td>'</script>", "<td", "<", "</ td>", "<td/>", "<br/>", "<td a='>'>", "</td x>", "<title><td></title>",
+        "<tab\u017fe>", "<tdx>", "<![CDATA[x]]>", "<td a=b>", "<?php <td> ?>", "<style><td></style>", "<textarea><tr>",
+    ]
+    full = lambda text: H._feed(H._Tables(), text).done
+    for share in (0, 0.03, 0.3):
+        for _ in range(3000):
+            text = "".join(rng.choice(odd if rng.random() < share else plain) for _ in range(rng.randint(0, 30)))
+            assert H._tables_of(text) == full(text), text
+    assert H._tables_of(None) == H._tables_of("") == []
+    # Plain markup needs no full parser.
+    monkeypatch.setattr(H, "_feed", None)
+    assert H._tables_of('<table><tr><td id="x">1 &lt; 2</td></tr></table> end') == [[["1 < 2"]]]
