@@ -31,3 +31,21 @@ def test_jobs_are_planned_and_told_apart_in_parts(spark, monkeypatch, rows):
     assert sorted((r[0], r[1], r[3]) for r in whole) == [("c", 3, 1), ("d", 1, 0)]
     monkeypatch.setattr(O, "JOBS_PER_TASK", 2)
     assert rows(O.cycle_sentinels(jobs)) == whole
+
+
+def test_rowset_digests_add_up_whole_numbers(spark):
+    """No row is turned into a decimal, and the sums are those of any exact arithmetic."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+    from scorelattice.operators.audit import multiset_digest
+
+    rows = spark.range(0, 3000, 1, 5).select((F.col("id") % 2).alias("g"), F.col("id").cast("string").alias("line"))
+    out = multiset_digest(rows, ["g"], F.col("line"))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "partial_sum" in plan and all("decimal" not in line for line in plan.splitlines() if "partial_sum" in line)
+    for row in out.collect():
+        hashed = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(row["g"], 3000, 2)]
+        sums = [sum(int(h[15 * i : 15 * i + 15], 16) for h in hashed) for i in range(4)]
+        assert row["digest"] == hashlib.sha256(":".join(map(str, [1500, *sums])).encode()).hexdigest()
+    assert multiset_digest(rows.where("g > 5"), [], F.col("line")).first()["digest"] == hashlib.sha256(b"0:0:0:0:0").hexdigest()
