@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsonpath
-from ..functions.lexemes import exact_records, fixed_text, score_field, spelled_numbers, text_field
+from ..functions.lexemes import exact_records, fixed_text, score_field, text_field, with_spelled_numbers
 from ..functions.text import loose_number, strict_number_error
 from ..session import dimension_join
 
@@ -30,7 +30,9 @@ def json_claims(snapshots: DataFrame, config: DataFrame) -> DataFrame:
     ``config`` has one row per source: ``collection_path`` and the field names
     ``model_field``, ``score_field``, ``metric_field``, ``rank_field``.
     """
-    listed = dimension_join(snapshots, config, "source_id").select(
+    # Paths are taken apart once a source, not once a snapshot.
+    located = config.withColumn("_steps", jsonpath.steps(F.col("collection_path")))
+    listed = dimension_join(snapshots, located, "source_id").select(
         "source_id",
         "snapshot_id",
         "collection_path",
@@ -38,7 +40,7 @@ def json_claims(snapshots: DataFrame, config: DataFrame) -> DataFrame:
         "score_field",
         "metric_field",
         "rank_field",
-        exact_records("content", jsonpath.steps(F.col("collection_path"))).alias("records"),
+        exact_records("content", F.col("_steps")).alias("records"),
     )
     records = listed.select("*", F.posexplode("records").alias("i", "r")).drop("records")
     return records.select(
@@ -100,7 +102,7 @@ def run_claims(documents: DataFrame) -> DataFrame:
     is an object.  Both are read in one pass and merged with ``coalesce``.  Scores
     keep the spelling of the source (1.2300, 1e16).
     """
-    exact = documents.select("snapshot_id", spelled_numbers("content").alias("content"))
+    exact = with_spelled_numbers(documents.select("snapshot_id", "content"), "content")
     grouped_schema = (
         "struct<groups: array<struct<runs: array<struct<run_name: string, model: string, "
         "metrics: array<struct<name: string, split: string, mean: string, value: string>>>>>>>"
@@ -141,8 +143,8 @@ def run_claims(documents: DataFrame) -> DataFrame:
     # so the document's first character picks the shape.
     runs = F.when(F.ltrim("content").startswith("["), listed).otherwise(grouped)
     metrics = (
-        exact.select("snapshot_id", F.explode(runs).alias("run"))
-        .select("snapshot_id", "run.model_raw", F.explode("run.metrics").alias("m"))
+        exact.select("snapshot_id", F.explode_outer(runs).alias("run"))
+        .select("snapshot_id", "run.model_raw", F.explode_outer("run.metrics").alias("m"))
         .select("snapshot_id", "model_raw", "m.*")
     )
     return metrics.where(
