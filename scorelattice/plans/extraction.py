@@ -436,17 +436,13 @@ def reread_validation(spark, folder):
     snapshots = _json_snapshots(spark, folder)
     records = X.json_claims(snapshots, _config(spark)).dropDuplicates(["snapshot_id", "record_path"])
     li = D.spread_table(spark, folder, "lineitem")
-    model = F.concat(F.lit("supplier "), "l_suppkey").alias("model_raw")
-    first = li.select(
-        _line_id().alias("snapshot_id"), F.lit("$.results[0]").alias("record_path"), model,
-        F.when(F.col("l_tax") == 0.08, F.col("l_discount").cast("string"))
-        .otherwise(_money("l_discount", 4)).alias("score_raw"),
+    discount = F.when(F.col("l_tax") == 0.08, F.col("l_discount").cast("string")).otherwise(_money("l_discount", 4))
+    scores = {"$.results[0]": discount, "$.results[1]": _money("l_extendedprice")}
+    claims = li.select(
+        _line_id().alias("snapshot_id"), F.concat(F.lit("supplier "), "l_suppkey").alias("model_raw"),
+        F.inline(F.array(*[F.struct(F.lit(path).alias("record_path"), score.alias("score_raw")) for path, score in scores.items()])),
     )
-    second = li.select(
-        _line_id().alias("snapshot_id"), F.lit("$.results[1]").alias("record_path"), model,
-        _money("l_extendedprice").alias("score_raw"),
-    )
-    checked = X.reread_outcomes(first.unionByName(second), records, ["snapshot_id", "record_path"])
+    checked = X.reread_outcomes(claims, records, ["snapshot_id", "record_path"])
     return checked.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
