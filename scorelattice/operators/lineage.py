@@ -67,34 +67,33 @@ def chain_depths(rows: DataFrame) -> DataFrame:
     round is stored, so a lost executor repeats one round at most.  Rows that
     repeat an id are one row, with the least parent they name.
     """
-    state = staged(
-        rows.groupBy("id").agg(F.min("parent").alias("parent")).select(
-            "id",
-            F.coalesce("parent", "id").alias("anc"),
-            F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("dist"),
-            F.col("parent").isNull().alias("done"),
-        )
+    state = rows.groupBy("id").agg(F.min("parent").alias("parent")).select(
+        "id",
+        F.coalesce("parent", "id").alias("anc"),
+        F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("dist"),
+        F.col("parent").isNull().alias("done"),
+    )
+    # The first round reads the grouping by id as it comes, so nothing is sent by id again.
+    known, before = staged(_doubled(state, state).unionByName(state.where("done"))), None
+    finished = known.where("done").select("id", "anc", "dist")
+    left = known.where("not done").count()
+    while left and left != before:
+        # Only new rows are written: those that finished stay where they are.
+        step = known.where("not done").select("id", "anc", "dist", "done").unionByName(finished.withColumn("done", F.lit(True)))
+        known = staged(_doubled(known, step))
+        finished = finished.unionByName(known.where("done").select("id", "anc", "dist"))
+        before, left = left, known.where("not done").count()
+    return finished.select("id", F.col("anc").alias("root"), F.col("dist").alias("depth"))
+
+
+def _doubled(state: DataFrame, step: DataFrame) -> DataFrame:
+    """Open rows of ``state`` with the ancestor of their ancestor in ``step``."""
+    onward = step.select(
+        F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("done").alias("done2")
+    )
+    return state.where("not done").join(onward, "anc").select(
+        "id", F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done")
     )
-    open_rows = state.where("not done").count()
-    while open_rows:
-        step = state.select(
-            F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"),
-            F.col("done").alias("done2"),
-        )
-        moved = (
-            state.where("not done")
-            .join(step, "anc")
-            .select(
-                "id", F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"),
-                F.col("done2").alias("done"),
-            )
-        )
-        state = staged(state.where("done").unionByName(moved))
-        left = state.where("not done").count()
-        if left == open_rows:
-            break
-        open_rows = left
-    return state.where("done").select("id", F.col("anc").alias("root"), F.col("dist").alias("depth"))
 
 
 def project_sparse(decisions: DataFrame, depths: DataFrame, fields: Sequence[str]) -> DataFrame:

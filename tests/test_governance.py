@@ -224,3 +224,44 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     stored.clear()
     assert L.cyclic_edges(chain.unionByName(spark.createDataFrame([(10_000, 9_000)], "src long, dst long"))).count() == 10_001
     assert len(stored) < 25
+
+
+def test_chain_depths_write_each_row_once(spark, monkeypatch):
+    """Rows that reached a root are not stored again in later rounds."""
+    rows = spark.range(1, 65).selectExpr("id", "CASE WHEN id > 1 THEN id - 1 END AS parent").unionByName(
+        spark.createDataFrame([(101, 102), (102, 101), (103, 999), (104, 64), (104, 1)], "id long, parent long")
+    )
+    written = []
+    monkeypatch.setattr(L, "staged", lambda df, kept=L.staged: (lambda out: (written.append([r.id for r in out.where("done").collect()]), out)[1])(kept(df)))
+    got = {r.id: (r.root, r.depth) for r in L.chain_depths(rows).collect()}
+    assert got == {**{i: (1, i - 1) for i in range(1, 65)}, 104: (1, 1)}
+    assert sorted(i for ids in written for i in ids) == sorted(got)
+
+
+def test_the_verdict_on_sources_travels_alone(spark):
+    """Hashes and ids of sources are judged before the joins by claim."""
+    from scorelattice.operators import feed as E
+
+    def frame(schema, *rows):
+        return spark.createDataFrame(list(rows), schema)
+
+    h = "a" * 64
+    claims = frame(
+        "claim_id long, source_id long, snapshot_id long, decision_id long, benchmark_raw string, model_raw string, score_raw string, "
+        "capture_method string, score_numeric double, locator_type string, locator_ok boolean",
+        *[(i, 1, i, d, "b", "m", "1", "c", 1.0, "j", True) for i, d in ((1, 7), (2, 7), (3, 7), (4, None))],
+    )
+    leaf = "entity long, leaf_id long, chain_error string"
+    context = E.claim_context(
+        claims, frame("snapshot_id long, source_id long, revision_id long, content_hash string, captured_at double", (1, 1, 5, h, 1.0), (2, 1, 5, "", 1.0), (4, 1, 5, h, 1.0)),
+        frame("revision_id long, source_id long, definition_hash string", (5, 1, h)), frame("source_id long", (1,)),
+        frame("id long, entity long, outcome string, policy_complete boolean", (7, 5, "certified", True)), frame(leaf, (5, 7, None)),
+        frame("claim_id long, outcome string", *[(i, "pass") for i in range(1, 5)]),
+        frame("id long, outcome string", *[(10 + i, "validation_reviewed") for i in range(1, 5)]), frame(leaf, *[(i, 10 + i, None) for i in range(1, 5)]),
+        frame("id long, outcome string, review_id long", *[(20 + i, "approved", 10 + i) for i in range(1, 5)]), frame(leaf, *[(i, 20 + i, None) for i in range(1, 5)]),
+        frame("claim_id long, " + ", ".join(f"{c} string" for c in E.CELL), *[(i, "x", "y", "z", "s", "t", "v") for i in range(1, 5)]),
+        frame("model_id string", ("x",)), frame("benchmark_id string", ("y",)),
+    )
+    assert not {"content_hash", "definition_hash", "snapshot_revision_id"} & set(context.columns)
+    got = {r.claim_id: r.reason for r in E.eligibility(context).collect()}
+    assert got == {1: None, 2: "SNAPSHOT_HASH_INVALID", 3: "SOURCE_PROVENANCE_MISSING", 4: "SOURCE_DECISION_MISSING"}
