@@ -93,13 +93,14 @@ def claim_context(
     models: DataFrame,
     benchmarks: DataFrame,
 ) -> DataFrame:
-    """Claims with everything their eligibility looks at, one row each.
-
-    Claim-keyed sides (validations, reviews, publications, identities) are
-    aggregated per claim before joining, so those joins share one partitioning
-    by claim.  They and the snapshots grow with the claims and are merged, as their
-    compressed files look small enough to broadcast; registries are joined by their
-    own ids and Spark broadcasts those it measures as small.
+    """Claims with everything their display looks at and the verdict on their source, one row each.
+
+    Sources come first: their snapshots have keys of their own, and only the verdict
+    travels on to the claim-keyed sides (validations, reviews, publications,
+    identities), which share one partitioning by claim.  These and the snapshots grow
+    with the claims and are merged, as their compressed files look small enough to
+    broadcast; registries are joined by their own ids and Spark broadcasts those it
+    measures as small.
     """
     per_claim = validations.groupBy("claim_id").agg(
         F.count(F.lit(1)).alias("validations"), F.count_if(F.col("outcome") != "pass").alias("not_passed")
@@ -122,12 +123,6 @@ def claim_context(
         "publication_outcome", "published_review_id", F.col("chain_error").alias("publication_error"),
     )
     ident = identities.select("claim_id", *CELL)
-    keyed = (
-        claims.join(per_claim.hint("merge"), "claim_id", "left")
-        .join(review.hint("merge"), "claim_id", "left")
-        .join(publication.hint("merge"), "claim_id", "left")
-        .join(ident.hint("merge"), "claim_id", "left")
-    )
     known_model = models.select("model_id", F.lit(True).alias("model_known")).distinct()
     known_benchmark = benchmarks.select("benchmark_id", F.lit(True).alias("benchmark_known")).distinct()
     snap = snapshots.select(
@@ -146,12 +141,19 @@ def claim_context(
         F.col("entity").alias("snapshot_revision_id"), F.col("leaf_id").alias("source_leaf_id"),
         F.col("chain_error").alias("source_chain_error"),
     )
-    return (
-        keyed.join(snap.hint("merge"), "snapshot_id", "left")
+    sourced = (
+        claims.join(snap.hint("merge"), "snapshot_id", "left")
         .join(rev, "snapshot_revision_id", "left")
         .join(leaf, "snapshot_revision_id", "left")
         .join(dec, "decision_id", "left")
         .join(sources.select("source_id", F.col("source_id").alias("known_source_id")), "source_id", "left")
+    )
+    return (
+        sourced.select(*claims.columns, provenance_reason().alias("provenance"))
+        .join(per_claim.hint("merge"), "claim_id", "left")
+        .join(review.hint("merge"), "claim_id", "left")
+        .join(publication.hint("merge"), "claim_id", "left")
+        .join(ident.hint("merge"), "claim_id", "left")
         .join(known_model, "model_id", "left")
         .join(known_benchmark, "benchmark_id", "left")
         .withColumn("model_known", F.coalesce("model_known", F.lit(False)))
@@ -161,7 +163,7 @@ def claim_context(
 
 def eligibility(context: DataFrame) -> DataFrame:
     """``reason`` is null for claims fit to be shown."""
-    return context.withColumn("reason", F.coalesce(provenance_reason(), display_reason()))
+    return context.withColumn("reason", F.coalesce("provenance", display_reason()))
 
 
 def cell_conflicts(eligible: DataFrame) -> DataFrame:
