@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,8 +16,16 @@ def insert_if_new(incoming: DataFrame, existing: DataFrame, keys: Sequence[str])
 
     Which of several equal-keyed rows is kept does not matter to callers: the
     key is a content identity.  Counting per key first keeps a heavily repeated
-    key from piling up in one task.
+    key from piling up in one task.  Where rows are nothing but their key, both
+    sides meet in one aggregate instead, so neither is sorted for a join; a key with
+    an absent part equals no stored one.
     """
+    if set(incoming.columns) == set(keys):
+        whole = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True))
+        sides = incoming.select(*keys, F.lit(False).alias("_stored")).unionByName(
+            existing.select(*keys, F.lit(True).alias("_stored")).where(whole)
+        )
+        return sides.groupBy(*keys).agg(F.bool_or("_stored").alias("_stored")).where("NOT _stored").select(*incoming.columns)
     return incoming.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
 
 

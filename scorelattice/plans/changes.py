@@ -38,8 +38,8 @@ def snapshot_dedupe(spark, folder):
 def insert_if_new(spark, folder):
     """Claims keyed by supplier, part and flag; finished lines are in the store."""
     keys = ["l_suppkey", "l_partkey", "l_returnflag"]
-    li = D.table(spark, folder, "lineitem").select(*keys, "l_linestatus")
-    fresh = H.insert_if_new(li, li.where("l_linestatus = 'F'"), keys)
+    li = D.table(spark, folder, "lineitem")
+    fresh = H.insert_if_new(li.select(*keys), li.where("l_linestatus = 'F'"), keys)
     return fresh.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
 
 

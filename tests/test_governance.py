@@ -265,3 +265,11 @@ def test_the_verdict_on_sources_travels_alone(spark):
     assert not {"content_hash", "definition_hash", "snapshot_revision_id"} & set(context.columns)
     got = {r.claim_id: r.reason for r in E.eligibility(context).collect()}
     assert got == {1: None, 2: "SNAPSHOT_HASH_INVALID", 3: "SOURCE_PROVENANCE_MISSING", 4: "SOURCE_DECISION_MISSING"}
+
+
+def test_insert_if_new_of_bare_keys_needs_no_join(spark):
+    incoming = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, None), (3, None)], "s int, h string")
+    stored = spark.createDataFrame([("x", 2, "b"), ("y", 3, None), ("z", 9, "q")], "other string, s int, h string")
+    fresh = H.insert_if_new(incoming, stored, ["s", "h"])
+    assert sorted(map(tuple, fresh.collect()), key=repr) == [(1, "a"), (3, None)]
+    assert "Join" not in fresh._jdf.queryExecution().optimizedPlan().toString()
