@@ -145,19 +145,43 @@ def is_public_https_url(url: Column) -> Column:
     )
 
 
+def _cursor(body: Column) -> Column:
+    token = F.base64(F.encode(body, "UTF-8"))
+    for old, new in (("+", "-"), ("/", "_"), ("=", ""), ("\r\n", "")):
+        token = F.replace(token, F.lit(old), F.lit(new))
+    return F.concat(F.lit("v1."), token)
+
+
 def visible_cursor(created: Column, row_id: Column) -> Column:
     """Opaque page token: ``v1.`` and base64url of the canonical two-key object."""
-    body = F.to_json(F.struct(created.alias("created_at"), row_id.alias("id")))
-    token = F.translate(F.base64(F.encode(body, "UTF-8")), "+/", "-_")
-    return F.concat(F.lit("v1."), F.regexp_replace(token, r"[=\r\n]", ""))
+    return _cursor(F.to_json(F.struct(created.alias("created_at"), row_id.alias("id"))))
+
+
+#: A canonical object whose values need no escapes.
+_PLAIN_CURSOR = r'\A\{"created_at":"([ !#-\[\]-~]*+)","id":"([ !#-\[\]-~]*+)"\}\z'
 
 
 def cursor_fields(token: Column) -> Column:
-    """``struct(created_at, id)`` of a token, null unless it is in exact form."""
-    body = F.translate(F.regexp_extract(token, r"^v1\.([A-Za-z0-9_-]+)$", 1), "-_", "+/")
-    padded = F.rpad(body, (F.ceil(F.length(body) / 4) * 4).cast("int"), F.lit("="))
+    """``struct(created_at, id)`` of a token, null unless it is in exact form.
+
+    Every canonical object begins and ends alike, so no other text is parsed; one
+    whose values need no escapes is its own spelling.
+    """
+    urlsafe = F.regexp_extract(token, r"^v1\.([A-Za-z0-9_-]+)$", 1)
+    body = F.replace(F.replace(urlsafe, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
+    # One character over a multiple of four is never base64; Spark would throw and catch for each such row.
+    whole = F.when(F.length(body) % 4 != 1, body)
+    padded = F.rpad(whole, (F.ceil(F.length(whole) / 4) * 4).cast("int"), F.lit("="))
     raw = F.try_to_binary(padded, F.lit("base64")).cast("string")
-    parsed = F.from_json(raw, "created_at string, id string")
+    # Bound to a name, so that what is decoded once is not decoded for each mention.
+    return F.get(F.transform(F.array(raw), lambda r: _fields_of(r, token)), F.lit(0))
+
+
+def _fields_of(raw: Column, token: Column) -> Column:
+    values = [F.regexp_extract(raw, _PLAIN_CURSOR, i).alias(f) for i, f in enumerate(("created_at", "id"), 1)]
+    shaped = F.when(raw.startswith('{"created_at":"') & raw.endswith('"}'), raw)
+    parsed = F.from_json(shaped, "created_at string, id string")
     # Spelled with defaults, as a bare rebuilt struct would fold back to a null one.
     again = visible_cursor(*[F.coalesce(parsed[f], F.lit("")) for f in ("created_at", "id")])
-    return F.when(again == token, parsed)
+    plain = F.when(_cursor(raw) == token, F.struct(*values))
+    return F.when(raw.rlike(_PLAIN_CURSOR), plain).when(shaped.isNotNull(), F.when(again == token, parsed))

@@ -139,3 +139,24 @@ def test_window_with_fewer_marks_than_its_default_start(spark):
         assert {r["model_raw"]: r["score_raw"] for r in out.collect()} == {"a": "1.0", "b": "7.0"}
     none = windowed_mean(perf, spark.range(0).selectExpr("cast(id as int) mark"))
     assert {r["model_raw"]: r["score_raw"] for r in none.collect()} == {"a": "50.5", "b": "7.0"}
+
+
+def test_cursor_fields_of_any_spelling(spark):
+    import base64
+
+    def token(raw):
+        return "v1." + base64.urlsafe_b64encode(raw.encode()).decode().rstrip("=")
+
+    made = [("a", "1"), ("", ""), ('q"\\', "é"), ("\t", "x/y")]
+    df = spark.createDataFrame(made, "c string, i string")
+    tokens = [r.t for r in df.select(X.visible_cursor(F.col("c"), F.col("i")).alias("t")).collect()]
+    assert [tuple(v) for v in column(spark, tokens, lambda c: X.cursor_fields(c))] == made
+    bad = [tokens[0] + "A", tokens[0] + "AA", tokens[0] + "AAA", tokens[0] + "=", "v1.A", "v1.", ""]
+    bad += [token(t) for t in ('{"created_at":"a","id":"1"} ', '{"id":"1","created_at":"a"}', '{"created_at":"a"}', '{"created_at":"a","id":1}', '{"created_at":"\\u0061","id":"1"}')]
+    assert column(spark, bad, lambda c: X.cursor_fields(c)["id"]) == [None] * len(bad)
+
+
+def test_cursor_fields_do_not_decode_what_cannot_be_base64(spark):
+    df = spark.createDataFrame([("v1.AAAAA",)], "c string")
+    plan = df.select(X.cursor_fields(F.col("c")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "% 4" in plan and "RLIKE" in plan
