@@ -80,3 +80,35 @@ def test_query_stops_at_two_levels_as_its_sql(spark, monkeypatch, tmp_path):
         for _ in range(levels):
             nodes = [hashlib.sha256("".join(nodes[i : i + 4]).encode()).hexdigest() for i in range(0, len(nodes), 4)]
         assert tuple(audits.ordered_digest(spark, f"{tmp_path}/{n}").first()) == (n, levels, min(nodes))
+
+
+def test_query_digest_is_the_root_over_all_orders(spark, monkeypatch, tmp_path):
+    import hashlib
+
+    import duckdb
+
+    from scorelattice.plans import audits
+    from scorelattice.plans.registry import CHECK_SQL
+
+    monkeypatch.setattr(A, "FAN", 4)
+    con = duckdb.connect()
+
+    def digests(name, n, changed=None):
+        """Of the query and of its SQL, both with four digests under a node."""
+        orders = spark.range(n).selectExpr("id AS o_orderkey", "'O' AS o_orderstatus", f"id + if(id = {-1 if changed is None else changed}, 1.5D, 0.5D) AS o_totalprice")
+        orders.write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        con.execute(f"CREATE OR REPLACE VIEW orders AS SELECT * FROM '{tmp_path}/{name}/orders.parquet/*.parquet'")
+        cursor = con.execute(CHECK_SQL["ordered_digest"].replace("1024", "4"))
+        df = audits.ordered_digest(spark, f"{tmp_path}/{name}")
+        assert df.columns == [c[0] for c in cursor.description]
+        return tuple(df.first()), cursor.fetchone()
+
+    for n, levels in ((0, 1), (5, 2), (70, 4)):
+        nodes = [hashlib.sha256(f"{i}|O|{i}.50".encode()).hexdigest() for i in range(n)]
+        for _ in range(levels):
+            nodes = [hashlib.sha256("".join(nodes[i : i + 4]).encode()).hexdigest() for i in range(0, len(nodes), 4)]
+        assert len(nodes) == (n > 0)
+        assert digests(f"all{n}", n) == ((n, levels, nodes[0] if n else None),) * 2
+    # Whichever order changes, the digest does.
+    changed = [digests(f"changed{i}", 70, i)[0] for i in (0, 33, 69)]
+    assert len({nodes[0], *(d[2] for d in changed)}) == 4
